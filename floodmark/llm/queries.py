@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid
+from . import decontam, langid, quality, toxicity
 from .common import crc_mod, table
 
 
@@ -17,6 +17,27 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(docs.select("doc_id", "held_out", "text"), parser).drop("text")
 
 
+def _labelled(spark: SparkSession, sf_dir: str, n: int, held: int) -> tuple[DataFrame, DataFrame]:
+    """The documents with held_out, and the rows whose labels may be learnt from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", n) == held).alias("held_out"))
+    train = table(spark, sf_dir, "labels").select("doc_id", "toxic", "quality").filter(crc_mod("doc_id", n) != held)
+    return docs, docs.join(train, "doc_id")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, train = _labelled(spark, sf_dir, 3, 1)
+    model = toxicity.fit_toxicity(train)
+    found = toxicity.score_toxicity(docs, model, spans=False)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, train = _labelled(spark, sf_dir, 5, 0)
+    model = quality.fit_quality(train)
+    found = quality.score_quality(docs, model)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = decontam.n_hit()
@@ -44,6 +65,8 @@ FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
+    "op4_quality": op4_quality,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {"op10_decontamination": SQL_OP10}
