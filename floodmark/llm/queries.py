@@ -17,22 +17,27 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(docs.select("doc_id", "held_out", "text"), parser).drop("text")
 
 
-def _labelled(spark: SparkSession, sf_dir: str, n: int, held: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with held_out, and the rows whose labels may be learnt from."""
+def _labelled(spark: SparkSession, sf_dir: str, label: str, n: int, held: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The documents with held_out, and a bounded sample of rows whose labels may be learnt from.
+
+    The sample is drawn from the narrow table of labels, so that texts are not
+    shuffled; its 2 * rows ids at most are broadcast.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", n) == held).alias("held_out"))
-    train = table(spark, sf_dir, "labels").select("doc_id", "toxic", "quality").filter(crc_mod("doc_id", n) != held)
-    return docs, docs.join(train, "doc_id")
+    ids = table(spark, sf_dir, "labels").select("doc_id", label).filter(crc_mod("doc_id", n) != held)
+    pick = lambda y: ids.filter(F.col(label) == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs, docs.join(F.broadcast(pick(0).union(pick(1))), "doc_id")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, train = _labelled(spark, sf_dir, 3, 1)
+    docs, train = _labelled(spark, sf_dir, "toxic", 3, 1, toxicity.SAMPLE_ROWS)
     model = toxicity.fit_toxicity(train)
     found = toxicity.score_toxicity(docs, model, spans=False)
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, train = _labelled(spark, sf_dir, 5, 0)
+    docs, train = _labelled(spark, sf_dir, "quality", 5, 0, quality.SAMPLE_ROWS)
     model = quality.fit_quality(train)
     found = quality.score_quality(docs, model)
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
