@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, quality, toxicity
-from .common import crc_mod, table
+from . import bpe, decontam, langid, quality, tokenids, toxicity
+from .common import crc_mod, scratch, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-ids")
+    tokenids.write_token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=2)
+    return tokenids.read_token_file(spark, path, digests=True)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), digests=True).drop("text")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = decontam.n_hit()
@@ -72,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op4_quality": op4_quality,
+    "op8_token_ids": op8_token_ids,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {"op10_decontamination": SQL_OP10}
