@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -203,7 +204,8 @@ def _fit(texts: list[str], labels: list[int]) -> ToxicityModel:
         a = zlib.crc32(f"{k}".encode()) % max(1, len(x) - 2 * NEAR)
         chains.append((x[a : a + 2 * NEAR], [0] * len(x[a : a + 2 * NEAR])))
     known: list[dict] = [{} for _ in range(KINDS)]
-    feature, place, tags, begins = [], [], [], []
+    feature, place = array("i"), array("i")
+    tags, begins = [], []
     count = n = 0
     for words, tag in chains:
         feats = [_features(plain(w)) for w in words]
@@ -218,7 +220,7 @@ def _fit(texts: list[str], labels: list[int]) -> ToxicityModel:
             begins.append(k == 0)
             n += 1
         tags += tag
-    w, trans, start = crf.fit_chain(np.array(feature), np.array(place), None, count, np.array(tags), np.array(begins))
+    w, trans, start = crf.fit_chain(np.frombuffer(feature, np.int32), np.frombuffer(place, np.int32), None, count, np.array(tags), np.array(begins))
     # the word before is a feature of the place after it, and the other way round
     model = ToxicityModel([{x: float(w[at]) for x, at in d.items() if abs(w[at]) > 1e-3} for d in known], trans, start, None, base)
     stats = [model.summary(*model.words(texts[a:b])) for a, b in slices(texts, CHUNK_CHARS)]
