@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, neardup, quality, tokenids, toxicity
+from . import bpe, decontam, langid, neardup, quality, secrets, tokenids, toxicity
 from .common import crc_mod, scratch, table
 
 
@@ -44,6 +44,15 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.fit_markov(docs))
+    return found.select(
+        "doc_id", *[secrets.count_kind(k).alias(f"n_{k}") for k in secrets.KINDS[:3]],
+        F.sha2(secrets.joined("base_spans").cast("binary"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"),
+    )
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
@@ -102,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op4_quality": op4_quality,
+    "op5_secrets": op5_secrets,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_token_ids": op8_token_ids,
     "op9_byte_bpe": op9_byte_bpe,
