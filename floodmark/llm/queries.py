@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, neardup, quality, secrets, tokenids, toxicity
-from .common import crc_mod, scratch, table
+from . import bpe, decontam, forest, langid, neardup, quality, secrets, tokenids, toxicity, warc
+from .common import crc_mod, scratch, stored, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replicas of the archives of all pages; the second has pages with ids of 13 modulo 97 damaged by one byte."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archive = F.concat(F.lit("pages-"), F.floor(F.col("page_id") / warc.ARCHIVE_RECORDS).cast("string"), F.lit(".warc"))
+    hurt = F.col("page_id") % 97 == 13
+    # what was written down (lengths, digests) stays as it was: only the last byte of the body changes
+    whole = warc.record_bytes(F.col("url"), F.col("html"))
+    other = F.concat(F.substring(whole, F.lit(1), F.octet_length(whole) - 5), F.lit("#\r\n\r\n").cast("binary"))
+    broken = F.when(hurt, other).otherwise(whole)
+    sides = [stored(warc.placed_leaves(pages, id_col="page_id", archive=archive, bytes_=b), "leaves") for b in (whole, broken)]
+    return warc.audit(*sides).select(F.col("a_id").alias("page_id"), "archive", F.col("a_offset").alias("start"), "a_length", "b_length")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, train = _labelled(spark, sf_dir, "quality", 5, 0, quality.SAMPLE_ROWS)
     model = quality.fit_quality(train)
@@ -57,6 +70,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-ids")
     tokenids.write_token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=2)
@@ -107,14 +124,37 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(least(m, doc_id), doc_i
 FROM n LEFT JOIN m ON m.a = n.doc_id
 """
 
+SQL_OP7 = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+ok AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT * FROM ok WHERE n > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id < y.vec_id WHERE list_dot_product(x.e, y.e) >= 0.9 * x.n * y.n),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS m FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS k FROM e GROUP BY a)
+SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, coalesce(least(m, vec_id), vec_id) AS component_id, vec_id = coalesce(least(m, vec_id), vec_id) AS kept
+FROM embeddings LEFT JOIN m ON m.a = vec_id LEFT JOIN k ON k.a = vec_id
+"""
+
+_HEAD = "octet_length(encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'WARC-Payload-Digest: sha256:')) + 64 + octet_length(encode(chr(13) || chr(10) || 'Content-Length: ' || CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR))) + 4 + octet_length(encode(coalesce(html, ''))) + 4"
+
+SQL_OP3 = f"""
+WITH p AS (SELECT page_id, 'pages-' || CAST(page_id // 4096 AS VARCHAR) || '.warc' AS archive, CAST({_HEAD} AS BIGINT) AS n FROM pages),
+o AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM p)
+SELECT page_id, archive, start, n AS a_length, n AS b_length FROM o WHERE page_id % 97 = 13
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_warc_fixity": op3_warc_fixity,
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_embedding_near_duplicates": op7_embedding_near_duplicates,
     "op8_token_ids": op8_token_ids,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op6_near_duplicates": SQL_OP6, "op10_decontamination": SQL_OP10}
+ORACLES: dict[str, str] = {"op3_warc_fixity": SQL_OP3, "op7_embedding_near_duplicates": SQL_OP7, "op6_near_duplicates": SQL_OP6, "op10_decontamination": SQL_OP10}
