@@ -1 +1 @@
-
+"""Column functions: numbers, buckets, states."""
