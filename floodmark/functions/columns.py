@@ -247,7 +247,7 @@ STRUCTURE_WORDS = {"leads": "mm_structure_feature_leads_gold", "follows": "mm_st
 
 def predictive_grade(corr: ColumnOrName, spread: ColumnOrName, obvious: ColumnOrName) -> Column:
     """strong, medium, weak or none."""
-    c, s, n = F.coalesce(F.abs(col(corr)), F.lit(0.0)), F.coalesce(F.abs(col(spread)), F.lit(0.0)), col(obvious)
+    c, s, n = F.round(F.coalesce(F.abs(col(corr)), F.lit(0.0)), 9), F.coalesce(F.abs(col(spread)), F.lit(0.0)), col(obvious)
     return F.when((c >= 0.6) & (s >= 0.008), "strong").when((c >= 0.3) & (s >= 0.005), "medium").when((n >= 2) & (s >= 0.003), "weak").otherwise("none")
 
 

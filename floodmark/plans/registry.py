@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import weekly
+from . import studies, weekly
 
-MODULES = (weekly,)
+MODULES = (weekly, studies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
