@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import studies, weekly
+from . import audits, studies, weekly
 
-MODULES = (weekly, studies)
+MODULES = (weekly, studies, audits)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
