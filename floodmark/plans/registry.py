@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audits, studies, weekly
+from . import audits, search, studies, weekly
 
-MODULES = (weekly, studies, audits)
+MODULES = (weekly, studies, audits, search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
