@@ -26,9 +26,10 @@ def number(c: ColumnOrName) -> Column:
 def mixed_date(c: ColumnOrName) -> Column:
     """Six digits as yyMMdd, else the usual spellings; null if none fits."""
     x = F.trim(col(c))
-    six = F.try_to_timestamp(x, F.lit("yyMMdd"))
+    six = F.try_to_timestamp(x, F.lit("yyMMdd")).cast("date")
+    six = F.when(F.year(six) > 2068, F.add_months(six, -1200)).otherwise(six)  # 69 to 99 are of the last century
     other = F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in ("yyyy-MM-dd", "MM/dd/yyyy", "MM_dd_yyyy", "yyyyMMdd")])
-    return F.when(x.rlike("^[0-9]{6}$"), six).otherwise(other).cast("date")
+    return F.when(x.rlike("^[0-9]{6}$"), six).otherwise(other.cast("date"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -53,7 +54,7 @@ def decile_closed_right(c: ColumnOrName) -> Column:
 
 def decile_floor(c: ColumnOrName) -> Column:
     """1..10, edges belong to the higher bucket, 1 to the last."""
-    return F.least(F.floor(col(c) * 10), F.lit(9)).cast("int") + 1
+    return F.when(col(c).isNotNull(), F.least(F.floor(col(c) * 10), F.lit(9)).cast("int") + 1)
 
 
 #: Left-closed edges of velocity buckets, in points.

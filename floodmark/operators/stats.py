@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import ratio
+from ..functions.columns import decile_floor, ratio
 from .windows import average_rank, forward, forward_drawdown
 
 
@@ -67,11 +67,16 @@ def state_outcomes(df: DataFrame, keys: Sequence[str], state: str, states: Seque
     return scaffold(df, keys, state, states).join(found, [*keys, state], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def _corr(x: str, y: str) -> Column:
+    """Pearson correlation; null where x or y has one value (corr would divide by zero)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(long: DataFrame, keys: Sequence[str], least: int = 5) -> DataFrame:
     """keys: n, pearson and spearman of x and y; null below least rows or where x or y has one value only."""
     rows = solid(long).withColumns({"__rx": average_rank("x", keys), "__ry": average_rank("y", keys)})
     out = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("__p"), F.corr("__rx", "__ry").alias("__s"),
+        F.count(F.lit(1)).alias("n"), _corr("x", "y").alias("__p"), _corr("__rx", "__ry").alias("__s"),
         (F.min("x") < F.max("x")).alias("__vx"), (F.min("y") < F.max("y")).alias("__vy"),
     )
     fine = (F.col("n") >= least) & F.col("__vx") & F.col("__vy")
@@ -90,7 +95,8 @@ def correlations_by_series(long: DataFrame, keys: Sequence[str], least: int = 5)
             p, s = np.corrcoef(x, y)[0, 1], np.corrcoef(x.rank(), y.rank())[0, 1]
         return pd.DataFrame([[*name, len(part), p, s]], columns=out.names)
 
-    return solid(long).select(*keys, "x", "y").groupBy(*keys).applyInPandas(one, out)
+    made = solid(long).select(*keys, "x", "y").groupBy(*keys).applyInPandas(one, out)
+    return made.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("pearson", "spearman")})
 
 
 def lead_lag(df: DataFrame, features: Mapping[str, str], returns: Mapping[int, str], lags: Sequence[int], series: Sequence[str], date: str = "date") -> DataFrame:
@@ -110,7 +116,7 @@ def change_stats(df: DataFrame, features: Mapping[str, str], keys: Sequence[str]
     x = long.withColumn("c", F.abs(F.col("x") - F.lag("x", 1).over(w)))
     return x.groupBy(*keys, "feature").agg(
         ratio(F.count("x"), F.count(F.lit(1))).alias("coverage"), F.count("x").alias("n"), F.avg("c").alias("change_avg"), F.median("c").alias("change_median"), F.percentile("c", 0.95).alias("change_p95"),
-        F.stddev_samp("c").alias("change_sd"), F.stddev_pop("c").alias("change_sd_pop"), F.count_if(F.col("c") > 0.3).alias("jumps"), F.count_distinct(F.least(F.floor(F.col("x") * 10), F.lit(9))).alias("deciles"),
+        F.stddev_samp("c").alias("change_sd"), F.stddev_pop("c").alias("change_sd_pop"), F.count_if(F.col("c") > 0.3).alias("jumps"), F.count_distinct(decile_floor("x")).alias("deciles"),
     )
 
 

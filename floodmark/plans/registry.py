@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audits, search, studies, weekly
+from . import audits, market, search, studies, weekly
 
-MODULES = (weekly, studies, audits, search)
+MODULES = (weekly, studies, audits, search, market)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,7 +19,7 @@ SELECT series_id, CAST(o_orderdate AS DATE) AS date, arg_min(o_totalprice, o_ord
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN ({REGIONS}) ON c_nationkey = n_nationkey GROUP BY ALL)"""
 
 ALT_PRICES = f"""alt_prices AS (
-SELECT series_id, CAST(l_shipdate AS DATE) AS date, round(avg(l_extendedprice / l_quantity), 4) AS alt_close
+SELECT series_id, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(floor(l_extendedprice / l_quantity * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS alt_close
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN ({REGIONS}) ON s_nationkey = n_nationkey GROUP BY ALL)"""
 
 MASTER = """master AS MATERIALIZED (
@@ -58,7 +58,7 @@ def prior_percentile(x: str, n: int, least: int) -> str:
 def zscore(x: str, n: int, least: int, prior: bool = False) -> str:
     a, b = (f"{n} PRECEDING", "1 PRECEDING") if prior else (f"{n - 1} PRECEDING", "CURRENT ROW")
     sd = frame(f"stddev_samp({x})", a, b)
-    return f"CASE WHEN {frame(f'count({x})', a, b)} >= {least} AND {sd} > 1e-12 THEN ({x} - {frame(f'avg({x})', a, b)}) / {sd} END"
+    return f"CASE WHEN {frame(f'count({x})', a, b)} >= {least} AND {sd} > 1e-12 THEN round(({x} - {frame(f'avg({x})', a, b)}) / {sd}, 9) END"
 
 
 def trailing(x: str, k: int) -> str:

@@ -197,7 +197,7 @@ def _change_sql(source: str, keys: str, features: dict[str, str]) -> str:
     long = unpivot(source, f"{keys}, date", features, {0: "0"})
     return f"""c0 AS ({long}), c1 AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY {keys}, feature ORDER BY date)) AS c FROM c0),
 cs AS MATERIALIZED (SELECT {keys}, feature, count(x) / CAST(count(*) AS DOUBLE) AS coverage, count(x) AS n, avg(c) AS change_avg, median(c) AS change_median, quantile_cont(c, 0.95) AS change_p95, stddev_samp(c) AS change_sd, stddev_pop(c) AS change_sd_pop,
-count(*) FILTER (c > 0.3) AS jumps, count(DISTINCT least(floor(x * 10), 9)) AS deciles FROM c1 GROUP BY ALL)"""
+count(*) FILTER (c > 0.3) AS jumps, count(DISTINCT least(floor(x * 10), 9)) FILTER (x IS NOT NULL) AS deciles FROM c1 GROUP BY ALL)"""
 
 
 _CSQL = f"SELECT series_id, feature, {', '.join(f'{r6(c)} AS {c}' for c in _CH)}, n, jumps, deciles FROM cs"

@@ -140,7 +140,7 @@ add("anomaly_reason", lambda s, d: demo.weekly(s, d).select(*KEY, C.anomaly_reas
 CASE WHEN abs(r1_z) >= 2.5 THEN 'abs_return_zscore_52w>=2.5' END, CASE WHEN close_z >= 2.5 THEN 'level_zscore_156w>=2.5' END) ELSE '' END AS reason FROM weekly) SELECT *, reason <> '' AS flag FROM x""")
 _EDGES = " ".join(f"WHEN x <= {k / 10} THEN {k}" for k in range(1, 10))
 add("bucketizers", lambda s, d: demo.lifecycle(s, d).select(*KEY, C.decile_closed_right("mm_pct").alias("closed"), C.decile_floor("mm_pct").alias("floored"), C.velocity_bucket("mm_pct_v8").alias("velocity")),
-    f"""{LIFE}, y AS (SELECT *, least(greatest(mm_pct, 0.0), 1.0) AS x, mm_pct_v8 * 100 AS v FROM life) SELECT series_id, date, CASE WHEN mm_pct IS NULL THEN NULL {_EDGES} ELSE 10 END AS closed, CAST(least(floor(mm_pct * 10), 9) AS INTEGER) + 1 AS floored,
+    f"""{LIFE}, y AS (SELECT *, least(greatest(mm_pct, 0.0), 1.0) AS x, mm_pct_v8 * 100 AS v FROM life) SELECT series_id, date, CASE WHEN mm_pct IS NULL THEN NULL {_EDGES} ELSE 10 END AS closed, CASE WHEN mm_pct IS NOT NULL THEN CAST(least(floor(mm_pct * 10), 9) AS INTEGER) + 1 END AS floored,
 CASE WHEN v IS NULL THEN NULL WHEN v < -30 THEN 1 WHEN v < -10 THEN 2 WHEN v < 0 THEN 3 WHEN v < 10 THEN 4 WHEN v < 30 THEN 5 ELSE 6 END AS velocity FROM y""")
 add("calendar_helpers", lambda s, d: demo.positions(s, d).select(*KEY, C.next_week_start("date").alias("monday"), F.date_add(C.next_week_start("date"), 4).alias("friday"), C.months_before("date", 12).alias("year_before"), F.date_sub(C.months_before("date", 12), 7).alias("scope_start"),
         F.greatest(F.date_sub("date", 729), F.date_sub(F.date_trunc("week", F.date_add(C.months_before("date", 24), 1)).cast("date"), 1)).alias("sunday")),
