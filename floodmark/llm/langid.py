@@ -65,7 +65,8 @@ class Automaton:
     """Suffix automaton of a text over small integers, as one table of transitions.
 
     An entry is the next row times 2; the lowest bit says that a phrase ended
-    before this symbol, which then starts the next one.
+    before this symbol, which then starts the next one. The last row stands for a
+    symbol that the text lacks: a phrase of its own.
     """
 
     def __init__(self, text: list[int], symbols: int):
@@ -94,11 +95,11 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = new
             last = cur
-        table = np.full((len(nxt), symbols), -1, np.int64)
+        table = np.full((len(nxt) + 1, symbols), -1, np.int64)
         for s, d in enumerate(nxt):
             if d:
                 table[s, list(d)] = list(d.values())
-        root = np.maximum(table[0], 0)
+        root = np.where(table[0] >= 0, table[0], len(nxt))
         self.table = np.where(table >= 0, table * 2, root[None, :] * 2 + 1).astype(np.int32).ravel()
 
 
@@ -141,7 +142,8 @@ class CrossParser:
             s = sym[at[:m] + t]
             for k, table in enumerate(self.tables):
                 v = table[state[k][:m] * self.symbols + s]
-                ends[k][:m] += v & 1
+                if t:
+                    ends[k][:m] += v & 1
                 state[k][:m] = v >> 1
         for k in range(len(self.langs)):
             out[:, k] = np.bincount(lane_of[order], weights=ends[k], minlength=len(texts))
