@@ -33,6 +33,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.
 SYMBOLS = len(ALPHABET) + 1
 #: Rows of the samples that random strings and ordinary identifiers are taken from, about.
 RANDOM_ROWS, ORDINARY_ROWS = 20_000, 1_500
+#: Pairs that the frequency of a single symbol counts for.
+WEIGHT = 8.0
 #: Log-likelihood ratio of a whole run, and for each character of it, at least.
 TOTAL, MEAN = 12.0, 0.6
 
@@ -92,10 +94,13 @@ def fit_markov(docs: DataFrame, *, key: str = "doc_id", text_col: str = "text",
     both = _pair_counts(random).withColumn("r", F.lit(True)).union(_pair_counts(words).withColumn("r", F.lit(False)))
     grid = docs.sparkSession.range(SYMBOLS * SYMBOLS).withColumnRenamed("id", "i")
     counts = grid.join(both, "i", "left").groupBy("i").agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(a) for a, c in (("x", F.col("r")), ("y", ~F.col("r")))])
-    rows = counts.withColumn("s", F.floor(F.col("i") / SYMBOLS))
-    share = rows.groupBy("s").agg(F.sum("x").alias("xs"), F.sum("y").alias("ys")).join(rows, "s")
-    smooth = lambda n, s: F.log((F.col(n) + 0.5) / (F.col(s) + 0.5 * SYMBOLS))
-    out = share.select("i", (smooth("x", "xs") - smooth("y", "ys")).alias("d")).orderBy("i").collect()  # SYMBOLS * SYMBOLS rows
+    rows = counts.withColumns({"s": F.floor(F.col("i") / SYMBOLS), "t": F.col("i") % SYMBOLS, "all": F.lit(0)})
+    total = lambda by, name: rows.groupBy(by).agg(F.sum("x").alias(f"x{name}"), F.sum("y").alias(f"y{name}"))
+    share = rows.join(total("s", "s"), "s").join(total("t", "t"), "t").join(total("all", "0"), "all")
+    # a pair's probability leans on that of its second symbol, so that symbols a model never saw stay unlikely in it
+    alone = lambda c: (F.col(f"{c}t") + 0.5) / (F.col(f"{c}0") + 0.5 * SYMBOLS)
+    smooth = lambda c: F.log((F.col(c) + WEIGHT * alone(c)) / (F.col(f"{c}s") + WEIGHT))
+    out = share.select("i", (smooth("x") - smooth("y")).alias("d")).orderBy("i").collect()  # SYMBOLS * SYMBOLS rows
     return MarkovPair(tuple(r["d"] for r in out))
 
 
@@ -128,7 +133,8 @@ def count_kind(kind: str) -> Column:
 
 def redact(docs: DataFrame, model: MarkovPair, *, text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """docs with every span of the text replaced by mark; spans that overlap become one. Null texts stay null."""
-    found = find_secrets(docs.withColumn("__text", F.col(text_col)), model, text_col="__text", **options)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text"))
+    found = find_secrets(rows, model, text_col="__text", **options)
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -138,4 +144,5 @@ def redact(docs: DataFrame, model: MarkovPair, *, text_col: str = "text", mark:
 
     done = F.aggregate("spans", zero, step)
     rest = F.concat(done["out"], F.substring(F.col("__text"), (done["at"] + 1).cast("int"), F.length("__text")))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, rest).otherwise(F.col("__text"))).select(*docs.columns)
+    new = F.when(F.size("spans") > 0, rest).otherwise(F.col("__text"))
+    return found.withColumn("__new", new).select(*[F.col("__new").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in docs.columns])
