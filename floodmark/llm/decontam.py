@@ -319,7 +319,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     Hit ranges are cut out of the text. A document goes altogether where more than
     max_coverage of its words are hit, or one range has more than max_span words.
     """
-    found = find_contamination(docs.withColumn("__text", F.col(text_col)), benchmark, text_col="__text", window=window, **options)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text"))
+    found = find_contamination(rows, benchmark, text_col="__text", window=window, **options)
     bad = n_hit() > F.lit(max_coverage) * F.col("n_words")
     if max_span is not None:
         bad = bad | F.exists("hit_words", lambda x: x["end"] - x["start"] > max_span)
@@ -328,4 +329,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     stops = F.concat(F.transform("hit_chars", lambda x: x["start"]), F.array(size.cast("long")))
     parts = F.zip_with(edges, stops, lambda a, b: F.substring(F.col("__text"), (a + 1).cast("int"), (b - a).cast("int")))
     cut = F.when(F.size("hit_chars") > 0, F.array_join(parts, "")).otherwise(F.col("__text"))
-    return found.filter(~bad).withColumn(text_col, cut).select(*docs.columns)
+    return found.filter(~bad).withColumn("__cut", cut).select(*[F.col("__cut").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in docs.columns])
