@@ -29,10 +29,13 @@ class WordCache:
 
     encode: the token bytes of each of a list of pieces. At most limit words and
     limit pieces are remembered; then all are forgotten, which changes no result.
+    encode_words, if given, is used for many new words at once: each begins with a
+    blank and holds no other, and no white space ends it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 700_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 450_000, encode_words: Callable[[list[str]], list[bytes]] | None = None):
         self.encode_pieces, self.limit = encode, limit
+        self.encode_words = encode_words or self._whole
         self._forget()
 
     def _forget(self) -> None:
@@ -55,13 +58,13 @@ class WordCache:
         split = [t.split(" ") for t in texts]
         words, first = self.words, self.first
         got = [list(map(words.get, s)) for s in split]  # the word before the first blank is looked up again below
-        new = {w for s, g in zip(split, got, strict=True) if None in g for w in s if w not in words}
+        new = {w for s, g in zip(split, got, strict=True) if None in g for w in s[1:] if w not in words}
         start = {s[0] for s in split if s[0] not in first}
         if new:
             odd = {w for w in new if w[0] in SPACE or w[-1] in SPACE}
             plain = list(new - odd)
             words.update(dict.fromkeys(odd))
-            words.update(zip(plain, self._whole([" " + w for w in plain]), strict=True))
+            words.update(zip(plain, self.encode_words([" " + w for w in plain]), strict=True))
         for w in start:  # its end counts only where a blank follows
             first[w] = None if w[-1] in SPACE else self._whole([w])[0]
         out: list[bytes | None] = []
@@ -71,7 +74,7 @@ class WordCache:
                 out.append(None)
                 continue
             if None in g:
-                g = list(map(words.__getitem__, s))
+                g = list(map(words.get, s))
             g[0] = head
             out.append(None if None in g else b"".join(g))
         rest = [i for i, x in enumerate(out) if x is None]

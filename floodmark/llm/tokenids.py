@@ -57,8 +57,28 @@ class LibraryEncoder:
 
         tok = Tokenizer.from_file(self.path)
         tok.encode_special_tokens = True
-        self.size = tok.get_vocab_size()
-        self.cache = WordCache(lambda pieces: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)])
+        #: Ids whose bytes begin with a blank: such an id begins a word.
+        opens = np.zeros(max(tok.get_vocab().values()) + 1, bool)
+        opens[[i for t, i in tok.get_vocab().items() if t.startswith("\u0120")]] = True
+
+        def pieces(texts: list[str]) -> list[bytes]:
+            return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def words(texts: list[str]) -> list[bytes]:
+            """Many words as one text; the ids that begin with a blank cut it into words again."""
+            out: list[bytes] = []
+            for a in range(0, len(texts), 2000):
+                part = texts[a : a + 2000]
+                ids = np.array(tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                cut = (np.flatnonzero(opens[ids]) * 4).tolist()
+                if len(cut) != len(part):
+                    out += pieces(part)
+                    continue
+                data = ids.tobytes()
+                out += [data[x:y] for x, y in zip(cut, [*cut[1:], len(data)], strict=True)]
+            return out
+
+        self.cache = WordCache(pieces, encode_words=words)
         self._ready = True
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
