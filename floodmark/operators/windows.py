@@ -46,7 +46,7 @@ def zscore(x: str, window: int, least: int, w: WindowSpec, prior: bool = False)
     """(x - mean) / sample deviation of the last window rows, this one included unless prior; null if flat or too short."""
     f = w.rowsBetween(-window, -1) if prior else w.rowsBetween(1 - window, 0)
     sd = F.stddev_samp(x).over(f)
-    return F.when((F.count(x).over(f) >= least) & (sd > 1e-12), F.round((F.col(x) - F.avg(x).over(f)) / sd, 9))  # the last bits of a sum depend on its order
+    return F.when((F.count(x).over(f) >= least) & (sd > 1e-12), F.round((F.col(x) - F.avg(x).over(f)) / sd, 12))  # the last bits of a sum depend on its order
 
 
 def percentile(x: str, window: int, least: int, w: WindowSpec) -> Column:

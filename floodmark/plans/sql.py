@@ -58,7 +58,7 @@ def prior_percentile(x: str, n: int, least: int) -> str:
 def zscore(x: str, n: int, least: int, prior: bool = False) -> str:
     a, b = (f"{n} PRECEDING", "1 PRECEDING") if prior else (f"{n - 1} PRECEDING", "CURRENT ROW")
     sd = frame(f"stddev_samp({x})", a, b)
-    return f"CASE WHEN {frame(f'count({x})', a, b)} >= {least} AND {sd} > 1e-12 THEN round(({x} - {frame(f'avg({x})', a, b)}) / {sd}, 9) END"
+    return f"CASE WHEN {frame(f'count({x})', a, b)} >= {least} AND {sd} > 1e-12 THEN round(({x} - {frame(f'avg({x})', a, b)}) / {sd}, 12) END"
 
 
 def trailing(x: str, k: int) -> str:
