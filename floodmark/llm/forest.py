@@ -1,11 +1,13 @@
 """Near duplicates of embeddings by a forest of random projection trees.
 
 Each tree splits the vectors at the median of a random projection, again and
-again; vectors near a split go to both sides. Vectors that share a leaf of any
+again; vectors near a split go to both sides. Where a sample of a node holds a
+group of near vectors, the split is chosen to keep linked pairs together, and a
+node that no such split divides stays whole. Vectors that share a leaf of any
 tree are compared exactly. Trees are fitted on a bounded sample and every vector
 is put into them; leaves that hold more than ``max_leaf`` vectors are split
-further, by samples of their own, until none is left or its vectors cannot be
-told apart. Nothing is capped: a leaf that stays large is compared in blocks.
+further, by samples of their own, until none is left that can be split. Nothing is
+capped: a leaf that stays large is dealt in pairs of blocks over many tasks.
 
 Equal vectors form one class that goes through the trees once. A pair is counted
 in the first leaf that both share, so no pair is sent anywhere: a leaf gives one
@@ -35,30 +37,60 @@ TREES, LEAF, SPILL = 8, 400, 0.06
 FIT_ROWS, FIT_LEAST = 20_000, 40
 MAX_LEAF = 4000
 BLOCK = 1024
+#: Vectors of a node that are compared to see whether it holds a group, and the linked pairs that make one.
+SEEN, GROUP_PAIRS = 400, 80
+#: Part of the linked pairs that a split may part, and the directions and places that are tried.
+PARTED, TRIES, PLACES = 0.01, 12, (0.5, 0.4, 0.6, 0.3, 0.7)
+#: Pairs up to which each is looked at by itself.
+FEW_PAIRS = 20_000
+#: The side of a vector whose own block is compared.
+OWN = 2
 
 
-def _direction(tree: int, node: int, dim: int) -> np.ndarray:
-    return np.random.default_rng((17, tree, node)).standard_normal(dim)
+def _direction(tree: int, node: int, dim: int, nth: int = 0) -> np.ndarray:
+    return np.random.default_rng((17, tree, node, nth) if nth else (17, tree, node)).standard_normal(dim)
 
 
 class Forest:
-    """For each tree and node the bounds of its split; directions follow from their numbers."""
+    """For each tree and node the bounds of its split and the number of its direction; directions follow from their numbers."""
 
-    def __init__(self, trees: int, dim: int):
-        self.trees, self.dim = trees, dim
-        self.splits: dict[tuple[int, int], tuple[float, float]] = {}
+    def __init__(self, trees: int, dim: int, cosine: float = 0.9):
+        self.trees, self.dim, self.cosine = trees, dim, cosine
+        self.splits: dict[tuple[int, int], tuple[float, float, int]] = {}
 
     def grow(self, tree: int, node: int, x: np.ndarray, least: int, spill: float) -> None:
         if len(x) < max(2 * least, 2):
             return
-        p = x @ _direction(tree, node, self.dim)
-        low, high = np.quantile(p, [0.5 - spill, 0.5 + spill])
-        if not p.min() < low <= high < p.max():
+        split = self._split(tree, node, x, spill)
+        if split is None:
             return
-        self.splits[tree, node] = float(low), float(high)
+        low, high, nth = self.splits[tree, node] = split
+        p = x @ _direction(tree, node, self.dim, nth)
         self.grow(tree, 2 * node, x[p <= high], least, spill)
         self.grow(tree, 2 * node + 1, x[p >= low], least, spill)
 
+    def _split(self, tree: int, node: int, x: np.ndarray, spill: float) -> tuple[float, float, int] | None:
+        """The median of the first direction; where the node holds a group, the place that parts the fewest linked pairs, or none."""
+        seen = x[:: -(-len(x) // SEEN)]
+        u, v = np.nonzero(np.triu(seen @ seen.T >= self.cosine, 1))
+        group = len(u) >= GROUP_PAIRS
+        best, parted = None, np.inf
+        for nth in range(TRIES if group else 1):
+            p = x @ _direction(tree, node, self.dim, nth)
+            if group:
+                q = p[:: -(-len(x) // SEEN)]
+                near, far = np.minimum(q[u], q[v]), np.maximum(q[u], q[v])
+            for place in PLACES if group else (0.5,):
+                low, high = np.quantile(p, [max(place - spill, 0), min(place + spill, 1)])
+                if not p.min() < low <= high < p.max():
+                    continue
+                lost = np.count_nonzero((near < low) & (far > high)) if group else 0
+                if lost < parted and lost <= PARTED * len(u):
+                    best, parted = (float(low), float(high), nth), lost
+            if parted == 0:
+                break
+        return best
+
     def leaves(self, x: np.ndarray) -> list[list[int]]:
         """Leaves of each vector, as numbers that hold the tree: node * trees + tree."""
         out: list[list[int]] = [[] for _ in x]
@@ -71,7 +103,7 @@ class Forest:
                     for r in rows.tolist():
                         out[r].append(node * self.trees + tree)
                     continue
-                p = x[rows] @ _direction(tree, node, self.dim)
+                p = x[rows] @ _direction(tree, node, self.dim, split[2])
                 todo += [(2 * node, rows[p <= split[1]]), (2 * node + 1, rows[p >= split[0]])]
         return [sorted(v) for v in out]
 
@@ -121,60 +153,98 @@ def _placed(classes: DataFrame, forest: Forest) -> DataFrame:
     return classes.mapInArrow(run, f"fp binary, node {kind}, k long, v binary, leaves array<bigint>")
 
 
-def fit_forest(classes: DataFrame, dim: int, *, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, fit_rows: int = FIT_ROWS, max_leaf: int = MAX_LEAF) -> tuple[Forest, DataFrame]:
-    """The forest, and classes with their leaves. classes: fp, node, k, v."""
-    forest = Forest(trees, dim)
+def fit_forest(classes: DataFrame, dim: int, *, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, fit_rows: int = FIT_ROWS, max_leaf: int = MAX_LEAF, cosine: float = 0.9) -> tuple[Forest, DataFrame, dict[int, int]]:
+    """The forest, classes with their leaves, and the sizes of the leaves that stay large. classes: fp, node, k, v."""
+    forest = Forest(trees, dim, cosine)
     part = lambda df, n: df if n <= fit_rows else df.filter(F.pmod(F.xxhash64("fp"), F.lit(1_000_003)) < int(1_000_003 * fit_rows / n))
     n = classes.count()
     x = _unit([r["v"] for r in part(classes, n).select("v").collect()], dim)  # about fit_rows vectors
     least = max(FIT_LEAST, int(leaf * min(1.0, fit_rows / max(n, 1))))
     for t in range(trees):
         forest.grow(t, 1, x, least, spill)
+    whole: set[int] = set()  # large leaves that nothing splits
     while True:
         placed = stored(_placed(classes, forest), "leaves", "none")
         large = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > max_leaf)
-        first = large.orderBy(F.desc("n")).limit(fit_rows // (4 * FIT_LEAST)).collect()  # the largest leaves, as many as a sample can split
+        sizes = {r["leaf"]: r["n"] for r in large.collect()}  # at most one for each max_leaf vectors of a tree
         before = len(forest.splits)
-        if first:
+        while len(forest.splits) == before:
+            first = sorted(sizes.keys() - whole, key=lambda leaf: (-sizes[leaf], leaf))[: max(1, fit_rows // (4 * FIT_LEAST))]  # the largest leaves, as many as a sample can split
+            if not first:
+                return forest, placed, sizes
             share = max(1, fit_rows // len(first))
-            for r in first:
-                inside = placed.filter(F.array_contains("leaves", r["leaf"]))
-                rows = (inside if r["n"] <= share else inside.filter(F.pmod(F.xxhash64("fp"), F.lit(1_000_003)) < int(1_000_003 * share / r["n"]))).select("v").collect()
+            for leaf_no in first:
+                inside, size = placed.filter(F.array_contains("leaves", leaf_no)), sizes[leaf_no]
+                rows = (inside if size <= share else inside.filter(F.pmod(F.xxhash64("fp"), F.lit(1_000_003)) < int(1_000_003 * share / size))).select("v").collect()
                 y = _unit([q["v"] for q in rows], dim)
-                forest.grow(r["leaf"] % trees, r["leaf"] // trees, y, max(FIT_LEAST, int(leaf * len(y) / r["n"])), spill)
-        if len(forest.splits) == before:
-            return forest, placed
-
-
-def _linked(placed: DataFrame, dim: int, least: float) -> DataFrame:
+                forest.grow(leaf_no % trees, leaf_no // trees, y, max(FIT_LEAST, int(leaf * len(y) / size)), spill)
+                if (leaf_no % trees, leaf_no // trees) not in forest.splits:
+                    whole.add(leaf_no)
+
+
+def _dealt(placed: DataFrame, sizes: dict[int, int], max_leaf: int) -> DataFrame:
+    """Rows of each leaf under a key of its own; those of a leaf above max_leaf under one key for each pair of its blocks."""
+    rows = placed.select(F.explode("leaves").alias("leaf"), "fp", "node", "k", "v", "leaves")
+    kept = ["key", "leaf", "side", "node", "k", "v", "leaves"]
+    if not sizes:
+        return rows.select(F.col("leaf").alias("key"), "leaf", F.lit(OWN).alias("side"), *kept[3:])
+    parts, base = [], 1
+    for leaf, n in sorted(sizes.items()):
+        parts.append((leaf, -(-n // max_leaf), base))
+        base += parts[-1][1] ** 2
+    large = F.broadcast(placed.sparkSession.createDataFrame(parts, "leaf long, blocks long, base long"))
+    rows = rows.join(large, "leaf", "left").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    key = -(F.col("base") + F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(OWN)
+    return rows.withColumns({"key": F.coalesce(key, "leaf"), "side": side}).select(*kept)
+
+
+def _linked(placed: DataFrame, sizes: dict[int, int], dim: int, least: float, max_leaf: int) -> DataFrame:
     """For each leaf and each of its vectors with links: node, near (a smaller or equal node joined to it), links (vectors of the pairs that this leaf counts)."""
     kind = placed.schema["node"].dataType.simpleString()
 
     def leaf_rows(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        leaf = rows["leaf"].to_numpy()
-        cut = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
-        for a, b in zip(cut.tolist(), np.append(cut[1:], len(leaf)).tolist(), strict=True):
+        key, leaves, sides = rows["key"].to_numpy(), rows["leaf"].to_numpy(), rows["side"].to_numpy()
+        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        for a, b in zip(cut.tolist(), np.append(cut[1:], len(key)).tolist(), strict=True):
             if b - a < 2:
                 continue
-            part = rows.slice(a, b - a)
+            part, leaf, side = rows.slice(a, b - a), leaves[a], sides[a:b]
             node, k = part["node"].to_numpy(), part["k"].to_numpy()
             x = _unit(part["v"].to_pylist(), dim)
             own = part["leaves"].to_pylist()
             width = max(map(len, own))
             codes = np.array([v + [-1 - i] * (width - len(v)) for i, v in enumerate(own)])
             links, root = np.zeros(b - a, np.int64), np.arange(b - a)
-            for i in range(0, b - a, BLOCK):
-                for j in range(i, b - a, BLOCK):
-                    p, q = np.nonzero(x[i : i + BLOCK] @ x[j : j + BLOCK].T >= least)
-                    p, q = p + i, q + j
-                    p, q = p[p < q], q[p < q]
-                    for s in range(0, len(p), 20_000):
-                        u, v = p[s : s + 20_000], q[s : s + 20_000]
+            within = side[0] == OWN
+            left, right = (np.arange(b - a),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+            earlier = None
+            for i in range(0, len(left), BLOCK):
+                for j in range(i if within else 0, len(right), BLOCK):
+                    at, to = left[i : i + BLOCK], right[j : j + BLOCK]
+                    near = x[at] @ x[to].T >= least
+                    if within and i == j:
+                        near = np.triu(near, 1)
+                    if np.count_nonzero(near) <= FEW_PAIRS:
+                        p, q = np.nonzero(near)
+                        u, v = at[p], to[q]
                         root = _union(root, u, v)
                         same = (codes[u][:, :, None] == codes[v][:, None, :]).any(axis=2)
-                        first = codes[u][np.arange(len(u)), same.argmax(axis=1)]  # leaves are sorted
-                        mine = first == leaf[a]
+                        mine = codes[u][np.arange(len(u)), same.argmax(axis=1)] == leaf  # leaves are sorted
                         links += np.bincount(u[mine], k[v[mine]], minlength=b - a).astype(np.int64) + np.bincount(v[mine], k[u[mine]], minlength=b - a).astype(np.int64)
+                        continue
+                    while True:  # most pairs are joined by the first of them
+                        p, q = np.nonzero(near & (root[at][:, None] != root[to][None, :]))
+                        if not len(p):
+                            break
+                        root = _union(root, at[p[:FEW_PAIRS]], to[q[:FEW_PAIRS]])
+                    if earlier is None:
+                        earlier = _members(codes, leaf)
+                    if earlier.shape[1]:
+                        near &= earlier[at] @ earlier[to].T < 0.5
+                    links[at] += np.where(near, k[to][None, :], 0).sum(axis=1)
+                    links[to] += np.where(near, k[at][:, None], 0).sum(axis=0)
             shown = (links > 0) | (root != np.arange(b - a))
             yield node[shown], node[root[shown]], links[shown]
 
@@ -198,10 +268,21 @@ def _linked(placed: DataFrame, dim: int, least: float) -> DataFrame:
         if held:
             yield from (pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["node", "near", "links"]) for a, b, c in leaf_rows(pa.Table.from_batches(held)))
 
-    dealt = placed.select(F.explode("leaves").alias("leaf"), "node", "k", "v", "leaves").repartition("leaf").sortWithinPartitions("leaf", "node")
+    dealt = _dealt(placed, sizes, max_leaf).repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(run, f"node {kind}, near {kind}, links long")
 
 
+def _members(codes: np.ndarray, leaf: int) -> np.ndarray:
+    """Ones where a vector (row) is in a leaf before this one (column) that others of the rows are in too."""
+    row, col = np.nonzero((codes >= 0) & (codes < leaf))
+    _, nth, n = np.unique(codes[row, col], return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    out = np.zeros((len(codes), int((n > 1).sum())), np.float32)
+    shared = n[nth] > 1
+    out[row[shared], column[nth[shared]]] = 1
+    return out
+
+
 def _union(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Smallest members of the components after joining u and v."""
     while True:
@@ -225,8 +306,8 @@ def near_duplicate_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: st
     rows = stored(_vectors(df, id_col, vec_col), "vectors", "none")
     dim = rows.agg(F.max("size")).first()[0] or 1
     classes = stored(rows.filter("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("k"), F.first("v").alias("v")), "classes", "none")
-    _, placed = fit_forest(classes, dim, **options)
-    found = stored(_linked(placed.select("node", "k", "v", "leaves"), dim, least), "links")
+    _, placed, sizes = fit_forest(classes, dim, cosine=least, **options)
+    found = stored(_linked(placed, sizes, dim, least, options.get("max_leaf", MAX_LEAF)), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("node").alias("a"), F.col("near").alias("b")))
     state = classes.select("fp", "node", "k").join(links, "node", "left").join(comp, "node", "left")

@@ -243,6 +243,20 @@ def test_vectors_equal_brute_force(spark):
     assert forest.near_duplicate_vectors(df.filter("false")).count() == 0
 
 
+def test_large_group_of_near_vectors_keeps_its_links(spark):
+    rng = np.random.default_rng(11)
+    spread = lambda n, at: at / np.linalg.norm(at) + rng.standard_normal((n, 64)) * (1 / 0.95 - 1) ** 0.5 / 8
+    m = np.concatenate([spread(6000, rng.standard_normal(64)), rng.standard_normal((3000, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in forest.near_duplicate_vectors(df, max_leaf=2000).collect()}
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = (m @ m.T >= 0.9).sum(axis=1) - 1
+    found = np.array([got[i][0] for i in range(len(m))])
+    print("recall", found.sum() / want.sum())
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+    assert {got[i][1] for i in range(6000)} == {0}
+
+
 # --- 8 and 9: tokens -------------------------------------------------------------------
 
 
