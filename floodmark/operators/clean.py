@@ -57,8 +57,9 @@ def session_date(ts: str) -> Column:
 
 def bar_end(ts: str, request_end: Column, series: Sequence[str]) -> Column:
     """The nominal end of a bar: an hour on, the end of the request, or the next stamp on a minute, whichever is first."""
-    w = Window.partitionBy(*series).orderBy(ts).rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.second(ts) == 0, F.col(ts)), ignorenulls=True).over(w)
+    # downwards, so that the frame grows row by row instead of being read anew for each
+    w = Window.partitionBy(*series).orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.last(F.when(F.second(ts) == 0, F.col(ts)), ignorenulls=True).over(w)
     return F.least(F.col(ts) + F.expr("interval 1 hour"), request_end, nxt)
 
 

@@ -226,3 +226,17 @@ def test_chunks_give_the_windows_of_whole_series(spark):
     a = parts.withColumn("m", F.sum("x").over(w.rowsBetween(-5, 0))).filter("not is_halo").select("series_id", "date", F.round("m", 9).alias("m"))
     b = df.withColumn("m", F.round(F.sum("x").over(W.by_series().rowsBetween(-5, 0)), 9)).select("series_id", "date", "m")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_bar_end_looks_at_every_stamp_in_one_pass(spark):
+    rng = np.random.default_rng(2)
+    base = dt.datetime(2024, 1, 2)
+    stamps = {(f"s{i % 2}", base + dt.timedelta(seconds=int(x) * (60 if i % 3 else 1))) for i, x in enumerate(rng.integers(0, 30_000, 400))}
+    end = dt.datetime(2024, 1, 20)
+    df = spark.createDataFrame(sorted(stamps), "series_id string, ts timestamp")
+    out = df.withColumn("bar_end", K.bar_end("ts", F.lit("2024-01-20 00:00:00").cast("timestamp"), ["series_id"]))
+    for r in out.collect():
+        later = [t for s, t in stamps if s == r.series_id and t > r.ts and t.second == 0]
+        assert r.bar_end == min([r.ts + dt.timedelta(hours=1), end, *later])
+    # a frame that ends without bound is read anew for each row
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
