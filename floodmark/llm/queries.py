@@ -76,7 +76,7 @@ def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-ids")
-    tokenids.write_token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=2)
+    tokenids.write_token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=2, added=True)
     return tokenids.read_token_file(spark, path, digests=True)
 
 

@@ -21,6 +21,7 @@ bytes; an empty table gives no blocks. Extra columns are not stored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -42,21 +43,28 @@ LIMIT = 20
 
 
 class LibraryEncoder:
-    """Texts to ids with the tokenizers library, each distinct word of them once."""
+    """Texts to ids with the tokenizers library, each distinct word of them once.
 
-    def __init__(self, path: str):
-        self.path = path
+    added: texts that hold an added token of the file (``<|endoftext|>``) go through
+    the library whole, as it was loaded; otherwise such a token counts as plain text.
+    """
+
+    def __init__(self, path: str, added: bool = False):
+        self.path, self.added = path, added
         self._ready = False
 
     def __getstate__(self):
-        return {"path": self.path, "_ready": False}
+        return {"path": self.path, "added": self.added, "_ready": False}
 
     def _prepare(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(self.path)
-        tok.encode_special_tokens = True
+        tok.encode_special_tokens = True  # the words below hold no added token that counts
+        self.untouched = Tokenizer.from_file(self.path)
+        contents = [t.content for t in tok.get_added_tokens_decoder().values()] if self.added else []
+        self.holds_added = re.compile("|".join(map(re.escape, contents))).search if contents else None
         #: Ids whose bytes begin with a blank: such an id begins a word.
         opens = np.zeros(max(tok.get_vocab().values()) + 1, bool)
         opens[[i for t, i in tok.get_vocab().items() if t.startswith("\u0120")]] = True
@@ -85,12 +93,20 @@ class LibraryEncoder:
         if not self._ready:
             self._prepare()
         for a, b in slices(texts, CHUNK_CHARS):
-            yield from self.cache.encode([(t or "").encode("utf-8", "replace").decode() for t in texts[a:b]])
-
-
-def tokenize(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> DataFrame:
+            part = [(t or "").encode("utf-8", "replace").decode() for t in texts[a:b]]
+            whole = [i for i, t in enumerate(part) if self.holds_added(t)] if self.holds_added else []
+            held = [part[i] for i in whole]
+            for i in whole:
+                part[i] = ""
+            out = self.cache.encode(part)
+            for i, t in zip(whole, held, strict=True):
+                out[i] = np.array(self.untouched.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            yield from out
+
+
+def tokenize(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None, added: bool = False) -> DataFrame:
     """id_col and ids (little-endian unsigned 32-bit integers), with end_id after each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(LibraryEncoder(path))
+    shared = docs.sparkSession.sparkContext.broadcast(LibraryEncoder(path, added))
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +154,11 @@ def _wide(x: bytes) -> np.ndarray:
     return np.frombuffer(x, "<u2" if x[:1] == b"\x02" else "<u4", offset=1)
 
 
-def write_token_file(docs: DataFrame, vocabulary: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, block_ids: int = BLOCK_IDS, limit: int = LIMIT) -> None:
+def write_token_file(docs: DataFrame, vocabulary: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, block_ids: int = BLOCK_IDS, limit: int = LIMIT, added: bool = False) -> None:
     """Encodes docs and writes path. One shuffle, of the coded ids, by ranges of id_col."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    coded = tokenize(docs, vocabulary, id_col=id_col, text_col=text_col, end_id=end_id)
+    coded = tokenize(docs, vocabulary, id_col=id_col, text_col=text_col, end_id=end_id, added=added)
     _narrow(coded).write.option("compression", "zstd").parquet(f"{path}/ids")
     ids = spark.read.schema(f"`{id_col}` {kind}, ids binary").parquet(f"{path}/ids")
 

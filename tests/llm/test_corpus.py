@@ -298,6 +298,18 @@ def test_token_file_round_trip(spark):
     assert tokenids.read_token_file(spark, empty).count() == 0
 
 
+def test_query_reads_added_tokens_as_the_untouched_library(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "plain words", "x<|endoftext|><|endoftext|>", "<|endoftext", *ODD, None]
+    monkeypatch.setattr(queries, "table", lambda *_: table(spark, texts))
+    want = [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    got = queries.op8_token_ids(spark, "").orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(v), zlib.crc32(np.array(v, "<u4").tobytes())) for v in want]
+    assert [r.start for r in got] == [sum(map(len, want[:i])) for i in range(len(want))]
+
+
 def test_transducer_equals_library_and_decodes(spark):
     import tiktoken
 
