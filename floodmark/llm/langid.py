@@ -168,9 +168,11 @@ class CrossParser:
 
 
 def fit_cross_parser(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, sample_rows: int = SAMPLE_ROWS) -> CrossParser:
-    """Learns from a bounded sample: for each language the first sample_rows texts in the order of their hash, sample_chars characters in all."""
+    """Learns from a bounded sample: for each language sample_rows pieces of texts in the order of their hash, sample_chars characters in all. A piece begins at a hashed place anywhere in its text and has 8 * sample_chars / sample_rows characters, or is the whole of a shorter text."""
     part = -(-sample_chars // sample_rows) * 8
-    rows = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), F.substring(F.col(text_col), 1, part).alias("t"))
+    text = F.col(text_col)
+    place = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - part + 1, F.lit(1))).cast("int") + 1
+    rows = train.filter(F.col(lang_col).isNotNull() & text.isNotNull()).select(F.col(lang_col).alias("l"), F.substring(text, place, F.lit(part)).alias("t"))
     # the window keeps only sample_rows rows for each task and language before it sorts them together
     w = Window.partitionBy("l").orderBy(F.xxhash64("t"), "t")
     rows = rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= sample_rows).collect()

@@ -47,6 +47,13 @@ def test_language(spark):
     assert langid.identify_language(docs.filter("false"), parser).count() == 0
 
 
+def test_language_is_learnt_from_whole_texts(spark):
+    head = "all rights reserved by the owners of this page " * 20  # more than a piece
+    rows = [(head + f"{i} " + own * 60, lang) for lang, own in (("a", "lorem ipsum dolor sit amet "), ("b", "der hund und die katze ")) for i in range(40)]
+    parser = langid.fit_cross_parser(spark.createDataFrame(rows, "text string, lang string"))
+    assert parser.predict(["dolor sit amet lorem ipsum", "die katze und der hund"])[0] == ["a", "b"]
+
+
 def test_cross_parsing_is_greedy():
     text = "abracadabra"
     parser = langid.CrossParser({"x": text})
