@@ -7,10 +7,12 @@ registers of a union are the larger ones. Bands of equal registers propose pairs
 the likelihood of both sketches, with the known set sizes, rejects pairs that are
 far below the threshold; the rest are settled on the full sets.
 
-No bucket's pairs are listed. First each member of a bucket is compared with the
-smallest one and the one before it; what passes makes first components. Then, in
-blocks, only members of different components are compared. A link inside a
-component changes nothing, so the components are those of all pairs.
+No bucket's pairs are listed. Buckets are dealt in blocks. First each member is
+compared with the first of its block and the one before it; what passes makes first
+components. Then members of different components meet within blocks: by their
+sketches, and where those do not rule a pair out, by their sets, which go to a block
+once for each member that needs it. A block gives links only, and none inside a
+component, which would change nothing: the components are those of all pairs.
 
 Defined results: a text without words (or null) has an empty set, links with
 nothing and is a component of its own; a text of fewer words than a shingle is
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import slices, small_batches, stored
 from .graph import components
 
 #: Registers in a band and bands: at a similarity of 0.8 a pair shares none in 5e-5 of cases, at 0.85 in 2e-6.
@@ -37,8 +39,8 @@ ROWS, BANDS = 6, 28
 BASE, RATE = 1.1, 20.0
 #: Difference of log-likelihood that rules a pair out (five standard deviations).
 MARGIN = 12.5
-#: Members of a bucket in a block.
-BLOCK = 1000
+#: Members of a bucket in a block, and shingles of a block, about.
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
 CHUNK_CHARS = 1_000_000
 _M = ROWS * BANDS
 _SEED = np.random.default_rng(5)
@@ -132,7 +134,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """id, n (shingles), fp (128 bits that name the set) and sig of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             n, fp, sig = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), k):
                 n.append(len(s))
@@ -148,7 +150,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int)
     """node and its set (sorted hashes). Of repeated ids the row with the node's own set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), k)]
             own = [hashlib.blake2b(s, digest_size=16).digest() == fp for s, fp in zip(sets, batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "s"]).filter(pa.array(own))
@@ -162,7 +164,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     """The pairs a, b whose sets have den * intersection >= num * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -180,7 +182,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     """The pairs a, b that their sketches do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             if batch.num_rows:
                 n = [np.array(batch.column(i).to_pylist(), np.float64) for i in (2, 3)]
                 k = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, _M) for i in (4, 5)]
@@ -193,66 +195,144 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs between components within the blocks of buckets.
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], bool, pa.RecordBatch]]:
+    """The block (key and number) of each stretch of rows, whether they are probes, and the rows. In a block the rows at home come first."""
+    for batch in small_batches(batches):
+        if batch.num_rows:
+            marks = np.array([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key", "block", "probe")])
+            cut = np.flatnonzero(np.append(True, (marks[:, 1:] != marks[:, :-1]).any(axis=0)))
+            for i, j in zip(cut.tolist(), np.append(cut[1:], batch.num_rows).tolist(), strict=True):
+                yield (int(marks[0, i]), int(marks[1, i])), bool(marks[2, i]), batch.slice(i, j - i)
 
-    members: key, block, probe (0: at home in this block), node, comp, n, sig. In a
-    block every probe is compared with every member at home, side by side.
+
+def _column(rows: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    return rows[name].to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows[name].to_numpy()
+
+
+def _flagged(members: DataFrame, threshold: float) -> DataFrame:
+    """The members of blocks that have a likely partner in another component there.
+
+    members: key, block, probe, band, node, comp, minor, n, sig. Probes are compared
+    with the members at home as they come, so a task holds one block and a batch. A
+    pair counts only in the first band that both share.
     """
     kind = members.schema["node"].dataType.simpleString()
-    node_type = pa.int64() if kind == "bigint" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            node = rows["node"].to_numpy(zero_copy_only=False)
-            comp = rows["comp"].to_numpy(zero_copy_only=False)
-            n = rows["n"].to_numpy().astype(np.float64)
+        def read(rows):
             sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, _M)
-            probe = rows["probe"].to_numpy()
-            key = np.array([rows["key"].to_numpy(), rows["block"].to_numpy()])
-            cut = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
-            for g0, g1 in zip(cut, np.append(cut[1:], len(node)), strict=True):
-                first = int(g0 + np.searchsorted(probe[g0:g1], 1))  # rows at home come first
-                homes = np.arange(g0, first)
-                step = max(1, 300_000 // max(1, len(homes)))
-                for p in range(first, int(g1), step):
-                    probes = np.arange(p, min(p + step, int(g1)))
-                    x, y = np.repeat(probes, len(homes)), np.tile(homes, len(probes))
-                    ok = comp[x] != comp[y]
-                    ok &= np.minimum(n[x], n[y]) >= (threshold - 1e-9) * np.maximum(n[x], n[y])
-                    x, y = x[ok], y[ok]
-                    if len(x):
-                        ok = ~unlikely(sig[x], sig[y], n[x], n[y], threshold)
-                        yield x[ok], y[ok], node
-
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
+            return _column(rows, "node"), _column(rows, "comp"), _column(rows, "minor"), _column(rows, "n").astype(np.float64), sig, _column(rows, "band")
+
+        def chosen(rows, flags: np.ndarray) -> pa.RecordBatch:
+            rows = rows.select(["key", "block", "probe", "node", "comp", "minor"]).filter(pa.array(flags))
+            return rows.combine_chunks().to_batches()[0] if isinstance(rows, pa.Table) and rows.num_rows else rows
+
+        at, held, home, flags = None, [], None, np.zeros(0, bool)
+        for here, probe, rows in _stretches(batches):
+            if here != at:
+                if flags.any():
+                    yield chosen(table, flags)
+                at, held, home, flags = here, [], None, np.zeros(0, bool)
+            if not probe:
+                held.append(rows)
                 continue
-            keys = batch.column(batch.schema.get_field_index("key")).to_numpy()
-            blocks = batch.column(batch.schema.get_field_index("block")).to_numpy()
-            last = np.flatnonzero((keys != keys[-1]) | (blocks != blocks[-1]))
-            whole = int(last[-1]) + 1 if len(last) else 0
-            if size and (not whole):
-                held.append(batch)
-                size += batch.num_rows
+            if not held:
                 continue
-            held.append(batch.slice(0, whole))
-            yield from _pairs(settle(pa.Table.from_batches(held)), kind)
-            held, size = [batch.slice(whole)], batch.num_rows - whole
-        if size:
-            yield from _pairs(settle(pa.Table.from_batches(held)), kind)
-
-    del node_type
-    return members.mapInArrow(run, f"a {kind}, b {kind}")
-
+            if home is None:
+                table = pa.Table.from_batches(held)
+                home, flags = read(table), np.zeros(table.num_rows, bool)
+            node, comp, minor, n, sig, band = home
+            own = read(rows)
+            likely = np.zeros(rows.num_rows, bool)
+            step = max(1, 300_000 // len(node))
+            for p in range(0, rows.num_rows, step):
+                q = min(p + step, rows.num_rows)
+                ok = (own[1][p:q, None] != comp[None, :]) & ~(minor[None, :] & (node[None, :] > own[0][p:q, None]))
+                ok &= np.minimum(own[3][p:q, None], n[None, :]) >= (threshold - 1e-9) * np.maximum(own[3][p:q, None], n[None, :])
+                x, y = np.nonzero(ok)
+                x += p
+                shared = (own[4][x] == sig[y]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[0]
+                x, y = x[shared], y[shared]
+                if len(x):
+                    ok = ~unlikely(own[4][x], sig[y], own[3][x], n[y], threshold)
+                    likely[x[ok]] = flags[y[ok]] = True
+            if likely.any():
+                yield chosen(rows, likely)
+        if flags.any():
+            yield chosen(table, flags)
+
+    comp_kind = members.schema["comp"].dataType.simpleString()
+    return members.mapInArrow(run, f"key long, block int, probe int, node {kind}, comp {comp_kind}, minor boolean")
+
+
+def _settled(flagged: DataFrame, num: int, den: int) -> DataFrame:
+    """Links a, b between components: exact comparisons of sets within blocks.
+
+    flagged: key, block, probe, node, comp, minor, s. Components that a link has
+    joined are not compared again, so a block gives fewer links than it has members.
+    """
+    kind = flagged.schema["node"].dataType.simpleString()
 
-def _pairs(found, kind: str) -> Iterator[pa.RecordBatch]:
-    for x, y, node in found:
-        if len(x):
-            a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, home = None, [], None
+        for here, probe, rows in _stretches(batches):
+            if here != at:
+                at, held, home = here, [], None
+            if not probe:
+                held.append(rows)
+            elif held:
+                home = home or _Block(pa.Table.from_batches(held), num, den)
+                found = home.links(rows)
+                if found:
+                    a, b = np.array(found).T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return flagged.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+class _Block:
+    """The sets of the members at home in a block, by the places of their elements among all elements of the block."""
+
+    def __init__(self, rows: pa.Table, num: int, den: int):
+        self.num, self.den = num, den
+        self.node, self.minor = _column(rows, "node"), _column(rows, "minor")
+        sets = [np.frombuffer(x, np.uint64) for x in rows["s"].to_pylist()]
+        self.size = np.array([len(x) for x in sets])
+        self.start = np.cumsum(self.size) - self.size
+        self.all, self.places = np.unique(np.concatenate(sets), return_inverse=True)
+        self.code: dict = {}
+        self.parent: list[int] = []
+        self.root = np.array([self._root(c) for c in _column(rows, "comp").tolist()])
+
+    def _root(self, comp) -> int:
+        k = self.code.setdefault(comp, len(self.parent))
+        if k == len(self.parent):
+            self.parent.append(k)
+        while self.parent[k] != k:
+            k = self.parent[k]
+        return k
+
+    def links(self, rows: pa.RecordBatch) -> list[tuple]:
+        out = []
+        for node, comp, s in zip(*(rows[c].to_pylist() for c in ("node", "comp", "s")), strict=True):
+            s, root = np.frombuffer(s, np.uint64), self._root(comp)
+            fits = self.den * np.minimum(self.size, len(s)) >= self.num * np.maximum(self.size, len(s))
+            asked = np.flatnonzero((self.root != root) & fits & ~(self.minor & (self.node > node)))
+            if not len(asked):
+                continue
+            place = np.minimum(np.searchsorted(self.all, s), len(self.all) - 1)
+            own = np.zeros(len(self.all), bool)
+            own[place[self.all[place] == s]] = True
+            size = self.size[asked]
+            begin = np.cumsum(size) - size
+            both = np.add.reduceat(own[self.places[np.repeat(self.start[asked] - begin, size) + np.arange(int(size.sum()))]], begin, dtype=np.int64)
+            for y in asked[self.den * both >= self.num * (size + len(s) - both)].tolist():
+                other = int(self.root[y])
+                if other != root:
+                    out.append((node, int(self.node[y]) if isinstance(node, int) else self.node[y]))
+                    self.parent[other] = root
+                    self.root[self.root == other] = root
+        return out
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -267,31 +347,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = stored(solid.groupBy("fp").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     # one id may have rows of several sets: those are different nodes with one name, linked by it
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * ROWS + 1, F.lit(ROWS))))
-    buckets = classes.select("node", F.explode(bands).alias("key"))
-    w = Window.partitionBy("key").orderBy("node")
-    buckets = buckets.withColumn("lead", F.first("node").over(w)).withColumn("prev", F.lag("node").over(w)).withColumn("next", F.lead("node").over(w))
-    buckets = stored(buckets.filter("prev is not null or next is not null").select("key", "node", "lead", "prev"), "buckets")
-    near = buckets.filter("prev is not null").select(F.explode(F.array("lead", "prev")).alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
+    buckets = classes.select("node", "n", F.posexplode(bands).alias("band", "key"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size"), blocks.alias("blocks"), F.min("node").alias("least")).filter("size > 1").drop("size")
+    buckets = buckets.drop("n").join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    w = Window.partitionBy("key", "block").orderBy("node")
+    buckets = stored(buckets.withColumns({"lead": F.first("node").over(w), "prev": F.lag("node").over(w)}), "buckets")
+    # each member beside the first of its block and the one before it, the firsts beside the first of all
+    a = F.explode(F.when(F.col("prev").isNull(), F.array("least")).otherwise(F.array("lead", "prev")))
+    near = buckets.select(a.alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
     first = stored(_likely(near, classes, threshold), "pairs")
     nodes = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     sets = stored(_sets(docs, classes.join(nodes, "node"), id_col, text_col, shingle), "sets", "none")
     linked = stored(_verified(first, sets, num, den), "links")
     comp = components(linked).withColumnRenamed("label", "comp")
     # buckets in which several components meet
-    named = buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    meet = named.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
+    named = buckets.join(comp, "node", "left").select("key", "band", "block", "blocks", "node", F.coalesce("comp", "node").alias("comp"))
+    meet = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
     common = named.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp"))["comp"].alias("largest"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    home = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    asked = F.when(F.col("comp") != F.col("largest"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
-    dealt = F.concat(F.array(F.struct(home.alias("block"), F.lit(0).alias("probe"))), F.transform(asked, lambda i: F.struct(i.alias("block"), F.lit(1).alias("probe"))))
-    members = named.join(meet, "key").join(common, "key").join(classes.select("node", "n", "sig"), "node")
-    members = members.select("key", F.explode(dealt).alias("x"), "node", "comp", "n", "sig").select("key", "x.block", "x.probe", "node", "comp", "n", "sig")
-    members = members.repartition("key", "block").sortWithinPartitions("key", "block", "probe", "node")
-    more = stored(_across(members, threshold).distinct(), "pairs")
-    missing = more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(sets.select("node"), "node", "left_anti")
+    asked = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array().cast("array<int>"))
+    dealt = F.concat(F.array(F.struct("block", F.lit(0).alias("probe"))), F.transform(asked, lambda i: F.struct(i.alias("block"), F.lit(1).alias("probe"))))
+    members = named.join(meet, "key").join(common, "key").withColumn("minor", F.col("comp") != F.col("largest")).join(classes.select("node", "n", "sig"), "node")
+    members = members.select("key", "band", F.explode(dealt).alias("x"), "node", "comp", "minor", "n", "sig").select("key", "x.block", "x.probe", "band", "node", "comp", "minor", "n", "sig")
+    together = lambda df: df.repartition("key", "block").sortWithinPartitions("key", "block", "probe", "node")
+    flagged = stored(_flagged(together(members), threshold), "flagged")
+    missing = flagged.select("node").distinct().join(sets.select("node"), "node", "left_anti")
     rest = stored(_sets(docs, classes.join(missing, "node"), id_col, text_col, shingle), "sets", "none")
-    final = components(linked.union(_verified(more, sets.union(rest), num, den))).withColumnRenamed("label", "component")
+    more = _settled(together(flagged.join(sets.union(rest), "node").select(*flagged.columns, "s")), num, den)
+    final = components(linked.union(more)).withColumnRenamed("label", "component")
     reach = classes.select("fp", "node").join(final, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     out = rows.select("id", "n", "fp").join(reach, "fp", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
