@@ -6,7 +6,8 @@ fits. The transducer therefore keeps, for each open beginning of a token, the
 place in the trie of tokens and the token before it. A set of open beginnings is
 one state; it is made when a text first needs it, and its steps are kept in a
 table. A step names the token that would end here. Tokens leave when no older
-beginning is open: after a lookahead of a few tokens at most.
+beginning is open: after a lookahead of a few tokens at most. All new pieces of a
+chunk of texts go through the transducer side by side, one byte at a time.
 
 Decoding is streamed: bytes of tokens leave as text as soon as the state machine
 of UTF-8 has seen whole characters.
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
-from .pieces import WordCache
+from .common import small_batches
+from .numbers import Numbers
+from .pieces import TextCoder, chunks, gather
 
-CHUNK_CHARS = 1_000_000
+#: Ids that are decoded at once.
+PART = 16384
 #: States that are kept; beyond it the table is begun anew, which changes no result.
-STATES = 150_000
+STATES = 120_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,17 +46,20 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.size = {v: len(k) for k, v in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
-        self.token = [-1]
+        self.size = np.zeros(max(ranks.values(), default=-1) + 1, np.int32)
+        self.size[list(self.bytes_of)] = [len(k) for k in self.bytes_of.values()]
+        #: The trie: the node that follows node and byte (node << 8 | byte), the token that ends at a node, whether a node has any below.
+        self.child: dict[int, int] = {}
+        self.token, self.inner = [-1], [True]
         for word, rank in ranks.items():
             at = 0
             for c in word:
-                nxt = self.children[at].get(c)
+                nxt = self.child.get(at << 8 | c)
                 if nxt is None:
-                    nxt = self.children[at][c] = len(self.children)
-                    self.children.append({})
+                    nxt = self.child[at << 8 | c] = len(self.token)
                     self.token.append(-1)
+                    self.inner.append(False)
+                    self.inner[at] = True
                 at = nxt
             self.token[at] = rank
         self.fits: dict[tuple[int, int], bool] = {}
@@ -64,8 +70,9 @@ class Transducer:
         start = ((0, -1),)
         self.states = [start]
         self.number = {start: 0}
-        #: For each state and byte: the next state, the token that ends here, whether all before is settled.
-        self.steps: list[dict[int, tuple[int, int, bool]]] = [{}]
+        #: Steps by state and byte: the next state, the token that ends here, whether all before is settled.
+        self.steps = Numbers()
+        self.to, self.ends, self.settles = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
 
     def merge(self, text: bytes, until: int = 1) -> list[bytes]:
         """Merges alone, lowest rank first, down to until parts."""
@@ -124,14 +131,13 @@ class Transducer:
 
     def _step(self, number: int, c: int) -> tuple[int, int, bool]:
         nxt, ended = [], -1
-        children, token = self.children, self.token
         for node, last in self.states[number]:
-            to = children[node].get(c)
+            to = self.child.get(node << 8 | c)
             if to is not None:
-                t = token[to]
+                t = self.token[to]
                 if ended < 0 <= t and self._pair(last, t):
                     ended = t
-                if children[to]:
+                if self.inner[to]:
                     nxt.append((to, last))
         if ended < 0:
             raise ValueError("these ranks lack a token for a byte")
@@ -141,37 +147,60 @@ class Transducer:
         if to is None:
             to = self.number[state] = len(self.states)
             self.states.append(state)
-            self.steps.append({})
-        got = self.steps[number][c] = to, ended, len(state) == 1
-        return got
+        return to, ended, len(state) == 1
+
+    def _walk(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The numbers of the steps from many states at once; steps that no text has needed yet are made."""
+        key = state.astype(np.uint64) << np.uint64(8) | c
+        out = self.steps.find(key)
+        if (out < 0).any():
+            new = np.unique(key[out < 0])
+            made = [self._step(k >> 8, k & 255) for k in new.tolist()]
+            self.steps.add(new)
+            self.to = np.concatenate([self.to, np.array([m[0] for m in made], np.int32)])
+            self.ends = np.concatenate([self.ends, np.array([m[1] for m in made], np.int32)])
+            self.settles = np.concatenate([self.settles, np.array([m[2] for m in made])])
+            out = self.steps.find(key)
+        return out
 
-    def encode(self, piece: bytes) -> list[int]:
-        """Ids of one piece of the pattern."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one piece after the other, and how many each has. All pieces are walked side by side."""
+        whole = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
+        rest = np.flatnonzero(whole < 0)
+        ids, sizes = self._ids([pieces[i] for i in rest.tolist()])
+        count = np.ones(len(pieces), np.int64)
+        count[rest] = sizes
+        out = np.repeat(whole, count)
+        out[out < 0] = ids
+        return out, count
+
+    def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.states) > STATES:
             self._forget()
-        s, out, steps = 0, [], self.steps
-        open_: list[int] = []  # the token that ends at each place since the last settled one
-        for c in piece:
-            go = steps[s].get(c) or self._step(s, c)
-            s = go[0]
-            open_.append(go[1])
-            if go[2]:
-                self._write(open_, out)
-                open_.clear()
-        if open_:
-            self._write(open_, out)
-        return out
-
-    def _write(self, ends: list[int], out: list[int]) -> None:
-        at, back, size = len(ends), [], self.size
-        while at > 0:
-            t = ends[at - 1]
-            back.append(t)
-            at -= size[t]
-        out += back[::-1]
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        long = np.array([len(p) for p in pieces], np.int64)
+        begin = np.cumsum(long) - long
+        order = np.argsort(-long, kind="stable")
+        first, by_size = begin[order], -long[order]
+        state = np.zeros(len(pieces), np.int32)
+        ended, border = np.full(len(data), -1, np.int32), np.zeros(len(data), bool)
+        for t in range(int(long.max(initial=0))):
+            m = int(np.searchsorted(by_size, -t))  # pieces of more than t bytes
+            at = first[:m] + t
+            step = self._walk(state[:m], data[at])
+            ended[at], border[at], state[:m] = self.ends[step], self.settles[step], self.to[step]
+        # tokens leave where no older beginning is open, and at the end of a piece: back from there to the place that was settled before
+        border[(begin + long - 1)[long > 0]] = True
+        at = np.flatnonzero(border)
+        until = np.append(-1, at[:-1])
+        last = np.zeros(len(data), bool)
+        while len(at):
+            last[at] = True
+            at = at - self.size[ended[at]]
+            on = at > until
+            at, until = at[on], until[on]
+        total = np.concatenate([[0], np.cumsum(last)])
+        return ended[last], total[begin + long] - total[begin]
 
 
 class Encoder:
@@ -186,37 +215,48 @@ class Encoder:
 
     def _prepare(self) -> None:
         self.transducer = Transducer(read_ranks(self.path))
-        run = self.transducer.encode
-        self.cache = WordCache(lambda pieces: [np.array(run(p.encode("utf-8", "replace")), "<u4").tobytes() for p in pieces], 500_000)
+        width = np.dtype("<u2") if len(self.transducer.size) <= 1 << 16 else np.dtype("<u4")
+
+        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids, sizes = self.transducer.encode([p.encode() for p in pieces])
+            return ids.astype(width), sizes
+
+        self.coder = TextCoder(encode)
         self._ready = True
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each chunk of texts their ids, one text after the other, and where each is over."""
         if not self._ready:
             self._prepare()
-        for a, b in slices(texts, CHUNK_CHARS):
-            yield from self.cache.encode([t or "" for t in texts[a:b]])
+        for _, part in chunks(texts):
+            ids, ends = self.coder.encode(part)
+            yield ids.astype("<u4"), ends
 
 
 class Decoder:
     """Ids to bytes, and to text by a state machine over the bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        size = max(ranks.values(), default=-1) + 1
-        self.table: list[bytes | None] = [None] * size
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
-            self.table[v] = k
+            tokens[v] = k
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.array([len(t) for t in tokens], np.int32)
+        self.at = np.cumsum(self.size, dtype=np.int32) - self.size
 
-    def to_bytes(self, ids: bytes) -> bytes:
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def to_bytes(self, ids: np.ndarray) -> bytes:
+        return gather(self.data, self.at[ids], self.size[ids]).tobytes()
 
-    def stream(self, parts: Iterable[Iterable[int]]) -> Iterator[str]:
+    def stream(self, parts: Iterable[np.ndarray]) -> Iterator[str]:
         """Text of each part of a stream of ids; an unfinished character waits for the next part."""
         machine = Utf8Machine()
         for ids in parts:
-            yield machine.feed(b"".join(map(self.table.__getitem__, ids)))
+            yield machine.feed(self.to_bytes(ids))
         yield machine.finish()
 
+    def text(self, ids: np.ndarray, part: int) -> str:
+        return "".join(self.stream(ids[i : i + part] for i in range(0, len(ids), part)))
+
 
 class Utf8Machine:
     """Incremental UTF-8: splits bytes after the last whole character.
@@ -257,7 +297,7 @@ class Utf8Machine:
 
 
 def encode_texts(docs: DataFrame, path: str, *, text_col: str = "text", digests: bool = False) -> DataFrame:
-    """docs with token_ids (array of int) and n_tokens; with digests, instead of the ids, ids_sha256 and decoded_sha256 of a decoding. Row by row, no shuffle."""
+    """docs with token_ids (array of int) and n_tokens; with digests, instead of the ids, ids_sha256 and decoded_sha256 of a streamed decoding. Row by row, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(Encoder(path))
     own = [T.StructField("n_tokens", T.LongType())]
     own += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digests else [T.StructField("token_ids", T.ArrayType(T.IntegerType()))]
@@ -265,33 +305,36 @@ def encode_texts(docs: DataFrame, path: str, *, text_col: str = "text", digests:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = shared.value, None
-        for batch in batches:
-            ids = list(encoder.encode(batch.column(batch.schema.get_field_index(text_col)).to_pylist()))
-            cols = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            cols.append(pa.array([len(x) // 4 for x in ids], pa.int64()))
-            if digests:
-                decoder = decoder or Decoder(encoder.transducer.ranks)
-                cols.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
-                cols.append(pa.array([hashlib.sha256(decoder.to_bytes(x)).hexdigest() for x in ids], pa.string()))
-            else:
-                ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32), pa.int32())))
-            yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in kept), *(f.name for f in own)])
+        for batch in small_batches(batches, 10_000):
+            at = 0
+            for ids, ends in encoder.encode(batch.column(batch.schema.get_field_index(text_col))):
+                part = batch.slice(at, len(ends))
+                at += len(ends)
+                begins = np.concatenate([[0], ends[:-1]])
+                cols = [part.column(part.schema.get_field_index(f.name)) for f in kept]
+                cols.append(pa.array(ends - begins, pa.int64()))
+                if digests:
+                    decoder = decoder or Decoder(encoder.transducer.ranks)
+                    each = [ids[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                    cols.append(pa.array([hashlib.sha256(x).hexdigest() for x in each], pa.string()))
+                    cols.append(pa.array([hashlib.sha256(decoder.text(x, PART).encode()).hexdigest() for x in each], pa.string()))
+                else:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.view(np.int32), pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in kept), *(f.name for f in own)])
 
     return docs.mapInArrow(run, T.StructType([*kept, *own]))
 
 
-def decode_ids(df: DataFrame, path: str, *, ids_col: str = "token_ids", out_col: str = "text", part: int = 4096) -> DataFrame:
+def decode_ids(df: DataFrame, path: str, *, ids_col: str = "token_ids", out_col: str = "text", part: int = PART) -> DataFrame:
     """df with the text of its ids, decoded as a stream in parts; a null array gives null."""
     shared = df.sparkSession.sparkContext.broadcast(path)
     kept = [f for f in df.schema.fields if f.name != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(read_ranks(shared.value))
-        for batch in batches:
-            texts = []
-            for ids in batch.column(batch.schema.get_field_index(ids_col)).to_pylist():
-                texts.append(None if ids is None else "".join(decoder.stream(ids[i : i + part] for i in range(0, len(ids), part))))
+        for batch in small_batches(batches, 10_000):
+            column = batch.column(batch.schema.get_field_index(ids_col))
+            texts = [decoder.text(x.values.to_numpy(), part) if x.is_valid else None for x in column]
             cols = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string())], names=[*(f.name for f in kept), out_col])
 

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,10 +334,26 @@ def test_transducer_equals_library_and_decodes(spark):
     assert digest.decoded_sha256 == hashlib.sha256("é漢".encode()).hexdigest() and digest.n_tokens == len(lib.encode_ordinary("é漢"))
 
 
-def test_word_cache_forgets_without_harm():
-    cache = pieces.WordCache(lambda ps: [p.encode() for p in ps], limit=5)
-    for t in [*ODD, "one two three four five six seven", "one two"]:
-        assert cache.encode([t]) == [t.encode()]
+def test_text_coder_forgets_without_harm():
+    def own(ps):
+        return np.frombuffer("".join(ps).encode("utf-32-le"), np.uint32), np.array([len(p) for p in ps])
+
+    rng = random.Random(9)
+    for limit in (0, 3000, 10**8):
+        coder = pieces.TextCoder(own, limit=limit)
+        for _ in range(30):
+            texts = [*rng.sample(ODD, 5), prose(rng, rng.randrange(80)), "one two", "one two"]
+            rng.shuffle(texts)
+            ids, ends = coder.encode(pa.array(texts), {0: np.array([7, 7, 7], np.uint32)})
+            assert ids.tolist() == [7, 7, 7, *map(ord, "".join(texts[1:]))] and np.diff(ends, prepend=0).tolist() == [3, *map(len, texts[1:])]
+    assert coder.encode(pa.array([], pa.string()))[1].tolist() == []
+
+
+def test_strings_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(pieces, "_hashes", lambda data, at, long: np.full(len(at), 5, np.uint64))
+    coder = pieces.TextCoder(lambda ps: (np.frombuffer("".join(ps).encode("utf-32-le"), np.uint32), np.array([len(p) for p in ps])))
+    for text in ("a bb ccc, dddd", "ccc a bb e", "bb ccc, a"):
+        assert coder.encode(pa.array([text]))[0].tolist() == list(map(ord, text))
 
 
 # --- 10 test items ----------------------------------------------------------------------
