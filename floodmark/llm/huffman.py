@@ -65,14 +65,12 @@ class Code:
     def __getstate__(self):
         return {**self.__dict__, "_table": None}
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each limit bits: the id whose code they begin with, and that code's length."""
+    def table(self) -> np.ndarray:
+        """For each limit bits: the id whose code they begin with, times 32, and that code's length."""
         if self._table is None:
             width = 1 << (self.limit - self.size)
-            ids = np.repeat(self.order, width).astype(np.int32)
-            size = np.repeat(self.size, width).astype(np.int32)
-            rest = (1 << self.limit) - len(ids)
-            self._table = np.append(ids, np.zeros(rest, np.int32)), np.append(size, np.ones(rest, np.int32))
+            both = np.repeat(self.order << 5 | self.size, width)
+            self._table = np.append(both, np.ones((1 << self.limit) - len(both), np.int64))
         return self._table
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -82,31 +80,36 @@ class Code:
             raise ValueError("an id has no code")
         ends = np.cumsum(size)
         begin = ends - size
-        n = int(-(-ends[-1] // 8)) if len(ends) else 0
-        word = self.values[ids].astype(np.uint64) << (40 - size - (begin & 7)).astype(np.uint64)
-        out = np.zeros(n + 5)
-        for k in range(5):
-            part = ((word >> np.uint64(32 - 8 * k)) & np.uint64(255)).astype(np.float64)
-            out += np.bincount((begin >> 3) + k, part, minlength=n + 5)[: n + 5]
-        return out[:n].astype(np.uint8).tobytes(), begin[::STRETCH].astype(np.int64)
+        if not len(ids):
+            return b"", begin
+        # a code stands in one 64-bit word or runs over into the next one
+        at, room = begin >> 6, 64 - (begin & 63) - size
+        value = self.values[ids].astype(np.uint64)
+        head = np.where(room >= 0, value << np.maximum(room, 0).astype(np.uint64), value >> np.maximum(-room, 0).astype(np.uint64))
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        out = np.zeros(int(at[-1]) + 2, np.uint64)
+        out[at[first]] = np.bitwise_or.reduceat(head, first)
+        over = np.flatnonzero(room < 0)
+        out[at[over] + 1] |= value[over] << (64 + room[over]).astype(np.uint64)
+        return out.astype(">u8").tobytes()[: -(-int(ends[-1]) // 8)], begin[::STRETCH].astype(np.int64)
 
     def decode(self, bits: bytes, n: int, checkpoints: np.ndarray) -> np.ndarray:
         """The n ids of a block."""
         if not n:
             return np.zeros(0, np.int32)
-        ids, size = self.table()
+        table = self.table()
         data = np.frombuffer(bits + b"\0" * 8, np.uint8).astype(np.uint64)
         # 40 bits from each byte on
         window = (data[:-4] << np.uint64(32)) | (data[1:-3] << np.uint64(24)) | (data[2:-2] << np.uint64(16)) | (data[3:-1] << np.uint64(8)) | data[4:]
         at = checkpoints.astype(np.int64).copy()
         lanes = len(at)
-        out = np.zeros((STRETCH, lanes), np.int32)
+        out = np.zeros((STRETCH, lanes), np.int64)
         last = n - (lanes - 1) * STRETCH
         shift, mask = 40 - self.limit, (1 << self.limit) - 1
         for t in range(STRETCH):
             m = lanes if t < last else lanes - 1  # only the last stretch may be short
             p = at[:m]
-            key = ((window[p >> 3] >> (shift - (p & 7)).astype(np.uint64)) & np.uint64(mask)).astype(np.int64)
-            out[t, :m] = ids[key]
-            at[:m] += size[key]
-        return out.T.ravel()[:n]
+            got = table[(window[p >> 3] >> (shift - (p & 7)).astype(np.uint64)).astype(np.int64) & mask]
+            out[t, :m] = got
+            at[:m] += got & 31
+        return (out.T.ravel()[:n] >> 5).astype(np.int32)

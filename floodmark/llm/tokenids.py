@@ -21,29 +21,30 @@ bytes; an empty table gives no blocks. Extra columns are not stored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import small_batches
 from .huffman import Code, code_lengths
-from .pieces import WordCache
+from .pieces import SPACE, TextCoder, binaries, chunks, gather
 
-CHUNK_CHARS = 1_000_000
+#: Pieces that go through the library as one text.
+JOINED = 2000
 #: Ids in a block, of several documents at least.
-BLOCK_IDS = 1 << 17
+BLOCK_IDS = 1 << 18
 #: Bits of a code at most.
 LIMIT = 20
 
 
 class LibraryEncoder:
-    """Texts to ids with the tokenizers library, each distinct word of them once.
+    """Texts to ids with the tokenizers library, each distinct piece of them once.
 
     added: texts that hold an added token of the file (``<|endoftext|>``) go through
     the library whole, as it was loaded; otherwise such a token counts as plain text.
@@ -60,98 +61,130 @@ class LibraryEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(self.path)
-        tok.encode_special_tokens = True  # the words below hold no added token that counts
-        self.untouched = Tokenizer.from_file(self.path)
+        tok = self.tok = Tokenizer.from_file(self.path)
+        tok.encode_special_tokens = True  # the pieces below hold no added token that counts
         contents = [t.content for t in tok.get_added_tokens_decoder().values()] if self.added else []
-        self.holds_added = re.compile("|".join(map(re.escape, contents))).search if contents else None
-        #: Ids whose bytes begin with a blank: such an id begins a word.
-        opens = np.zeros(max(tok.get_vocab().values()) + 1, bool)
-        opens[[i for t, i in tok.get_vocab().items() if t.startswith("\u0120")]] = True
-
-        def pieces(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-        def words(texts: list[str]) -> list[bytes]:
-            """Many words as one text; the ids that begin with a blank cut it into words again."""
-            out: list[bytes] = []
-            for a in range(0, len(texts), 2000):
-                part = texts[a : a + 2000]
-                ids = np.array(tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-                cut = (np.flatnonzero(opens[ids]) * 4).tolist()
-                if len(cut) != len(part):
-                    out += pieces(part)
-                    continue
-                data = ids.tobytes()
-                out += [data[x:y] for x, y in zip(cut, [*cut[1:], len(data)], strict=True)]
-            return out
-
-        self.cache = WordCache(pieces, encode_words=words)
+        self.untouched = Tokenizer.from_file(self.path) if contents else None
+        self.marks = contents
+        vocabulary = tok.get_vocab()
+        self.width = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
+        #: Ids whose bytes begin with a blank, and those of a line break: they part the pieces that are encoded as one text.
+        self.opens, self.breaks = (np.zeros(max(vocabulary.values()) + 1, bool) for _ in range(2))
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.breaks[self._ids("\n")] = True
+        self.coder = TextCoder(self._pieces)
         self._ready = True
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
+
+    def _parted(self, pieces: list[str], sign: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and sizes of pieces that begin with a blank (sign ""), or hold no white space (a line break as sign), many as one text."""
+        ids, sizes = [], []
+        for a in range(0, len(pieces), JOINED):
+            part = pieces[a : a + JOINED]
+            v = self._ids(sign.join(part))
+            if sign:
+                between = self.breaks[v]
+                ends = np.append(np.flatnonzero(between) - np.arange(np.count_nonzero(between)), len(v) - np.count_nonzero(between))
+                v = v[~between]
+            else:
+                ends = np.append(np.flatnonzero(self.opens[v])[1:], len(v))
+            if len(ends) != len(part):  # the vocabulary has no such sign of its own
+                own = [self._ids(p) for p in part]
+                v, ends = np.concatenate(own), np.cumsum([len(x) for x in own])
+            ids.append(v)
+            sizes.append(np.diff(ends, prepend=0))
+        return ids, sizes
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        blank = frozenset(SPACE)
+        for i, p in enumerate(pieces):
+            kinds[2 if p[-1] in blank else 0 if p[0] == " " else 1].append(i)
+        sizes = np.zeros(len(pieces), np.int64)
+        ids: list[np.ndarray] = []
+        for kind, sign in ((0, ""), (1, "\n")):
+            v, n = self._parted([pieces[i] for i in kinds[kind]], sign)
+            ids += v
+            if n:
+                sizes[kinds[kind]] = np.concatenate(n)
+        for i in kinds[2]:
+            ids.append(self._ids(pieces[i]))
+            sizes[i] = len(ids[-1])
+        order = np.array([*kinds[0], *kinds[1], *kinds[2]], np.int64)
+        starts = np.zeros(len(pieces), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return gather(np.concatenate(ids), starts, sizes), sizes
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each chunk of texts their ids, one text after the other, and where each is over."""
         if not self._ready:
             self._prepare()
-        for a, b in slices(texts, CHUNK_CHARS):
-            part = [(t or "").encode("utf-8", "replace").decode() for t in texts[a:b]]
-            whole = [i for i, t in enumerate(part) if self.holds_added(t)] if self.holds_added else []
-            held = [part[i] for i in whole]
-            for i in whole:
-                part[i] = ""
-            out = self.cache.encode(part)
-            for i, t in zip(whole, held, strict=True):
-                out[i] = np.array(self.untouched.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            yield from out
+        for _, part in chunks(texts):
+            given = {}
+            for mark in self.marks:
+                for i in np.flatnonzero(pc.match_substring(part, mark).to_numpy(zero_copy_only=False)).tolist():
+                    given[i] = np.array(self.untouched.encode(part[i].as_py(), add_special_tokens=False).ids, self.width)
+            ids, ends = self.coder.encode(part, given)
+            yield ids.astype(self.width, copy=False), ends
+
+
+def _closed(ids: np.ndarray, ends: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """ids with end_id after each text, and where each text is then over."""
+    if end_id is None:
+        return ids, ends
+    ends = ends + np.arange(1, len(ends) + 1)
+    out = np.full(len(ids) + len(ends), end_id, ids.dtype if end_id <= np.iinfo(ids.dtype).max else "<u4")
+    place = np.ones(len(out), bool)
+    place[ends - 1] = False
+    out[place] = ids
+    return out, ends
 
 
 def tokenize(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None, added: bool = False) -> DataFrame:
-    """id_col and ids (little-endian unsigned 32-bit integers), with end_id after each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(LibraryEncoder(path, added))
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [x + end for x in shared.value.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
+    """id_col, ids (little-endian unsigned integers of size bytes, with end_id after each document), and size.
 
+    After the documents of a task follows one row with null ids, whose counts hold
+    the task's ids and how often each occurs (pairs of little-endian 64-bit integers).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(LibraryEncoder(path, added))
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
-
-
-def count_ids(tokens: DataFrame) -> dict[int, int]:
-    """How often each id occurs: summed in each task, then over tasks; as many rows as the vocabulary has ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(x, "<u4"))
-                if len(n) > len(total):
-                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-                total[: len(n)] += n
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
-
-    counts = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return {r["id"]: r["n"] for r in counts.collect()}
+        id_type = None
+        for batch in small_batches(batches, 10_000):
+            id_type = batch.schema.types[0]
+            at = 0
+            for own in shared.value.encode(batch.column(1)):
+                ids, ends = _closed(*own, end_id)
+                n = np.bincount(ids, minlength=len(total))
+                n[: len(total)] += total
+                total = n
+                rows = len(ends)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), binaries(ids, ends), pa.array(np.full(rows, ids.itemsize, np.int32)), pa.nulls(rows, pa.binary())], names=names)
+                at += rows
+        if id_type is not None:
+            used = np.flatnonzero(total)
+            counts = np.column_stack([used, total[used]]).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([counts], pa.binary())], names=names)
+
+    names = [id_col, "ids", "size", "counts"]
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, size int, counts binary")
 
 
-def _narrow(tokens: DataFrame) -> DataFrame:
-    """ids in 16 bits each where they fit: half the bytes on disk and in shuffles."""
+def count_ids(tokens: DataFrame) -> dict[int, int]:
+    """How often each id occurs: the tasks' counts summed; as many rows as the vocabulary has ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x in batch.column(1).to_pylist():
-                v = np.frombuffer(x, "<u4")
-                out.append(b"\x02" + v.astype("<u2").tobytes() if not len(v) or v.max() < 1 << 16 else b"\x04" + x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=batch.schema.names)
-
-    return tokens.mapInArrow(run, tokens.schema)
-
+        for batch in small_batches(batches, 10_000):
+            for x in batch.column(0).to_pylist():
+                pairs = np.frombuffer(x, "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "n"])
 
-def _wide(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, "<u2" if x[:1] == b"\x02" else "<u4", offset=1)
+    counts = tokens.filter("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return {r["id"]: r["n"] for r in counts.collect()}
 
 
 def write_token_file(docs: DataFrame, vocabulary: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, block_ids: int = BLOCK_IDS, limit: int = LIMIT, added: bool = False) -> None:
@@ -159,14 +192,9 @@ def write_token_file(docs: DataFrame, vocabulary: str, path: str, *, id_col: str
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     coded = tokenize(docs, vocabulary, id_col=id_col, text_col=text_col, end_id=end_id, added=added)
-    _narrow(coded).write.option("compression", "zstd").parquet(f"{path}/ids")
-    ids = spark.read.schema(f"`{id_col}` {kind}, ids binary").parquet(f"{path}/ids")
-
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_wide(x).astype("<u4").tobytes() for x in batch.column(0).to_pylist()], pa.binary())], names=["ids"])
-
-    counts = count_ids(ids.select("ids").mapInArrow(widen, "ids binary"))
+    coded.write.option("compression", "zstd").parquet(f"{path}/ids")
+    made = spark.read.schema(coded.schema).parquet(f"{path}/ids")
+    counts = count_ids(made)
     total = np.zeros(max(counts, default=-1) + 1, np.int64)
     total[list(counts)] = list(counts.values())
     code = Code(code_lengths(total, limit))
@@ -185,11 +213,11 @@ def write_token_file(docs: DataFrame, vocabulary: str, path: str, *, id_col: str
             row = [shard, block, before, [d for d, _ in held], [len(v) for _, v in held], len(all_ids), bits, marks.astype("<i8").tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in small_batches(batches, 10_000):
             if not held and not block:
                 types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(batch.schema.types[0]), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
-            for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append((d, _wide(x)))
+            for d, x, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append((d, np.frombuffer(x, "<u2" if n == 2 else "<u4")))
                 size += len(held[-1][1])
                 if size >= block_ids:
                     yield close()
@@ -199,10 +227,10 @@ def write_token_file(docs: DataFrame, vocabulary: str, path: str, *, id_col: str
 
     names = ["shard", "block", "start_in_shard", "doc_ids", "doc_tokens", "n_tokens", "bits", "checkpoints"]
     schema = f"shard int, block int, start_in_shard long, doc_ids array<{kind}>, doc_tokens array<long>, n_tokens long, bits binary, checkpoints binary"
-    ordered = ids.repartitionByRange(id_col).sortWithinPartitions(id_col, "ids")
+    ordered = made.filter("ids is not null").select(id_col, "ids", "size").repartitionByRange(id_col).sortWithinPartitions(id_col, "ids")
     ordered.mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{path}/blocks")
-    made = spark.read.schema(schema).parquet(f"{path}/blocks")
-    made.groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(1).write.parquet(f"{path}/shards")
+    blocks_made = spark.read.schema(schema).parquet(f"{path}/blocks")
+    blocks_made.groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(1).write.parquet(f"{path}/shards")
 
 
 def read_token_file(spark: SparkSession, path: str, *, id_type: str = "bigint", id_col: str = "doc_id", digests: bool = False) -> DataFrame:
@@ -220,7 +248,7 @@ def read_token_file(spark: SparkSession, path: str, *, id_type: str = "bigint",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, base = shared.value
-        for batch in batches:
+        for batch in small_batches(batches, 10_000):
             for row in batch.to_pylist():
                 ids = code.decode(row["bits"], row["n_tokens"], np.frombuffer(row["checkpoints"], "<i8"))
                 ends = np.cumsum(row["doc_tokens"])
