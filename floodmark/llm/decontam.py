@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, small_batches
 
 #: Words of test items in one automaton; a larger benchmark takes several passes.
 SHARD_WORDS = 100_000
@@ -280,7 +280,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
         kept = [f for f in df.schema.fields if f.name not in names]
 
         def scan(batches: Iterator[pa.RecordBatch], auto=auto, first=first, kept=kept) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small_batches(batches):
                 cols = {f.name: batch.column(batch.schema.get_field_index(f.name)) for f in kept}
                 rows = list(auto.value.scan(batch.column(batch.schema.get_field_index(text_col)).to_pylist()))
                 words, chars, items_ = [r[1] for r in rows], [r[3] for r in rows], [r[2] for r in rows]

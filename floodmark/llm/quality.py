@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import crf
-from .common import slices
+from .common import slices, small_batches
 
 #: Labelled rows of each label to learn from, and characters of such a row at most (longer rows are not taken).
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 50_000
@@ -166,7 +166,7 @@ def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text
     kept = [f for f in docs.schema.fields if f.name != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             scores = shared.value.score(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
             cols = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(scores, pa.float64())], names=[*(f.name for f in kept), "score"])

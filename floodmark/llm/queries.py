@@ -33,8 +33,9 @@ def _labelled(spark: SparkSession, sf_dir: str, label: str, n: int, held: int, r
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, train = _labelled(spark, sf_dir, "toxic", 3, 1, toxicity.SAMPLE_ROWS)
     model = toxicity.fit_toxicity(train)
-    found = toxicity.score_toxicity(docs, model, spans=False)
-    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    found = toxicity.score_toxicity(docs, model)
+    spans = F.array_join(F.transform("toxic_spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), spans.alias("toxic_spans"))
 
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

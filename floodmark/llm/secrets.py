@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The kinds of base spans in order, their patterns, the group whose length counts, and that length.
@@ -96,7 +96,9 @@ def fit_markov(docs: DataFrame, *, key: str = "doc_id", text_col: str = "text",
     counts = grid.join(both, "i", "left").groupBy("i").agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(a) for a, c in (("x", F.col("r")), ("y", ~F.col("r")))])
     rows = counts.withColumns({"s": F.floor(F.col("i") / SYMBOLS), "t": F.col("i") % SYMBOLS, "all": F.lit(0)})
     total = lambda by, name: rows.groupBy(by).agg(F.sum("x").alias(f"x{name}"), F.sum("y").alias(f"y{name}"))
-    share = rows.join(total("s", "s"), "s").join(total("t", "t"), "t").join(total("all", "0"), "all")
+    share = rows.join(total("s", "s"), "s").join(total("t", "t"), "t")
+    everything = Window.partitionBy("all")  # SYMBOLS * SYMBOLS rows
+    share = share.withColumns({f"{c}0": F.sum(c).over(everything) for c in "xy"})
     # a pair's probability leans on that of its second symbol, so that symbols a model never saw stay unlikely in it
     alone = lambda c: (F.col(f"{c}t") + 0.5) / (F.col(f"{c}0") + 0.5 * SYMBOLS)
     smooth = lambda c: F.log((F.col(c) + WEIGHT * alone(c)) / (F.col(f"{c}s") + WEIGHT))

@@ -22,19 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import crf
-from .common import slices
+from .common import small_batches
+from .pieces import Known, chunks, strings
 
 #: Labelled rows of each label to learn from, and characters of such a row at most (longer rows are not taken).
 SAMPLE_ROWS, SAMPLE_CHARS = 1200, 50_000
 #: Words around a labelled one, and windows of so many words, that the field is fitted on.
 NEAR, WINDOWS = 8, 4000
-CHUNK_CHARS = 2_000_000
-CACHE = 300_000
+CHUNK_BYTES = 2_000_000
+CACHE_BYTES = 32_000_000
+_word = re.compile(r"[^ \t\n\v\f\r]+")
 #: Signs that are taken off both ends of a word.
 EDGE = ".,;:!?\"'`()[]{}<>*&%$#@|/\\-_=+~^"
 
@@ -96,39 +99,35 @@ class ToxicityModel:
         self._forget()
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}, "parts": []}
+        return {**self.__dict__, "known": None}
 
     def _forget(self) -> None:
-        self.cache: dict[str, int] = {}
-        self.parts: list[tuple[float, float, float]] = []
-
-    def _new(self, word: str) -> int:
-        own = [d.get(f, 0.0) for d, f in zip(self.weights, _features(plain(word)), strict=True)]
-        k = self.cache[word] = len(self.parts)
-        self.parts.append((sum(own[:5]), own[5], own[6]))
-        return k
-
-    def _indices(self, words: list[str]) -> np.ndarray:
-        out = list(map(self.cache.get, words))
-        if None in out:
-            get, new = self.cache.get, self._new
-            for i, k in enumerate(out):
-                if k is None:
-                    w = words[i]
-                    k = get(w)
-                    out[i] = new(w) if k is None else k
-        return np.array(out, np.int64)
-
-    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The marginal of each word, and the words of each text."""
-        if len(self.cache) > CACHE:
-            self._forget()
-        split = [t.split() for t in texts]
-        size = np.array([len(x) for x in split], np.int64)
-        at = self._indices([w for x in split for w in x])
-        begins = np.zeros(len(at), bool)
+        self.known: Known | None = None
+
+    def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """What each word adds at its place, at the place after it and at the place before it."""
+        out = np.zeros((len(words), 3))
+        for k, word in enumerate(strings(words)):
+            own = [d.get(f, 0.0) for d, f in zip(self.weights, _features(plain(word)), strict=True)]
+            out[k] = sum(own[:5]), own[5], own[6]
+        return out, np.ones(len(words), np.int64)
+
+    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The marginal of each word, and the number of words of each text (no nulls)."""
+        if self.known is None:
+            self.known = Known(CACHE_BYTES)
+        split = pc.ascii_split_whitespace(texts)
+        size = pc.list_value_length(split).to_numpy().astype(np.int64)
+        column = split.flatten().dictionary_encode()
+        code = column.indices.to_numpy()
+        at = self.known.numbers(column.dictionary, self._parts)
+        parts = self.known.ids[self.known.starts[at]].reshape(-1, 3)
+        word = pc.binary_length(column.dictionary).to_numpy()[code] > 0  # blanks at an end of a text leave empty strings
+        owner = np.repeat(np.arange(len(size)), size)[word]
+        size = np.bincount(owner, minlength=len(size))
+        begins = np.zeros(len(owner), bool)
         begins[(np.cumsum(size) - size)[size > 0]] = True
-        own, before, after = np.array(self.parts).reshape(-1, 3)[at].T
+        own, before, after = parts[code[word]].T
         e = own.copy()
         e[1:] += np.where(begins[1:], 0, before[:-1])
         e[:-1] += np.where(begins[1:], 0, after[1:])
@@ -142,11 +141,10 @@ class ToxicityModel:
         np.maximum.at(out[:, 0], np.repeat(np.arange(len(size)), size), np.log(q / (1 - q)))
         return out
 
-    def score(self, texts: list[str | None], spans: bool = False) -> tuple[list[float], list[list[tuple[int, int, float]]]]:
+    def score(self, texts: pa.Array, spans: bool = False) -> tuple[list[float], list[list[tuple[int, int, float]]]]:
         scores: list[float] = []
         found: list[list[tuple[int, int, float]]] = []
-        for a, b in slices(texts, CHUNK_CHARS):
-            own = [t or "" for t in texts[a:b]]
+        for _, own in chunks(texts, CHUNK_BYTES):
             if self.head is None:
                 scores += [self.base] * len(own)
                 found += [[] for _ in own]
@@ -154,19 +152,24 @@ class ToxicityModel:
             p, size = self.words(own)
             scores += crf.logistic(self.summary(p, size), self.head).tolist()
             if spans:
+                hot = p >= 0.5
+                many = np.bincount(np.repeat(np.arange(len(size)), size)[hot], minlength=len(size))
                 begin = np.cumsum(size) - size
-                for t, s, n in zip(own, begin, size, strict=True):
-                    hot = np.flatnonzero(p[s : s + n] >= 0.5)
-                    where = [m.span() for m in re.finditer(r"\S+", t)] if len(hot) else []
-                    run: list[list] = []
-                    for k in hot.tolist():
-                        if run and k == run[-1][3] + 1:
-                            run[-1][1:] = [where[k][1], max(run[-1][2], float(p[s + k])), k]
-                        else:
-                            run.append([*where[k], float(p[s + k]), k])
-                    found.append([(x[0], x[1], x[2]) for x in run])
+                found += [self._spans(own[i].as_py(), p[begin[i] : begin[i] + size[i]]) if many[i] else [] for i in range(len(size))]
         return scores, found
 
+    @staticmethod
+    def _spans(text: str, p: np.ndarray) -> list[tuple[int, int, float]]:
+        """Stretches of toxic words: start, end (in characters), the highest probability."""
+        where = [m.span() for m in _word.finditer(text)]
+        run: list[list] = []
+        for k in np.flatnonzero(p >= 0.5).tolist():
+            if run and k == run[-1][3] + 1:
+                run[-1][1:] = [where[k][1], max(run[-1][2], float(p[k])), k]
+            else:
+                run.append([*where[k], float(p[k]), k])
+        return [(x[0], x[1], x[2]) for x in run]
+
 
 def fit_toxicity(train: DataFrame, *, text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> ToxicityModel:
     """Fits on a bounded sample of labelled rows, the first of each label in the order of their hash."""
@@ -182,7 +185,7 @@ def _fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     nothing = ToxicityModel([{} for _ in range(KINDS)], np.zeros((2, 2)), np.zeros(2), None, base)
     if not 0 < base < 1:
         return nothing
-    split = [t.split() for t in texts]
+    split = [_word.findall(t) for t in texts]
     bare = [[plain(w) for w in x] for x in split]
     keys = toxic_keys(bare, labels)
     chains: list[tuple[list[str], list[int]]] = []
@@ -223,7 +226,7 @@ def _fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     w, trans, start = crf.fit_chain(np.frombuffer(feature, np.int32), np.frombuffer(place, np.int32), None, count, np.array(tags), np.array(begins))
     # the word before is a feature of the place after it, and the other way round
     model = ToxicityModel([{x: float(w[at]) for x, at in d.items() if abs(w[at]) > 1e-3} for d in known], trans, start, None, base)
-    stats = [model.summary(*model.words(texts[a:b])) for a, b in slices(texts, CHUNK_CHARS)]
+    stats = [model.summary(*model.words(own)) for _, own in chunks(pa.array(texts, pa.string()), CHUNK_BYTES)]
     model.head = crf.fit_logistic(np.concatenate(stats), np.array(labels, float))
     model._forget()
     return model
@@ -239,8 +242,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores, found = shared.value.score(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), spans)
+        for batch in small_batches(batches):
+            scores, found = shared.value.score(batch.column(batch.schema.get_field_index(text_col)), spans)
             cols = {f.name: batch.column(batch.schema.get_field_index(f.name)) for f in kept} | {"score": pa.array(scores, pa.float64())}
             if spans:
                 cols["toxic_spans"] = pa.array([[{"start": a, "end": b, "p": p} for a, b, p in x] for x in found], kind)

@@ -5,7 +5,8 @@ and length. ``FANOUT`` nodes in order make a node above, up to one root for each
 archive. Replicas are compared root by root; only below nodes that differ are the
 children compared, down to the records.
 
-Defined results: null urls and bodies count as empty; repeated records are
+Defined results: null urls and bodies count as empty; a null archive is the one
+without a name (``""``), null ids come first in their archive; repeated records are
 records of their own; a record that one replica lacks, or has at another place, is
 named with its place in each. An empty table has no archives and no findings.
 """
@@ -65,7 +66,7 @@ def placed_leaves(records: DataFrame, *, id_col: str, archive: Column, bytes_: C
 
     Bytes are hashed before anything is shuffled; only narrow rows move.
     """
-    rows = records.select(F.col(id_col).alias("id"), archive.alias("archive"), F.octet_length(bytes_).cast("long").alias("length"), F.sha2(bytes_, 256).alias("digest"))
+    rows = records.select(F.col(id_col).alias("id"), F.coalesce(archive, F.lit("")).alias("archive"), F.octet_length(bytes_).cast("long").alias("length"), F.sha2(bytes_, 256).alias("digest"))
     w = Window.partitionBy("archive").orderBy("id", "digest")
     rows = rows.withColumn("number", F.row_number().over(w).cast("long") - 1)
     rows = rows.withColumn("offset", F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -55,18 +56,34 @@ def test_language_is_learnt_from_whole_texts(spark):
     assert parser.predict(["dolor sit amet lorem ipsum", "die katze und der hund"])[0] == ["a", "b"]
 
 
-def test_cross_parsing_is_greedy():
-    text = "abracadabra"
-    parser = langid.CrossParser({"x": text})
-    for s in ("abra", "cadcad", "braabra", "zzz", "a"):
-        n, i = 0, 0
-        while i < len(s):
-            j = i + 1
-            while j <= len(s) and s[i:j] in text:
-                j += 1
-            i = max(j - 1, i + 1)
-            n += 1
-        assert parser.phrases([s])[0][0, 0] == n, s
+def greedy(text, s):
+    n, i = 0, 0
+    while i < len(s):
+        j = i + 1
+        while j <= len(s) and s[i:j] in text:
+            j += 1
+        i = max(j - 1, i + 1)
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("frequent", [95, 3])
+def test_cross_parsing_equals_brute_force(frequent):
+    rng = random.Random(3)
+    samples = {"a": "abracadabra lorem ipsum dolor " * 3 + "aaa", "b": "".join(rng.choice("abc def") for _ in range(300)), "z": "".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(400))}
+    parser = langid.CrossParser(samples, frequent)
+    texts = ["abra", "cadcad", "zzz", "a", "a" * 3000, "".join(rng.choice("abcdef ") for _ in range(2000)), samples["z"][50:300] + samples["z"][7:399] * 2, "", "漢字abra" + samples["z"][3:9], "abracadabra " * 150]
+    bare = lambda t: "".join(map(chr, langid.normalised([t])[0]))
+    got = parser.phrases(texts)[0]
+    assert got.tolist() == [[greedy(bare(samples[k]), bare(t)) for k in parser.langs] for t in texts]
+
+
+def test_language_of_texts_without_letters(spark):
+    parser = langid.CrossParser({"a": "lorem ipsum", "z": "漢字平仮名片仮名"})
+    texts = ["😀 😀", "。。", "１２", "平仮名", "平仮名", "lorem", "𐌰𐌱"]
+    got = [(r.lang_pred, r.score) for r in langid.identify_language(table(spark, texts), parser).orderBy("doc_id").collect()]
+    assert [g[0] for g in got[:6]] == ["und", "und", "und", "z", "z", "a"] and got[3] == got[4]
+    assert got[6] == ("a", 0.0)  # letters that neither sample has: a tie, the first language
 
 
 # --- 2 and 4: fields ----------------------------------------------------------------
@@ -106,6 +123,76 @@ def test_toxicity_learns_spans_and_leaves_clean_texts(spark):
     assert {r.score for r in toxicity.score_toxicity(table(spark, texts), none).collect()} == {0.0}
 
 
+def plain_chain(e, begins, trans, start):
+    """Marginals of one field in plain Python, place by place."""
+    out, i = [], 0
+    while i < len(e):
+        j = i + 1
+        while j < len(e) and not begins[j]:
+            j += 1
+        f, b = [], [(1.0, 1.0)]
+        for k in range(i, j):
+            own = (1.0, math.exp(e[k]))
+            v = [own[y] * (math.exp(start[y]) if k == i else sum(f[-1][x] * math.exp(trans[x][y]) for x in (0, 1))) for y in (0, 1)]
+            f.append([x / sum(v) for x in v])
+        for k in range(j - 1, i, -1):
+            own = (1.0, math.exp(e[k]))
+            v = [sum(math.exp(trans[x][y]) * own[y] * b[0][y] for y in (0, 1)) for x in (0, 1)]
+            b.insert(0, [x / sum(v) for x in v])
+        out += [p[1] * q[1] / (p[0] * q[0] + p[1] * q[1]) for p, q in zip(f, b, strict=True)]
+        i = j
+    return out
+
+
+@given
+def test_toxicity_equals_a_plain_scorer(spark):
+    docs, train = queries._labelled(spark, str(SF), "toxic", 3, 1, toxicity.SAMPLE_ROWS)
+    model = toxicity.fit_toxicity(train)
+    texts = {r.doc_id: r.text for r in docs.filter("doc_id % 4 = 1").collect()}
+    texts |= {-1: None, -2: "", -3: "  \n ", -4: texts[1], -5: (texts[1] or "") * 40, -6: "grim\x0bword  \x1c"}
+    found = {r.doc_id: r for r in toxicity.score_toxicity(table(spark, list(texts.values()), list(texts)), model).collect()}
+    toxic = 0
+    for i, t in texts.items():
+        spot = [m.span() for m in re.finditer(r"[^ \t\n\v\f\r]+", t or "")]
+        words = [toxicity._features(toxicity.plain((t or "")[a:b])) for a, b in spot]
+        weight = lambda kind, x: model.weights[kind].get(x, 0.0)
+        e = [sum(weight(k, w[k]) for k in range(5)) + (weight(5, words[n - 1][5]) if n else 0) + (weight(6, words[n + 1][6]) if n + 1 < len(words) else 0) for n, w in enumerate(words)]
+        p = plain_chain(e, [n == 0 for n in range(len(e))], model.trans, model.start)
+        top = max([-12.0] + [math.log(min(max(x, 6e-6), 1 - 6e-6) / (1 - min(max(x, 6e-6), 1 - 6e-6))) for x in p])
+        assert found[i].score == pytest.approx(1 / (1 + math.exp(-(model.head[0] * top + model.head[1]))), abs=1e-6), i
+        hot = {n for n, x in enumerate(p) if x >= 0.5}
+        runs = [(spot[n][0], spot[max(m for m in range(n, len(spot)) if set(range(n, m + 1)) <= hot)][1]) for n in sorted(hot) if n - 1 not in hot]
+        assert [(s.start, s.end) for s in found[i].toxic_spans] == runs
+        toxic += bool(hot)
+    assert toxic > 3 and found[-4].score == found[1].score
+    assert toxicity.score_toxicity(table(spark, []), model).count() == 0
+
+
+def test_quality_equals_a_plain_field(spark):
+    rng = random.Random(4)
+    good = [". ".join(prose(rng, 9).capitalize() for _ in range(6)) + ".\n" + prose(rng, 30) for _ in range(40)]
+    junk = ["\n".join(w + rng.choice(["$$$", "%%%"]) for w in prose(rng, 40).split()) for _ in range(40)]
+    model = quality.fit_quality(spark.createDataFrame([(t, 1) for t in good] + [(t, 0) for t in junk], "text string, quality int"))
+    texts = [good[0], junk[0], good[1] + "\n" + junk[1], good[2] * 100, good[0], "one"]
+    got = [r.score for r in quality.score_quality(table(spark, texts), model).orderBy("doc_id").collect()]
+    for t, score in zip(texts, got, strict=True):
+        x, length, _ = quality.lines([t])
+        p = plain_chain((x @ model.weights).tolist(), [n == 0 for n in range(len(x))], model.trans, model.start)
+        mean = min(max(sum(a * b for a, b in zip(p, length, strict=True)) / sum(length), 1e-4), 1 - 1e-4)
+        bad = sum(b for a, b in zip(p, length, strict=True) if a < 0.5) / sum(length)
+        assert score == pytest.approx(1 / (1 + math.exp(-(model.head[0] * math.log(mean / (1 - mean)) + model.head[1] * bad + model.head[2]))), abs=1e-6)
+    assert got[0] == got[4] and quality.score_quality(table(spark, []), model).count() == 0
+
+
+@given
+def test_toxicity_recall_and_precision(spark):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    got = [(r.predicted, labels[r.doc_id]) for r in queries.op2_toxicity(spark, str(SF)).filter("held_out").collect() if r.doc_id in labels]
+    hits = sum(1 for p, y in got if p and y)
+    print("found", hits, "of", sum(y for _, y in got), "wrong", sum(1 for p, y in got if p and not y))
+    assert hits >= 0.7 * sum(y for _, y in got) and hits >= 0.9 * sum(p for p, _ in got)
+
+
 @given
 def test_held_out_accuracy(spark):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
@@ -139,6 +226,13 @@ def test_merkle_audit_finds_what_differs(spark):
     assert {7, 50} <= {r.a_id for r in found.collect()}
     gone = warc.audit(side(pages), side(pages.filter("page_id <> 100")), fanout=3).collect()
     assert [(r.a_id, r.b_id) for r in gone] == [(100, None)]
+    nameless = pages.select(F.when(F.col("page_id") > 60, F.col("page_id")).alias("page_id"), "url", "html").union(pages.limit(3))
+    place = F.concat(F.lit("a"), (F.col("page_id") % 3).cast("string"))
+    sides = [warc.placed_leaves(nameless, id_col="page_id", archive=place, bytes_=b) for b in (raw, hurt)]
+    assert warc.audit(sides[0], sides[0]).count() == 0
+    odd = F.when(F.col("url").isin("http://x/7", "http://x/70"), F.concat(raw, F.lit("x").cast("binary"))).otherwise(raw)
+    found = {(r.archive, r.a_id) for r in warc.audit(sides[0], warc.placed_leaves(nameless, id_col="page_id", archive=place, bytes_=odd)).collect()}
+    assert {("", None), ("a1", 70)} <= found
     assert warc.audit(side(pages.filter("false")), side(pages.filter("false"))).count() == 0
 
 
@@ -168,6 +262,30 @@ def test_secrets_patterns_models_and_redaction(spark):
     assert secrets.redact(table(spark, []), secrets.fit_markov(table(spark, []))).count() == 0
 
 
+@given
+def test_secrets_equal_plain_patterns_and_models(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = secrets.fit_markov(docs)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows += [(-1, None), (-2, ""), (-3, rows[1][1]), (-4, "x token: " + "aB3" * 9 + " y\n" + (rows[1][1] or "") * 30 + " AKIA" + "Z9" * 10)]
+    assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    plain = (("assign", assign, 6), ("access", r"()(AKIA[A-Z0-9]{16,})", 0), ("hex", r"()([0-9a-f]{24,})", 0))
+    at = {c: i for i, c in enumerate(secrets.ALPHABET, 1)}
+    want = {}
+    for i, t in rows:
+        spans = [(m.start(), k, m.end(), kind) for k, (kind, pattern, least) in enumerate(plain) for m in re.finditer(pattern, t or "") if len(m[2]) >= least]
+        base = list(spans)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", t or ""):
+            if not any(a < m.end() and m.start() < e for a, _, e, _ in base):
+                codes = [0, *(at.get(c, 0) for c in m[0])]
+                ratio = sum(model.ratio[x * secrets.SYMBOLS + y] for x, y in zip(codes, codes[1:], strict=False))
+                if ratio >= secrets.TOTAL and ratio >= secrets.MEAN * len(m[0]):
+                    spans.append((m.start(), 3, m.end(), "markov"))
+        want[i] = ",".join(f"{k}:{a}:{e}" for a, _, e, k in sorted(spans))
+    got = secrets.find_secrets(table(spark, [t for _, t in rows], [i for i, _ in rows]), model).select("doc_id", secrets.joined("spans").alias("s")).collect()
+    assert {r.doc_id: r.s for r in got} == want and sum(map(bool, want.values())) > 5
+
+
 # --- 6 near duplicates ----------------------------------------------------------------
 
 
@@ -191,8 +309,9 @@ def brute(rows, k, num, den):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "num"), [(3, 85), (5, 80)])
-def test_near_duplicates_equal_brute_force(spark, k, num):
+@pytest.mark.parametrize(("k", "num", "block"), [(3, 85, 1000), (5, 80, 1000), (3, 85, 12)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, num, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(k)
     base = prose(rng, 120).split()
     rows = [(0, " ".join(base))]
@@ -318,18 +437,23 @@ def test_query_reads_added_tokens_as_the_untouched_library(spark, monkeypatch):
     assert [r.start for r in got] == [sum(map(len, want[:i])) for i in range(len(want))]
 
 
-def test_transducer_equals_library_and_decodes(spark):
+def tiktoken_library():
     import tiktoken
 
-    path = P.path("byte_bpe_multi_50k.tiktoken")
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_transducer_equals_library_and_decodes(spark):
+    path, lib = P.path("byte_bpe_multi_50k.tiktoken"), tiktoken_library()
     rng = random.Random(5)
     texts = [*ODD, None, *["".join(rng.choice("ab é\n\t .,'s1²x漢😀ñ_-d") for _ in range(rng.randrange(40))) for _ in range(300)]]
     coded = bpe.encode_texts(table(spark, texts), path)
     got = coded.orderBy("doc_id").collect()
     assert [r.token_ids for r in got] == [lib.encode_ordinary(t or "") for t in texts]
     assert [r.text for r in bpe.decode_ids(coded, path, part=3).orderBy("doc_id").collect()] == [t or "" for t in texts]
+    twice = [tuple(r) for r in bpe.encode_texts(table(spark, ["ab é", "ab é"]), path, digests=True).drop("doc_id").collect()]
+    assert twice[0] == twice[1] and bpe.encode_texts(table(spark, []), path).count() == 0
     digest = bpe.encode_texts(table(spark, ["é漢"]), path, digests=True).first()
     assert digest.decoded_sha256 == hashlib.sha256("é漢".encode()).hexdigest() and digest.n_tokens == len(lib.encode_ordinary("é漢"))
 
@@ -400,6 +524,50 @@ def test_decontamination_cuts_spans(spark):
 # --- pipeline ----------------------------------------------------------------------------
 
 
+@pytest.fixture
+def small_tables(spark, tmp_path):
+    """Tables with null, empty, repeated and long rows, and columns named like results."""
+    rng = random.Random(21)
+    item = prose(rng, 14)
+    texts = [_toxic(rng, i % 4 == 0) for i in range(120)]
+    texts += [None, "", texts[5], texts[6] + " end", f"{prose(rng, 30)} {item} {prose(rng, 30)}", item, "my password=hunter2hunter2 and " + prose(rng, 20), prose(rng, 4000)]
+    rows = [(i, t, "en", "s", None, "kept", "kept", "kept") for i, t in enumerate(texts)] + [(7, texts[7], "en", "s", None, "kept", "kept", "kept")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path), texts
+
+
+def test_pipeline_on_odd_rows(spark, small_tables):
+    import corpus_pipeline as pipe
+
+    sf, texts = small_tables
+    n = len(texts)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {}
+    for name, stage in pipe.STAGES:
+        before, docs = docs, stage(spark, docs, sf)
+        docs = docs.cache()
+        kept[name] = {r.doc_id: r.asDict() for r in docs.collect()}
+        if name != "tokens":
+            assert docs.columns == before.columns and {r["spans"] for r in kept[name].values()} == {"kept"}
+            assert stage(spark, before.filter("false"), sf).count() == 0
+    first = kept["toxicity"]
+    assert {i for i in range(120) if i % 4 == 0} - set(first) and {i for i in range(120) if i % 4} <= set(first)
+    alone = {i: r["text"] for i, r in first.items()}
+    assert set(kept["near duplicates"]) == {i for i, (_, c) in brute(alone.items(), 5, 80, 100).items() if i == c}
+    assert n - 6 not in kept["near duplicates"] and {n - 8, n - 7} <= set(kept["near duplicates"])
+    clean = kept["benchmark decontamination"]
+    assert n - 3 not in clean and hits(clean[n - 4]["text"], [(1, texts[n - 3])], 10)[1] == 0
+    assert "hunter2" in clean[n - 2]["text"] and "my [SECRET] and" in kept["secrets"][n - 2]["text"]
+    assert {i for i, r in kept["secrets"].items() if r["text"] is None} == {n - 8}
+    assert set(kept["tokens"]) == set(kept["secrets"]) == set(clean)
+    lib = tiktoken_library()
+    assert all(r["token_ids"] == lib.encode_ordinary(kept["secrets"][i]["text"] or "") and r["n_tokens"] == len(r["token_ids"]) for i, r in kept["tokens"].items())
+    run = {r.doc_id: r.token_ids for r in pipe.run(spark, sf).collect()}
+    assert run == {i: r["token_ids"] for i, r in kept["tokens"].items()}
+
+
 @given
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipe
