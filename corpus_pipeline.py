@@ -32,9 +32,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(crc_mod("doc_id", 3) != 1)
     pick = lambda y: ids.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxicity.SAMPLE_ROWS)
     train = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(pick(0).union(pick(1))), "doc_id")
-    # the row goes as one column beside its text, so that no column of docs has the name of a result
-    rows = docs.select(F.struct("*").alias("row"), F.col("text"))
-    return toxicity.score_toxicity(rows, toxicity.fit_toxicity(train), spans=False).filter(F.col("score") < TOXIC).select("row.*")
+    # the row goes as one column, so that no column of docs has the name of a result
+    rows = docs.select(F.struct("*").alias("row"))
+    return toxicity.score_toxicity(rows, toxicity.fit_toxicity(train), text_col="row.text", spans=False).filter(F.col("score") < TOXIC).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

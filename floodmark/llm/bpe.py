@@ -31,10 +31,11 @@ from .common import small_batches
 from .numbers import Numbers
 from .pieces import TextCoder, chunks, gather
 
+CHUNK_BYTES = 2_000_000
 #: Ids that are decoded at once.
 PART = 16384
 #: States that are kept; beyond it the table is begun anew, which changes no result.
-STATES = 120_000
+STATES = 60_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -228,7 +229,7 @@ class Encoder:
         """For each chunk of texts their ids, one text after the other, and where each is over."""
         if not self._ready:
             self._prepare()
-        for _, part in chunks(texts):
+        for _, part in chunks(texts, CHUNK_BYTES):
             ids, ends = self.coder.encode(part)
             yield ids.astype("<u4"), ends
 

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,15 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterat
         _libc.malloc_trim(0)
 
 
+def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column of a batch, or a field of a struct column (column.field)."""
+    at = batch.schema.get_field_index(name)
+    if at >= 0:
+        return batch.column(at)
+    outer, _, inner = name.partition(".")
+    return pc.struct_field(batch.column(batch.schema.get_field_index(outer)), inner)
+
+
 def slices(texts: Sequence, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts whose characters add up to about limit; one text is never cut."""
     begin, size = 0, 0

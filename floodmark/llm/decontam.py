@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small_batches
+from .common import column_of, slices, small_batches
 
 #: Words of test items in one automaton; a larger benchmark takes several passes.
 SHARD_WORDS = 100_000
@@ -282,7 +282,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
         def scan(batches: Iterator[pa.RecordBatch], auto=auto, first=first, kept=kept) -> Iterator[pa.RecordBatch]:
             for batch in small_batches(batches):
                 cols = {f.name: batch.column(batch.schema.get_field_index(f.name)) for f in kept}
-                rows = list(auto.value.scan(batch.column(batch.schema.get_field_index(text_col)).to_pylist()))
+                rows = list(auto.value.scan(column_of(batch, text_col).to_pylist()))
                 words, chars, items_ = [r[1] for r in rows], [r[3] for r in rows], [r[2] for r in rows]
                 if first:
                     old = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("hit_words", "hit_chars", "hit_items")]
@@ -319,14 +319,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     Hit ranges are cut out of the text. A document goes altogether where more than
     max_coverage of its words are hit, or one range has more than max_span words.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text"))
-    found = find_contamination(rows, benchmark, text_col="__text", window=window, **options)
+    text = f"__row.{text_col}"
+    found = find_contamination(docs.select(F.struct(*docs.columns).alias("__row")), benchmark, text_col=text, window=window, **options)
     bad = n_hit() > F.lit(max_coverage) * F.col("n_words")
     if max_span is not None:
         bad = bad | F.exists("hit_words", lambda x: x["end"] - x["start"] > max_span)
-    size = F.length("__text")
+    size = F.length(text)
     edges = F.concat(F.array(F.lit(0).cast("long")), F.transform("hit_chars", lambda x: x["end"]))
     stops = F.concat(F.transform("hit_chars", lambda x: x["start"]), F.array(size.cast("long")))
-    parts = F.zip_with(edges, stops, lambda a, b: F.substring(F.col("__text"), (a + 1).cast("int"), (b - a).cast("int")))
-    cut = F.when(F.size("hit_chars") > 0, F.array_join(parts, "")).otherwise(F.col("__text"))
+    parts = F.zip_with(edges, stops, lambda a, b: F.substring(F.col(text), (a + 1).cast("int"), (b - a).cast("int")))
+    cut = F.when(F.size("hit_chars") > 0, F.array_join(parts, "")).otherwise(F.col(text))
     return found.filter(~bad).withColumn("__cut", cut).select(*[F.col("__cut").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in docs.columns])

@@ -25,9 +25,9 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)
 _pattern = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
 #: A word that is empty or begins with white space: blanks stand beside other white space.
 _ODD = "^(?:$|[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACE) + "])"
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: Bytes of words, and twice those of pieces, that are remembered with their ids; then those that did not come again are forgotten, which changes no result.
-CACHE_BYTES = 72_000_000
+CACHE_BYTES = 32_000_000
 
 _MIX = np.random.default_rng(41).integers(1, 2**63, 256, dtype=np.uint64)
 _powers = np.ones(1, np.uint64)
@@ -67,7 +67,7 @@ def _hashes(data: np.ndarray, at: np.ndarray, long: np.ndarray) -> np.ndarray:
     global _powers
     most = int(long.max(initial=0))
     if len(_powers) < most:
-        _powers = np.cumprod(np.concatenate([[1], np.full(2 * most, 0x9E3779B97F4A7C15, np.uint64)]), dtype=np.uint64)
+        _powers = np.cumprod(np.append(np.uint64(1), np.full(2 * most, 0x9E3779B97F4A7C15, np.uint64)))
     ends = np.cumsum(long, dtype=np.int64)
     place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - long, long)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_MIX[gather(data, at, long)] * _powers[place], dtype=np.uint64)])

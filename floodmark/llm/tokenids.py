@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 from .huffman import Code, code_lengths
-from .pieces import SPACE, TextCoder, binaries, chunks, gather
+from .pieces import CACHE_BYTES, SPACE, TextCoder, binaries, chunks, gather
 
 #: Pieces that go through the library as one text.
 JOINED = 2000
@@ -72,7 +72,7 @@ class LibraryEncoder:
         self.opens, self.breaks = (np.zeros(max(vocabulary.values()) + 1, bool) for _ in range(2))
         self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.breaks[self._ids("\n")] = True
-        self.coder = TextCoder(self._pieces)
+        self.coder = TextCoder(self._pieces, 2 * CACHE_BYTES)  # the library is slow beside the cache
         self._ready = True
 
     def _ids(self, text: str) -> np.ndarray:

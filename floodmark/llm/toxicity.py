@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import crf
-from .common import small_batches
+from .common import column_of, small_batches
 from .pieces import Known, chunks, strings
 
 #: Labelled rows of each label to learn from, and characters of such a row at most (longer rows are not taken).
@@ -36,7 +36,7 @@ SAMPLE_ROWS, SAMPLE_CHARS = 1200, 50_000
 #: Words around a labelled one, and windows of so many words, that the field is fitted on.
 NEAR, WINDOWS = 8, 4000
 CHUNK_BYTES = 2_000_000
-CACHE_BYTES = 32_000_000
+CACHE_BYTES = 24_000_000
 _word = re.compile(r"[^ \t\n\v\f\r]+")
 #: Signs that are taken off both ends of a word.
 EDGE = ".,;:!?\"'`()[]{}<>*&%$#@|/\\-_=+~^"
@@ -243,7 +243,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            scores, found = shared.value.score(batch.column(batch.schema.get_field_index(text_col)), spans)
+            scores, found = shared.value.score(column_of(batch, text_col), spans)
             cols = {f.name: batch.column(batch.schema.get_field_index(f.name)) for f in kept} | {"score": pa.array(scores, pa.float64())}
             if spans:
                 cols["toxic_spans"] = pa.array([[{"start": a, "end": b, "p": p} for a, b, p in x] for x in found], kind)

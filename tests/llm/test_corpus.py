@@ -473,6 +473,11 @@ def test_text_coder_forgets_without_harm():
     assert coder.encode(pa.array([], pa.string()))[1].tolist() == []
 
 
+def test_hashes_tell_long_words_apart():
+    words = pa.array([f"a_long_beginning_{i}" for i in range(5000)] + [f"{i}_a_long_end_of_a_word" for i in range(5000)])
+    assert len(np.unique(pieces._hashes(*pieces._bytes(words)))) == 10_000
+
+
 def test_strings_of_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(pieces, "_hashes", lambda data, at, long: np.full(len(at), 5, np.uint64))
     coder = pieces.TextCoder(lambda ps: (np.frombuffer("".join(ps).encode("utf-32-le"), np.uint32), np.array([len(p) for p in ps])))
