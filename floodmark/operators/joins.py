@@ -29,10 +29,13 @@ def asof(left: DataFrame, right: DataFrame, values: Sequence[str], *, tolerance_
 def asof_by_days(left: DataFrame, right: DataFrame, values: Sequence[str], tolerance_days: int, *, series: Sequence[str] = SERIES, date: str = DATE) -> DataFrame:
     """asof by equal keys for few left rows: each left row asks for every day of its tolerance; large series need no sort."""
     key = "__k"
-    asked = left.withColumn(key, F.monotonically_increasing_id()).select(*series, key, F.explode(F.sequence(F.date_sub(date, tolerance_days), F.col(date))).alias("__day"))
+    days = F.explode_outer(F.sequence(F.date_sub(date, tolerance_days), F.col(date)))
+    asked = left.withColumn(key, F.monotonically_increasing_id()).select(*series, key, F.struct(*left.columns).alias("__l"), days.alias("__day"))
     have = right.select(*series, F.col(date).alias("__day"), F.struct(*values).alias("__r"))
-    best = asked.join(have, [*series, "__day"]).groupBy(key).agg(F.max_by("__r", "__day").alias("__r"), F.max("__day").alias("asof_date"))
-    return left.withColumn(key, F.monotonically_increasing_id()).join(best, key, "left").select(*left.columns, *[F.col(f"__r.{v}").alias(v) for v in values], "asof_date")
+    # the row travels with its number, which is given once
+    found = asked.join(have, [*series, "__day"], "left").withColumn("__met", F.when(F.col("__r").isNotNull(), F.col("__day")))
+    best = found.groupBy(key).agg(F.first("__l").alias("__l"), F.max_by("__r", "__met").alias("__r"), F.max("__met").alias("asof_date"))
+    return best.select("__l.*", *[F.col(f"__r.{v}").alias(v) for v in values], "asof_date")
 
 
 def asof_strict(left: DataFrame, right: DataFrame, values: Sequence[str], tolerance_days: int = 4, **keys) -> DataFrame:

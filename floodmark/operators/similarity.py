@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .windows import DATE, SERIES, by_series, paths
 
 
-def similar_states(df: DataFrame, features: Sequence[str], *, top: int = 20, skip: int = 52, keep: Sequence[str] = (), series: Sequence[str] = SERIES, date: str = DATE) -> DataFrame:
-    """The top rows of each series that are nearest to its last complete row, the last skip rows before it left out.
+def similar_states(df: DataFrame, features: Sequence[str], *, top: int | None = 20, skip: int = 52, keep: Sequence[str] = (), series: Sequence[str] = SERIES, date: str = DATE) -> DataFrame:
+    """The top rows (all candidates if None) of each series that are nearest to its last complete row, the last skip rows before it left out.
 
     Distance is the sum of absolute differences in points, 300 of them make a score
     of 0. Rows are ranked by the score rounded half up to ten places, then by date.
@@ -29,7 +29,8 @@ def similar_states(df: DataFrame, features: Sequence[str], *, top: int = 20, ski
     rows = rows.withColumn("distance", distance).withColumn("score", 100 - F.least(F.greatest(F.col("distance") / 300 * 100, F.lit(0.0)), F.lit(100.0)))
     key = F.floor(F.col("score") * 1e10 + 0.5)
     rank = F.row_number().over(Window.partitionBy(*series).orderBy(key.desc(), F.col(date)))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= top).select(*series, "rank", date, "score", "distance", *features, *keep)
+    rows = rows.withColumn("rank", rank)
+    return (rows if top is None else rows.filter(F.col("rank") <= top)).select(*series, "rank", date, "score", "distance", *features, *keep)
 
 
 def similar_states_across(df: DataFrame, features: Sequence[str], *, top: int = 20, series: Sequence[str] = SERIES, date: str = DATE, max_queries: int = 5000) -> DataFrame:

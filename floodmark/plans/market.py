@@ -180,8 +180,8 @@ def _captured() -> tuple[F.Column, F.Column]:
 add("hourly_bar_reject", lambda s, d: demo.bars(s, d).select("series_id", "bar_start", K.hourly_reason("bar_start", *_captured()).alias("reason")),
     f"""WITH {_HOURLY} SELECT series_id, bar_start, CASE WHEN bar_start < TIMESTAMP '2024-01-03' OR bar_start >= TIMESTAMP '2024-01-28' THEN 'outside_capture_window' WHEN hour(ny) = 17 OR (isodow(ny) = 5 AND hour(ny) >= 17) OR isodow(ny) = 6 OR (isodow(ny) = 7 AND hour(ny) < 18) THEN 'outside_regular_session'
 WHEN {_REASON} IS NOT NULL THEN 'bounds_inconsistent' END AS reason FROM hourly""")
-add("hourly_bar_end", lambda s, d: demo.table(s, d, "events").filter("event_id % 7 = 0").select(F.col("event_type").alias("series_id"), F.when(F.col("event_id") % 2 == 0, F.date_trunc("minute", "ts")).otherwise(F.date_trunc("second", "ts")).alias("ts")).distinct().select("series_id", "ts", K.bar_end("ts", _captured()[1], ["series_id"]).alias("bar_end")),
-    """WITH e AS (SELECT DISTINCT event_type AS series_id, CASE WHEN event_id % 2 = 0 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS ts FROM events WHERE event_id % 7 = 0)
+add("hourly_bar_end", lambda s, d: demo.table(s, d, "events").select(F.col("event_type").alias("series_id"), F.when(F.col("event_id") % 2 == 0, F.date_trunc("minute", "ts")).otherwise(F.date_trunc("second", "ts")).alias("ts")).distinct().select("series_id", "ts", K.bar_end("ts", _captured()[1], ["series_id"]).alias("bar_end")),
+    """WITH e AS (SELECT DISTINCT event_type AS series_id, CASE WHEN event_id % 2 = 0 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS ts FROM events)
 SELECT series_id, ts, least(ts + INTERVAL 1 HOUR, TIMESTAMP '2024-01-28', min(CASE WHEN second(ts) = 0 THEN ts END) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS bar_end FROM e""")
 add("complete_bar_gate", lambda s, d: K.complete_bars(demo.bars(s, d).filter(F.col("bar_start") <= AS_OF), "bar_start", AS_OF, F.lit("2024-01-24 11:00:00").cast("timestamp"), ["series_id"]).select("series_id", "bar_start"),
     f"WITH {_HOURLY} SELECT series_id, bar_start FROM hourly WHERE bar_start <= TIMESTAMP '{AS_OF}' AND CAST(ny AS DATE) < DATE '2024-01-24'")

@@ -42,7 +42,7 @@ add("similar_states", lambda s, d: tidy(cases(s, d), ["series_id", "rank", "date
 
 def _vector(s: SparkSession, d: str) -> DataFrame:
     """Of each feature the current value, and mean and deviation (1 if none) of the candidates."""
-    c = M.similar_states(demo.weekly(s, d), FEATURES, top=1_000_000)
+    c = M.similar_states(demo.weekly(s, d), FEATURES, top=None)
     long = c.select("series_id", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in FEATURES])).alias("k")).select("series_id", "k.*")
     stat = long.groupBy("series_id", "feature").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
     full = demo.weekly(s, d).dropna(subset=FEATURES)

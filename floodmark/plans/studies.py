@@ -114,8 +114,8 @@ for _name, _seg in (("predictive_summary", None), ("segment_summary", "split"),
     add(_name, lambda s, d, g=_seg, k=_keys: tidy(predictive(bucket_table(s, d, g), k), [*k, "grade"], _PRED, ["best", "worst", "n_up", "n_down"]),
         f"{segment_sql(_seg)}, {predictive_sql(', '.join(_keys))} SELECT {', '.join(_keys)}, grade, {', '.join(f'{r6(c)} AS {c}' for c in _PRED)}, CAST(best AS BIGINT) AS best, CAST(worst AS BIGINT) AS worst, n_up, n_down FROM pr")
 _K = ["series_id", "feature", "horizon"]
-add("obvious_buckets", lambda s, d: tidy(bucket_table(s, d).filter("n >= 10 and ((avg > 0 and median > 0 and win >= 0.55) or (avg < 0 and median < 0 and win <= 0.45))"), [*_K, "bucket"], ["avg", "median", "win"], ["n"]),
-    f"{segment_sql(None)} SELECT series_id, feature, horizon, bucket, {r6('a')} AS avg, {r6('m')} AS median, {r6('w')} AS win, n FROM t WHERE n >= 10 AND ((a > 0 AND m > 0 AND w >= 0.55) OR (a < 0 AND m < 0 AND w <= 0.45))")
+add("obvious_buckets", lambda s, d: tidy(bucket_table(s, d).filter("n >= 30 and ((avg > 0 and median > 0 and win >= 0.55) or (avg < 0 and median < 0 and win <= 0.45))"), [*_K, "bucket"], ["avg", "median", "win"], ["n"]),
+    f"{segment_sql(None)} SELECT series_id, feature, horizon, bucket, {r6('a')} AS avg, {r6('m')} AS median, {r6('w')} AS win, n FROM t WHERE n >= 30 AND ((a > 0 AND m > 0 AND w >= 0.55) OR (a < 0 AND m < 0 AND w <= 0.45))")
 
 
 def _no_value(s: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions.columns import mixed_date, number
 #: Accepted column names of positioning reports, for each of ours.
 ALIASES: Mapping[str, Sequence[str]] = {
     "market": ("Market_and_Exchange_Names", "Market and Exchange Names"),
-    "date": ("Report_Date_as_YYYY-MM-DD", "Report_Date_as_MM_DD_YYYY", "As_of_Date_In_Form_YYMMDD"),
+    "date": ("Report_Date_as_YYYY-MM-DD", "Report_Date_as_MM_DD_YYYY", "As_of_Date_Form_YYYY-MM-DD", "As_of_Date_In_Form_YYMMDD"),
     "oi": ("Open_Interest_All",),
     "mm_long": ("M_Money_Positions_Long_All",),
     "mm_short": ("M_Money_Positions_Short_All",),
