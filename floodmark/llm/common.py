@@ -22,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Where that setting is absent (tests, one machine) a temporary folder is taken
-    and kept for the session.
+    Where that setting is absent on one machine (tests) a temporary folder is taken
+    and kept for the session; on a cluster it must be set.
     """
     key = "spark.checkpoint.dir"
     base = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{key} must name a folder that all machines share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set(key, base)
