@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a temporary folder where that is unset (tests)."""
+    """A new path in the folder of spark.checkpoint.dir; on one machine a temporary folder where that is unset (tests)."""
     key = "spark.checkpoint.dir"
     base = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{key} must name a folder that all machines share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set(key, base)
