@@ -4,10 +4,13 @@ Each tree splits the vectors at the median of a random projection, again and
 again; vectors near a split go to both sides. Where a sample of a node holds a
 group of near vectors, the split is chosen to keep linked pairs together, and a
 node that no such split divides stays whole. Vectors that share a leaf of any
-tree are compared exactly. Trees are fitted on a bounded sample and every vector
-is put into them; leaves that hold more than ``max_leaf`` vectors are split
-further, by samples of their own, until none is left that can be split. Nothing is
-capped: a leaf that stays large is dealt in pairs of blocks over many tasks.
+tree are compared exactly. The tops of the trees are fitted on a bounded sample,
+which bounds what is broadcast, and every vector is put into them; leaves that
+hold more than ``max_leaf`` vectors are split further, all at once and each by a
+bounded sample of its own within a task, until none is left that can be split.
+These further splits stay in tables and meet the vectors of their leaf in a
+shuffle. Nothing is capped: a leaf that stays large is dealt in pairs of blocks
+over many tasks.
 
 Equal vectors form one class that goes through the trees once. A pair is counted
 in the first leaf that both share, so no pair is sent anywhere: a leaf gives one
@@ -26,15 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 from .graph import components
 
 TREES, LEAF, SPILL = 8, 400, 0.06
-#: Vectors that trees are fitted on in one round, and the least of them that a split needs.
-FIT_ROWS, FIT_LEAST = 20_000, 40
+#: Vectors that the tops of the trees are fitted on, those that a large leaf is split by, and the least of them that a split needs.
+FIT_ROWS, LEAF_ROWS, FIT_LEAST = 20_000, 8_000, 40
+#: Vectors of a large leaf that one task puts into its further splits.
+DEALT_ROWS = 50_000
+#: Node numbers double with each level and are kept with the tree in a long.
+LAST_NODE = 1 << 56
 MAX_LEAF = 4000
 BLOCK = 1024
 #: Vectors of a node that are compared to see whether it holds a group, and the linked pairs that make one.
@@ -59,7 +66,7 @@ class Forest:
         self.splits: dict[tuple[int, int], tuple[float, float, int]] = {}
 
     def grow(self, tree: int, node: int, x: np.ndarray, least: int, spill: float) -> None:
-        if len(x) < max(2 * least, 2):
+        if len(x) < max(2 * least, 2) or node >= LAST_NODE:
             return
         split = self._split(tree, node, x, spill)
         if split is None:
@@ -91,20 +98,25 @@ class Forest:
                 break
         return best
 
+    def descend(self, tree: int, node: int, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Leaves below a node, with the rows of x that reach each."""
+        todo = [(node, np.arange(len(x)))]
+        while todo:
+            node, rows = todo.pop()
+            split = self.splits.get((tree, node))
+            if split is None or not len(rows):
+                yield node, rows
+                continue
+            p = x[rows] @ _direction(tree, node, self.dim, split[2])
+            todo += [(2 * node, rows[p <= split[1]]), (2 * node + 1, rows[p >= split[0]])]
+
     def leaves(self, x: np.ndarray) -> list[list[int]]:
         """Leaves of each vector, as numbers that hold the tree: node * trees + tree."""
         out: list[list[int]] = [[] for _ in x]
         for tree in range(self.trees):
-            todo = [(1, np.arange(len(x)))]
-            while todo:
-                node, rows = todo.pop()
-                split = self.splits.get((tree, node))
-                if split is None or not len(rows):
-                    for r in rows.tolist():
-                        out[r].append(node * self.trees + tree)
-                    continue
-                p = x[rows] @ _direction(tree, node, self.dim, split[2])
-                todo += [(2 * node, rows[p <= split[1]]), (2 * node + 1, rows[p >= split[0]])]
+            for node, rows in self.descend(tree, 1, x):
+                for r in rows.tolist():
+                    out[r].append(node * self.trees + tree)
         return [sorted(v) for v in out]
 
 
@@ -153,61 +165,109 @@ def _placed(classes: DataFrame, forest: Forest) -> DataFrame:
     return classes.mapInArrow(run, f"fp binary, node {kind}, k long, v binary, leaves array<bigint>")
 
 
-def fit_forest(classes: DataFrame, dim: int, *, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, fit_rows: int = FIT_ROWS, max_leaf: int = MAX_LEAF, cosine: float = 0.9) -> tuple[Forest, DataFrame, dict[int, int]]:
-    """The forest, classes with their leaves, and the sizes of the leaves that stay large. classes: fp, node, k, v."""
+def _sampled(df: DataFrame, rows: int, n: Column) -> DataFrame:
+    """About so many of n rows, by the hash of their vectors; all where there are no more."""
+    return df.filter((n <= rows) | (F.pmod(F.xxhash64("fp"), F.lit(1_000_003)) < F.lit(1_000_003.0 * rows) / F.greatest(n, F.lit(1))))
+
+
+def _grown(placed: DataFrame, large: DataFrame, forest: Forest, leaf_vectors: int, spill: float, leaf_rows: int) -> DataFrame:
+    """For each large leaf the splits below it: leaf, and arrays of nodes, low, high, nth (empty where nothing splits it)."""
+    trees, dim, cosine = forest.trees, forest.dim, forest.cosine
+
+    def grow(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        leaf, size = key[0].as_py(), rows["n"][0].as_py()
+        x = _unit(rows["v"].to_pylist(), dim)
+        own = Forest(trees, dim, cosine)
+        own.grow(leaf % trees, leaf // trees, x, max(FIT_LEAST, int(leaf_vectors * len(x) / size)), spill)
+        low, high, nth = ([v[i] for v in own.splits.values()] for i in range(3))
+        lists = [pa.array([v], pa.list_(t)) for v, t in (([node for _, node in own.splits], pa.int64()), (low, pa.float64()), (high, pa.float64()), (nth, pa.int32()))]
+        return pa.Table.from_arrays([pa.array([leaf], pa.int64()), *lists], names=["leaf", "nodes", "low", "high", "nth"])
+
+    rows = placed.select(F.explode("leaves").alias("leaf"), "fp", "v").join(large, "leaf")
+    schema = "leaf long, nodes array<long>, low array<double>, high array<double>, nth array<int>"
+    return _sampled(rows, leaf_rows, F.col("n")).select("leaf", "n", "v").groupBy("leaf").applyInArrow(grow, schema)
+
+
+def _moved(placed: DataFrame, large: DataFrame, splits: DataFrame, forest: Forest) -> DataFrame:
+    """For each vector of a leaf with further splits: fp, leaf, and the leaves below it that the vector reaches.
+
+    A large leaf is dealt over several tasks; its splits go to each of them and
+    come before the vectors.
+    """
+    trees, dim, cosine = forest.trees, forest.dim, forest.cosine
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf, own = None, Forest(trees, dim, cosine)
+        for batch in batches:
+            leaves, vector = batch.column(0).to_numpy(), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.concatenate([[True], (leaves[1:] != leaves[:-1]) | (vector[1:] != vector[:-1])])) if len(leaves) else np.zeros(0, np.int64)
+            for a, b in zip(cut.tolist(), np.append(cut[1:], len(leaves)).tolist(), strict=True):
+                part = batch.slice(a, b - a)
+                if not vector[a]:
+                    leaf, own = int(leaves[a]), Forest(trees, dim, cosine)
+                    nodes, low, high, nth = (part.column(i)[0].as_py() for i in range(3, 7))
+                    own.splits = {(leaf % trees, node): s for node, *s in zip(nodes, low, high, nth, strict=True)}
+                    continue
+                x = _unit(part.column(2).to_pylist(), dim)
+                out: list[list[int]] = [[] for _ in x]
+                for node, rows in own.descend(leaf % trees, leaf // trees, x):
+                    for r in rows.tolist():
+                        out[r].append(node * trees + leaf % trees)
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(0), pa.array(out, pa.list_(pa.int64()))], names=["fp", "leaf", "below"])
+
+    counted = splits.join(large, "leaf").withColumn("tasks", F.ceil(F.col("n") / DEALT_ROWS))
+    own = counted.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), "nodes", "low", "high", "nth")
+    rows = placed.select(F.explode("leaves").alias("leaf"), "fp", "v").join(counted.select("leaf", "tasks"), "leaf").select("leaf", F.pmod(F.xxhash64("fp"), "tasks").alias("task"), "fp", "v")
+    both = own.unionByName(rows, allowMissingColumns=True).repartition("leaf", "task").sortWithinPartitions("leaf", "task", F.asc_nulls_first("fp"))
+    return both.select("leaf", "fp", "v", "nodes", "low", "high", "nth").mapInArrow(run, "fp binary, leaf long, below array<long>")
+
+
+def fit_forest(classes: DataFrame, dim: int, *, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, fit_rows: int = FIT_ROWS, leaf_rows: int = LEAF_ROWS, max_leaf: int = MAX_LEAF, cosine: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """Classes with their leaves, and leaf and n of the leaves that stay large. classes: fp, node, k, v.
+
+    The driver sees fit_rows vectors and whether large leaves are left, nothing else.
+    """
     forest = Forest(trees, dim, cosine)
-    part = lambda df, n: df if n <= fit_rows else df.filter(F.pmod(F.xxhash64("fp"), F.lit(1_000_003)) < int(1_000_003 * fit_rows / n))
     n = classes.count()
-    x = _unit([r["v"] for r in part(classes, n).select("v").collect()], dim)  # about fit_rows vectors
+    x = _unit([r["v"] for r in _sampled(classes, fit_rows, F.lit(n)).select("v").collect()], dim)  # about fit_rows vectors
     least = max(FIT_LEAST, int(leaf * min(1.0, fit_rows / max(n, 1))))
     for t in range(trees):
         forest.grow(t, 1, x, least, spill)
-    whole: set[int] = set()  # large leaves that nothing splits
+    placed = stored(_placed(classes, forest), "leaves", "none")
+    whole = None  # large leaves that nothing splits
     while True:
-        placed = stored(_placed(classes, forest), "leaves", "none")
-        large = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > max_leaf)
-        sizes = {r["leaf"]: r["n"] for r in large.collect()}  # at most one for each max_leaf vectors of a tree
-        before = len(forest.splits)
-        while len(forest.splits) == before:
-            first = sorted(sizes.keys() - whole, key=lambda leaf: (-sizes[leaf], leaf))[: max(1, fit_rows // (4 * FIT_LEAST))]  # the largest leaves, as many as a sample can split
-            if not first:
-                return forest, placed, sizes
-            share = max(1, fit_rows // len(first))
-            for leaf_no in first:
-                inside, size = placed.filter(F.array_contains("leaves", leaf_no)), sizes[leaf_no]
-                rows = (inside if size <= share else inside.filter(F.pmod(F.xxhash64("fp"), F.lit(1_000_003)) < int(1_000_003 * share / size))).select("v").collect()
-                y = _unit([q["v"] for q in rows], dim)
-                forest.grow(leaf_no % trees, leaf_no // trees, y, max(FIT_LEAST, int(leaf * len(y) / size)), spill)
-                if (leaf_no % trees, leaf_no // trees) not in forest.splits:
-                    whole.add(leaf_no)
-
-
-def _dealt(placed: DataFrame, sizes: dict[int, int], max_leaf: int) -> DataFrame:
-    """Rows of each leaf under a key of its own; those of a leaf above max_leaf under one key for each pair of its blocks."""
+        sizes = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > max_leaf)
+        large = stored(sizes if whole is None else sizes.join(whole, "leaf", "left_anti"), "large-leaves")
+        if large.isEmpty():
+            return placed, large if whole is None else whole
+        grown = stored(_grown(placed, large, forest, leaf, spill, leaf_rows), "splits")
+        still = large.join(grown.filter(F.size("nodes") > 0), "leaf", "left_anti")
+        whole = stored(still if whole is None else whole.unionByName(still), "whole-leaves")
+        moved = _moved(placed, large, grown.filter(F.size("nodes") > 0), forest).groupBy("fp").agg(F.collect_list("leaf").alias("gone"), F.flatten(F.collect_list("below")).alias("below"))  # at most the leaves of a vector
+        none = F.array().cast("array<long>")
+        leaves = F.array_sort(F.concat(F.array_except("leaves", F.coalesce("gone", none)), F.coalesce("below", none)))
+        placed = stored(placed.join(moved, "fp", "left").select("fp", "node", "k", "v", leaves.alias("leaves")), "leaves", "none")
+
+
+def _dealt(placed: DataFrame, whole: DataFrame, max_leaf: int) -> DataFrame:
+    """Rows of each leaf as part 0; those of a leaf that stays large as one part for each pair of its blocks."""
     rows = placed.select(F.explode("leaves").alias("leaf"), "fp", "node", "k", "v", "leaves")
-    kept = ["key", "leaf", "side", "node", "k", "v", "leaves"]
-    if not sizes:
-        return rows.select(F.col("leaf").alias("key"), "leaf", F.lit(OWN).alias("side"), *kept[3:])
-    parts, base = [], 1
-    for leaf, n in sorted(sizes.items()):
-        parts.append((leaf, -(-n // max_leaf), base))
-        base += parts[-1][1] ** 2
-    large = F.broadcast(placed.sparkSession.createDataFrame(parts, "leaf long, blocks long, base long"))
-    rows = rows.join(large, "leaf", "left").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
-    key = -(F.col("base") + F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+    zero = F.lit(0).cast("long")
+    rows = rows.join(whole.select("leaf", F.ceil(F.col("n") / max_leaf).alias("blocks")), "leaf", "left").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(zero)).otherwise(F.sequence(zero, F.col("blocks") - 1))))
+    part = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
     side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(OWN)
-    return rows.withColumns({"key": F.coalesce(key, "leaf"), "side": side}).select(*kept)
+    return rows.withColumns({"part": F.when(F.col("blocks").isNull(), zero).otherwise(part), "side": side}).select("leaf", "part", "side", "node", "k", "v", "leaves")
 
 
-def _linked(placed: DataFrame, sizes: dict[int, int], dim: int, least: float, max_leaf: int) -> DataFrame:
+def _linked(placed: DataFrame, whole: DataFrame, dim: int, least: float, max_leaf: int) -> DataFrame:
     """For each leaf and each of its vectors with links: node, near (a smaller or equal node joined to it), links (vectors of the pairs that this leaf counts)."""
     kind = placed.schema["node"].dataType.simpleString()
 
     def leaf_rows(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        key, leaves, sides = rows["key"].to_numpy(), rows["leaf"].to_numpy(), rows["side"].to_numpy()
-        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        for a, b in zip(cut.tolist(), np.append(cut[1:], len(key)).tolist(), strict=True):
+        leaves, parts, sides = (rows[c].to_numpy() for c in ("leaf", "part", "side"))
+        cut = np.flatnonzero(np.append(True, (leaves[1:] != leaves[:-1]) | (parts[1:] != parts[:-1])))
+        for a, b in zip(cut.tolist(), np.append(cut[1:], len(leaves)).tolist(), strict=True):
             if b - a < 2:
                 continue
             part, leaf, side = rows.slice(a, b - a), leaves[a], sides[a:b]
@@ -253,22 +313,22 @@ def _linked(placed: DataFrame, sizes: dict[int, int], dim: int, least: float, ma
         for batch in batches:
             if not batch.num_rows:
                 continue
-            leaf = batch.column(0).to_numpy()
-            last = np.flatnonzero(leaf != leaf[-1])
-            whole = int(last[-1]) + 1 if len(last) else 0
-            if held and not whole and held[-1].column(0)[0].as_py() == leaf[0]:
+            leaf, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            last = np.flatnonzero((leaf != leaf[-1]) | (part != part[-1]))
+            over = int(last[-1]) + 1 if len(last) else 0
+            if held and not over and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) == (leaf[0], part[0]):
                 held.append(batch)
                 continue
-            done = [*held, batch.slice(0, whole)]
-            held = [batch.slice(whole)]
-            if not whole:  # what was held is over, the new leaf is not
+            done = [*held, batch.slice(0, over)]
+            held = [batch.slice(over)]
+            if not over:  # what was held is over, the new leaf is not
                 done = done[:-1]
             if done:
                 yield from (pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["node", "near", "links"]) for a, b, c in leaf_rows(pa.Table.from_batches(done)))
         if held:
             yield from (pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["node", "near", "links"]) for a, b, c in leaf_rows(pa.Table.from_batches(held)))
 
-    dealt = _dealt(placed, sizes, max_leaf).repartition("key").sortWithinPartitions("key", "node")
+    dealt = _dealt(placed, whole, max_leaf).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "node")
     return dealt.mapInArrow(run, f"node {kind}, near {kind}, links long")
 
 
@@ -306,8 +366,8 @@ def near_duplicate_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: st
     rows = stored(_vectors(df, id_col, vec_col), "vectors", "none")
     dim = rows.agg(F.max("size")).first()[0] or 1
     classes = stored(rows.filter("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("k"), F.first("v").alias("v")), "classes", "none")
-    _, placed, sizes = fit_forest(classes, dim, cosine=least, **options)
-    found = stored(_linked(placed, sizes, dim, least, options.get("max_leaf", MAX_LEAF)), "links")
+    placed, whole = fit_forest(classes, dim, cosine=least, **options)
+    found = stored(_linked(placed, whole, dim, least, options.get("max_leaf", MAX_LEAF)), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("node").alias("a"), F.col("near").alias("b")))
     state = classes.select("fp", "node", "k").join(links, "node", "left").join(comp, "node", "left")

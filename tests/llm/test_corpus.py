@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 from pathlib import Path
 
@@ -384,6 +385,25 @@ def test_large_group_of_near_vectors_keeps_its_links(spark):
     assert {got[i][1] for i in range(6000)} == {0}
 
 
+def test_large_leaves_are_split_in_rounds(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((3000, 24))
+    x = np.concatenate([x, x + rng.standard_normal(x.shape) * 0.05])
+    rows = [(i.to_bytes(4, "big"), i, 1, v.astype("<f8").tobytes()) for i, v in enumerate(x)]
+    classes = spark.createDataFrame(rows, "fp binary, node long, k long, v binary")
+    placed, whole = forest.fit_forest(classes, 24, trees=4, leaf=40, fit_rows=300, leaf_rows=200, max_leaf=300)
+    leaves = {r.node: r.leaves for r in placed.collect()}
+    sizes = Counter(leaf for own in leaves.values() for leaf in own)
+    assert len(leaves) == len(x) and all({leaf % 4 for leaf in own} == {0, 1, 2, 3} for own in leaves.values())
+    assert {leaf for leaf, n in sizes.items() if n > 300} == {r.leaf for r in whole.collect()} == set()
+    assert len(sizes) > 4 * 20
+    links = {r.node: r.links for r in forest._linked(placed, whole, 24, 0.9, 300).groupBy("node").agg(F.sum("links").alias("links")).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    found = np.array([links.get(i, 0) for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.9 * want.sum()
+
+
 # --- 8 and 9: tokens -------------------------------------------------------------------
 
 
