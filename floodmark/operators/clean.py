@@ -106,6 +106,17 @@ def merge_bars(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame
     return both.select(*keys, F.coalesce("n", "o").alias("r")).select(*keys, "r.*")
 
 
+def merge_checked(old: DataFrame, new: DataFrame, keys: Sequence[str], overlap_from: Column, recent_from: Column, start: Column, date: str = "date", *, rejected: str = "raise") -> DataFrame:
+    """merge_bars where merge_problems finds nothing; else the whole batch is rejected: a ValueError with the counts, or old as it is (rejected="keep"). The driver reads one row of counts."""
+    counts = merge_problems(old, new, keys, overlap_from, recent_from, start, date).first().asDict()
+    found = {k: n for k, n in counts.items() if n}
+    if not found:
+        return merge_bars(old, new, keys)
+    if rejected == "raise":
+        raise ValueError("batch rejected: " + ", ".join(f"{k} {n}" for k, n in found.items()))
+    return old
+
+
 def duplicate_bars(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows beyond the first of their key, with kind: identical_duplicate within the tolerance, else conflict."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -10,6 +10,8 @@ from .clean import NEW_YORK, PRICES, TOLERANCE
 
 KEYS = ("series_id", "report_date")
 FULL_HOURS = 115
+#: Columns of an outcome that follow from its hours.
+HOURLY = {"hourly_coverage", "expected_hours", "hours", "order"} | {f"{side}_{c}" for side in ("high", "low") for c in ("reason", "start", "end", "hours")}
 
 
 def new_york(date: Column, hour: int) -> Column:
@@ -148,9 +150,11 @@ def diagnosis(quarantined: Column, nulls: Column, confirmed: Column) -> Column:
 
 
 def archive_merge(current: DataFrame, previous: DataFrame, window_start: str) -> DataFrame:
-    """Outcomes with an earlier run: complete weeks that closed before the queried window stay as they were; hours of the earlier run stay where the daily prices and coverage agree; rows of the earlier run alone are kept.
+    """Outcomes with an earlier run: complete weeks that closed before the queried window stay as they were; hours of the earlier run, and the extremes found by them, stay where daily prices and coverage agree; rows of the earlier run alone are kept.
 
-    Both have KEYS, closes, coverage, prices, days and hourly_coverage.
+    Both have KEYS, closes, coverage, prices, days and hourly_coverage. Weeks that are
+    PARTIAL must agree in expected, missing and unexpected dates too, as far as both
+    tables have these columns.
     """
     cols = [c for c in current.columns if c not in KEYS]
     a, b = current.select(*KEYS, F.struct(*cols).alias("c")), previous.select(*KEYS, F.struct(*cols).alias("p"))
@@ -160,10 +164,16 @@ def archive_merge(current: DataFrame, previous: DataFrame, window_start: str) ->
     for c in PRICES:
         close_to = close_to & (F.abs(F.col(f"c.{c}") - F.col(f"p.{c}")) <= TOLERANCE)
     same_days = F.transform("c.days", lambda d: d["date"]) == F.transform("p.days", lambda d: d["date"])
-    agrees = close_to & same_days & (F.col("c.coverage") == F.col("p.coverage")) & (F.col("c.hourly_coverage") != "COMPLETE_OBSERVED_HOURLY")
+    sessions = F.lit(True)
+    for c in ("expected", "missing", "unexpected"):
+        if c in cols:
+            sessions = sessions & (F.col(f"c.{c}") == F.col(f"p.{c}"))
+    known = (F.col("c.coverage") == "COMPLETE_DAILY") | ((F.col("c.coverage") == "PARTIAL") & sessions)
+    agrees = close_to & same_days & known & (F.col("c.coverage") == F.col("p.coverage")) & (F.col("c.hourly_coverage") != "COMPLETE_OBSERVED_HOURLY")
     status = F.when(F.col("c").isNull(), "ARCHIVED_OUT_OF_SCOPE").when(old, "ARCHIVED_COMPLETE").when(agrees & (F.col("p.hourly_coverage") != "MISSING"), "CURRENT_DAILY_WITH_ARCHIVED_HOURLY").otherwise("CURRENT_QUERY")
     both = both.withColumn("archive_status", F.coalesce(status, F.lit("CURRENT_QUERY")))
     keep = F.col("archive_status").startswith("ARCHIVED")
     out = both.withColumn("r", F.when(keep, F.col("p")).otherwise(F.col("c")))
-    hours = F.when(F.col("archive_status") == "CURRENT_DAILY_WITH_ARCHIVED_HOURLY", F.col("p.hourly_coverage")).otherwise(F.col("r.hourly_coverage"))
-    return out.select(*KEYS, "archive_status", *[hours.alias(c) if c == "hourly_coverage" else F.col(f"r.{c}").alias(c) for c in cols])
+    restored = F.col("archive_status") == "CURRENT_DAILY_WITH_ARCHIVED_HOURLY"
+    hours = lambda c: F.when(restored, F.col(f"p.{c}")).otherwise(F.col(f"r.{c}")).alias(c)
+    return out.select(*KEYS, "archive_status", *[hours(c) if c in HOURLY else F.col(f"r.{c}").alias(c) for c in cols])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .clean import NEW_YORK
 from .windows import by_series, trailing
 
 
@@ -50,3 +51,71 @@ def history_coverage(reports: DataFrame, prices: DataFrame) -> DataFrame:
     b = prices.groupBy("series_id").agg(F.min("date").alias("first_price"), F.max("date").alias("last_price"))
     first_week = F.date_add(F.date_trunc("week", "__a").cast("date"), 7)
     return a.join(b, "series_id", "left").select("series_id", "first_price", "last_price", (F.col("first_price") <= first_week).alias("starts_in_time"), (F.col("last_price") >= F.col("__b")).alias("reaches_end"))
+
+
+def release_errors(sources: DataFrame, now: str, most_hours: float = 36.0) -> DataFrame:
+    """sources with errors: a check that is missing, older than most_hours or in the future, a file that differs from the verified one, no observation date.
+
+    sources: name, fetched_at, observed, sha256 (of the verified download) and file_sha256.
+    """
+    age = (F.lit(now).cast("timestamp").cast("double") - F.col("fetched_at").cast("timestamp").cast("double")) / 3600
+    found = [
+        F.when(F.col("fetched_at").isNull(), "check is missing"), F.when((age > most_hours) | (age < -0.1), "check is not recent"),
+        F.when(~F.coalesce(F.col("sha256") == F.col("file_sha256"), F.lit(False)), "file differs"), F.when(F.col("observed").isNull(), "observation date is missing"),
+    ]
+    return sources.withColumn("errors", F.array_compact(F.array(*found)))
+
+
+def normal_observation(now: str) -> Column:
+    """The Tuesday whose report the timetable (Friday 15:30 in New York) has out by now."""
+    local = F.from_utc_timestamp(F.lit(now).cast("timestamp"), NEW_YORK)
+    today = F.to_date(local)
+    friday = F.date_sub(today, F.pmod(F.weekday(today) - 4, F.lit(7)))
+    early = (F.weekday(today) == 4) & (F.date_format(local, "HH:mm") < "15:30")
+    return F.date_sub(F.when(early, F.date_sub(friday, 7)).otherwise(friday), 3)
+
+
+def release_status(components: DataFrame, sources: DataFrame, now: str, report: str, hub: str) -> DataFrame:
+    """One row with status, n_errors, stale (components, sorted), observed and normal.
+
+    SOURCE_UNVERIFIED where a source has errors; else ERROR where a component has no
+    date at all, STALE where the hub is not current, PARTIAL_STALE where another one is
+    not; AWAITING_RELEASE where all are but the report of the timetable is not out.
+    components: component, latest and current; both tables are a few rows.
+    """
+    named = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("component"))))
+    a = components.agg(F.count_if(F.col("latest").isNull()).alias("lost"), F.count_if((F.col("component") == hub) & ~F.col("current")).alias("hub"), named(~F.col("current")).alias("stale")).withColumn("__i", F.lit(1))
+    b = release_errors(sources, now).agg(F.sum(F.size("errors")).alias("n_errors"), F.max(F.when(F.col("name") == report, F.col("observed"))).alias("observed")).withColumn("__i", F.lit(1))
+    one = a.join(b, "__i").withColumn("normal", normal_observation(now))
+    state = (
+        F.when(F.coalesce("n_errors", F.lit(0)) > 0, "SOURCE_UNVERIFIED").when(F.col("lost") > 0, "ERROR").when(F.col("hub") > 0, "STALE").when(F.size("stale") > 0, "PARTIAL_STALE")
+        .when(F.col("observed") < F.col("normal"), "AWAITING_RELEASE").otherwise("OK")
+    )
+    return one.select(state.alias("status"), F.coalesce("n_errors", F.lit(0)).cast("long").alias("n_errors"), "stale", "observed", "normal")
+
+
+def outcome_rules(df: DataFrame, reports: DataFrame) -> DataFrame:
+    """For each series its outcomes, and those whose date is unknown or repeated, whose week has no result yet but prices, that are complete without prices, or whose eligibility lacks evidence.
+
+    df: outcomes with status and eligible (availability), revision_risk and has_source; reports: series_id and report_date.
+    """
+    known = reports.select("series_id", "report_date").distinct().withColumn("__known", F.lit(True))
+    w = Window.partitionBy("series_id", "report_date")
+    rows = df.join(known, ["series_id", "report_date"], "left").withColumn("__n", F.count("*").over(w))
+    prices = ("open", "high", "low", "close")
+    some = F.coalesce(*[F.col(c) for c in (*prices, "change", "range")]).isNotNull() | F.coalesce("high_date", "low_date").isNotNull()
+    sound = F.lit(True)
+    for c in prices:
+        sound = sound & F.coalesce(F.col(c) > 0, F.lit(False))
+    proven = F.col("status").isin("ACTUAL_RELEASE_BEFORE_WEEK_START", "ACTUAL_PUBLICATION_DATE_BEFORE_WEEK_START") & F.coalesce("has_source", F.lit(False))
+    return rows.groupBy("series_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("__known").isNull()).alias("unknown_date"), F.count_if(F.col("__n") > 1).alias("repeated_date"), F.count_if((F.col("coverage") == "PENDING") & some).alias("pending_with_results"),
+        F.count_if((F.col("coverage") == "COMPLETE_DAILY") & ~sound).alias("complete_without_prices"), F.count_if(F.col("eligible") & ~proven).alias("eligible_without_evidence"),
+        F.count_if(F.col("eligible") & F.coalesce("revision_risk", F.lit(False))).alias("risky_but_eligible"), F.count_if(F.col("status").contains("_AFTER_") & F.coalesce("eligible", F.lit(True))).alias("late_but_not_excluded"),
+    )
+
+
+def foreign_rows(prices: DataFrame, feed: str) -> DataFrame:
+    """For each series the rows whose source does not name the feed, and whether its history may be used: rows, and none of them foreign."""
+    foreign = ~F.coalesce(F.col("source").contains(feed), F.lit(False))
+    return prices.groupBy("series_id").agg(F.count("*").alias("n"), F.count_if(foreign).alias("n_foreign")).withColumn("usable", F.col("n_foreign") == 0)

@@ -23,7 +23,7 @@ from .studies import tidy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-AS_OF = "2024-01-24 12:00:00"
+AS_OF, BEFORE = "2024-01-24 12:00:00", "2024-01-17 12:00:00"
 KEY = ["series_id", "date"]
 
 
@@ -247,6 +247,19 @@ add("incremental_merge_checks", lambda s, d: K.merge_problems(*_refresh(s, d), K
     f"{_NEW} SELECT (SELECT count(*) FROM (SELECT series_id, date FROM nw GROUP BY ALL HAVING count(*) > 1)) AS repeated, (SELECT count(*) FROM (SELECT * FROM od WHERE date >= DATE '2000-12-01') ANTI JOIN nw USING (series_id, date)) AS lost, (SELECT count(*) FROM nw WHERE {_REASON} IS NOT NULL AND date >= DATE '2001-04-01') AS invalid_recent, CAST(0 AS BIGINT) AS cold")
 
 
+def _gated(s: SparkSession, d: str) -> DataFrame:
+    """The same old bars under a batch with faults, which is rejected whole, and under a sound one."""
+    old, faulty = _refresh(s, d)
+    sound = demo.prices(s, d).filter("date >= '2000-12-01'")
+    run = lambda name, new: K.merge_checked(old, new.select(old.columns), KEY, _D("2000-12-01"), _D("2001-04-01"), _D("1995-01-01"), rejected="keep").select(F.lit(name).alias("batch"), *KEY, "close")
+    return tidy(run("faulty", faulty).unionByName(run("sound", sound)), ["batch", *KEY], ["close"])
+
+
+add("incremental_merge_gate", _gated, f"""{_NEW}, c AS (SELECT (SELECT count(*) FROM (SELECT series_id, date FROM nw GROUP BY ALL HAVING count(*) > 1)) + (SELECT count(*) FROM (SELECT * FROM od WHERE date >= DATE '2000-12-01') ANTI JOIN nw USING (series_id, date)) + (SELECT count(*) FROM nw WHERE {_REASON} IS NOT NULL AND date >= DATE '2001-04-01') AS faults),
+m AS (SELECT series_id, date, CASE WHEN ok.series_id IS NULL THEN od.close ELSE ok.close END AS close FROM od FULL JOIN ok USING (series_id, date))
+SELECT 'faulty' AS batch, series_id, date, {r6('close')} AS close FROM od, c WHERE faults > 0 UNION ALL SELECT 'faulty', series_id, date, {r6('close')} FROM m, c WHERE faults = 0 UNION ALL SELECT 'sound', series_id, date, {r6('close')} FROM prices""")
+
+
 def _twice(s: SparkSession, d: str) -> DataFrame:
     p = demo.prices(s, d)
     again = p.filter(F.dayofmonth("date") <= 3).withColumn("close", F.when(F.dayofmonth("date") == 2, F.col("close") + 1).otherwise(F.col("close") + 0.0001))
@@ -313,7 +326,6 @@ add("week_coverage", lambda s, d: week_outcomes(s, d).select(*_RK, "coverage", "
     f"WITH {_OUTC} SELECT series_id, report_date, week_start, coverage, week_state, len(dates) AS n_days, n_missing, n_unexpected FROM ow")
 add("week_outcome", lambda s, d: tidy(week_outcomes(s, d), _RK, _PX), f"WITH {_OUTC} SELECT series_id, report_date, week_start, {r6('open')} AS open, {r6('high')} AS high, {r6('low')} AS low, {r6('close')} AS close, {r6('close - open')} AS change, {r6('(close - open) / nullif(open, 0)')} AS change_pct, {r6('high - low')} AS range, {r6('(high - low) / nullif(open, 0)')} AS range_pct FROM ow")
 add("hourly_coverage", lambda s, d: week_outcomes(s, d).select(*_RK, "hourly_coverage", F.size("hours").cast("long").alias("n_hours")), f"WITH {_OUTC} SELECT series_id, report_date, week_start, hourly_coverage, CASE WHEN pending THEN 0 ELSE n_hours END AS n_hours FROM ow")
-add("outcome_coverage_summary", lambda s, d: week_outcomes(s, d).groupBy("coverage").agg(F.count("*").alias("n"), F.count_if(F.col("high_hours") > 0).alias("n_high_hours"), F.count_if(F.col("low_hours") > 0).alias("n_low_hours")))
 _X = f"""{_OUTC}, xd AS (SELECT ow.series_id, ow.week_start, list(k.date ORDER BY k.date) FILTER (abs(k.high - ow.high) <= 0.0005) AS hd, list(k.date ORDER BY k.date) FILTER (abs(k.low - ow.low) <= 0.0005) AS ld FROM ow JOIN kd k ON k.series_id = ow.series_id AND CAST(date_trunc('week', k.date) AS DATE) = ow.week_start GROUP BY ALL),
 xh AS (SELECT ow.series_id, ow.week_start, list(h.session_date ORDER BY h.bar_start) FILTER (abs(h.high - ow.high) <= 0.0005) AS hs, list(h.session_date ORDER BY h.bar_start) FILTER (abs(h.low - ow.low) <= 0.0005) AS ls, min(h.bar_start) FILTER (abs(h.high - ow.high) <= 0.0005) AS hb, min(h.bar_start) FILTER (abs(h.low - ow.low) <= 0.0005) AS lb FROM ow JOIN kh h ON h.series_id = ow.series_id AND isodow(h.session_date) <= 5 AND CAST(date_trunc('week', h.session_date) AS DATE) = ow.week_start GROUP BY ALL),
 x AS MATERIALIZED (SELECT ow.*, coalesce(hd, []) AS hd, coalesce(ld, []) AS ld, hs, ls, hb, lb FROM ow LEFT JOIN xd USING (series_id, week_start) LEFT JOIN xh USING (series_id, week_start))"""
@@ -323,6 +335,8 @@ def _reason_sql(d: str, s: str, top: str, px: str) -> str:
     return f"CASE WHEN len(dates) = 0 THEN 'NO_DAILY_BARS' WHEN n_hours = 0 THEN 'NO_HOURLY_BARS' WHEN abs({top} - {px}) > 0.0005 THEN 'DAILY_HOURLY_EXTREME_MISMATCH' WHEN {s}[1] <> {d}[1] OR len(list_filter({s}, lambda q: NOT list_contains({d}, q))) > 0 THEN 'DAILY_HOURLY_SESSION_MISMATCH' WHEN hourly_coverage = 'COMPLETE_OBSERVED_HOURLY' THEN 'MATCHED_FIRST_OBSERVED_HOUR_BUCKET' ELSE 'MATCHED_OBSERVED_BUCKET_INCOMPLETE_HOURLY_COVERAGE' END"
 
 
+add("outcome_coverage_summary", lambda s, d: week_outcomes(s, d).groupBy("coverage").agg(F.count("*").alias("n"), F.count_if(F.col("high_hours") > 0).alias("n_high_hours"), F.count_if(F.col("low_hours") > 0).alias("n_low_hours")),
+    f"WITH {_X}, y AS (SELECT *, {_reason_sql('hd', 'hs', 'hh', 'high')} AS high_reason, {_reason_sql('ld', 'ls', 'hl', 'low')} AS low_reason FROM x) SELECT coverage, count(*) AS n, count(*) FILTER (starts_with(high_reason, 'MATCHED')) AS n_high_hours, count(*) FILTER (starts_with(low_reason, 'MATCHED')) AS n_low_hours FROM y GROUP BY ALL")
 add("extreme_details", lambda s, d: week_outcomes(s, d).select(*_RK, "high_date", "low_date", F.size("high_dates").cast("long").alias("n_high"), F.size("low_dates").cast("long").alias("n_low"), "high_reason", "low_reason", "high_start", "low_start"),
     f"""WITH {_X}, y AS (SELECT *, {_reason_sql('hd', 'hs', 'hh', 'high')} AS high_reason, {_reason_sql('ld', 'ls', 'hl', 'low')} AS low_reason FROM x) SELECT series_id, report_date, week_start, hd[1] AS high_date, ld[1] AS low_date, len(hd) AS n_high, len(ld) AS n_low, high_reason, low_reason,
 CASE WHEN starts_with(high_reason, 'MATCHED') THEN hb END AS high_start, CASE WHEN starts_with(low_reason, 'MATCHED') THEN lb END AS low_start FROM y""")
@@ -351,17 +365,25 @@ add("release_evidence_join", lambda s, d: J.release_join(reports(s, d), _evidenc
 add("research_availability", lambda s, d: available(s, d).select(*_RK, "status", "relation", "eligible"), f"""WITH {_EVI} SELECT series_id, report_date, week_start, status, CASE WHEN scheduled + INTERVAL 5 HOUR >= closes THEN 'AFTER_OUTCOME_WEEK' WHEN scheduled + INTERVAL 5 HOUR >= opens THEN 'DURING_OUTCOME_WEEK' WHEN scheduled + INTERVAL 29 HOUR <= opens THEN 'BEFORE_OUTCOME_WEEK' ELSE 'OVERLAPS_WEEK_START_DATE' END AS relation,
 CASE WHEN contains(status, '_AFTER_') THEN false WHEN contains(status, '_BEFORE_') AND k <> 3 THEN true END AS eligible FROM st""")
 _DATES = lambda k: F.array(F.date_add("week_start", k))
-add("coverage_diagnosis", lambda s, d: week_outcomes(s, d).select(*_RK, O.diagnosis(_DATES(0), _DATES(1), _DATES(3)).alias("category")))
+add("coverage_diagnosis", lambda s, d: week_outcomes(s, d).select(*_RK, O.diagnosis(_DATES(0), _DATES(1), _DATES(3)).alias("category")),
+    f"""WITH {_OUTC}, g AS (SELECT *, list_filter(expected, lambda x: NOT list_contains(dates, x)) AS gone FROM ow), m AS (SELECT *, list_contains(gone, week_start) AS bad, list_contains(gone, week_start + 1) AS empty, list_contains(gone, week_start + 3) AS sure, list_contains(gone, week_start + 1) OR list_contains(gone, week_start + 2) OR list_contains(gone, week_start + 4) AS loose FROM g)
+SELECT series_id, report_date, week_start, CASE WHEN pending THEN 'PENDING' WHEN coverage = 'COMPLETE_DAILY' THEN CASE WHEN holiday THEN 'VERIFIED_HOLIDAY_SHORTENED_COMPLETE' ELSE 'COMPLETE_EXPECTED_LABELS' END WHEN bad THEN CASE WHEN loose THEN 'QUARANTINED_OHLC_AND_UNVERIFIED_GAP' WHEN sure THEN 'QUARANTINED_OHLC_AND_CONFIRMED_GAP' ELSE 'QUARANTINED_OHLC' END
+WHEN sure THEN CASE WHEN loose THEN 'CONFIRMED_SOURCE_GAP_AND_UNVERIFIED_GAP' ELSE 'CONFIRMED_SOURCE_GAP' END WHEN empty THEN 'SOURCE_NULL_UNVERIFIED_CALENDAR' ELSE 'UNVERIFIED_CALENDAR_OR_SOURCE_GAP' END AS category FROM m""")
 
 
 def _archive(s: SparkSession, d: str) -> DataFrame:
     """The outcomes of AS_OF over those of a week before."""
     cols = ["series_id", "report_date", "closes", "coverage", "hourly_coverage", "days", "open", "high", "low", "close"]
-    now, before = week_outcomes(s, d).select(cols).filter("report_date >= '2024-01-01'"), week_outcomes(s, d, "2024-01-17 12:00:00").select(cols)
+    now, before = week_outcomes(s, d).select(cols).filter("report_date >= '2024-01-01'"), week_outcomes(s, d, BEFORE).select(cols)
     return O.archive_merge(now, before, "2024-01-13 00:00:00")
 
 
-add("archive_merge", lambda s, d: tidy(_archive(s, d), ["series_id", "report_date", "archive_status", "coverage", "hourly_coverage"], ["close"]))
+_RUN = "(WITH {o} SELECT series_id, report_date, week_end + INTERVAL 22 HOUR AS closes, coverage, hourly_coverage, CASE WHEN NOT pending THEN dates ELSE [] END AS dates, open, high, low, close FROM ow)"
+_CLOSE = " AND ".join(f"abs(c.{x} - p.{x}) <= 0.0005" for x in ("open", "high", "low", "close"))
+add("archive_merge", lambda s, d: tidy(_archive(s, d), ["series_id", "report_date", "archive_status", "coverage", "hourly_coverage"], ["close"]),
+    f"""WITH c AS (SELECT * FROM {_RUN.format(o=_OUTC)} WHERE report_date >= DATE '2024-01-01'), p AS (SELECT * FROM {_RUN.format(o=_OUTC.replace(AS_OF, BEFORE))}), j AS (SELECT series_id, report_date, c, p, CASE WHEN c.coverage IS NULL THEN 'ARCHIVED_OUT_OF_SCOPE' WHEN p.closes < TIMESTAMP '2024-01-13' AND p.coverage = 'COMPLETE_DAILY' THEN 'ARCHIVED_COMPLETE'
+WHEN {_CLOSE} AND c.dates = p.dates AND c.coverage = p.coverage AND c.hourly_coverage <> 'COMPLETE_OBSERVED_HOURLY' AND p.hourly_coverage <> 'MISSING' THEN 'CURRENT_DAILY_WITH_ARCHIVED_HOURLY' ELSE 'CURRENT_QUERY' END AS archive_status FROM c FULL JOIN p USING (series_id, report_date))
+SELECT series_id, report_date, archive_status, CASE WHEN starts_with(archive_status, 'ARCHIVED') THEN p.coverage ELSE c.coverage END AS coverage, CASE WHEN contains(archive_status, 'ARCHIVED') THEN p.hourly_coverage ELSE c.hourly_coverage END AS hourly_coverage, {r6("CASE WHEN starts_with(archive_status, 'ARCHIVED') THEN p.close ELSE c.close END")} AS close FROM j""")
 
 
 def _sink_outcomes(s: SparkSession, d: str) -> DataFrame:
@@ -390,6 +412,39 @@ add("validate_outcomes", lambda s, d: Q.validate_outcomes(week_outcomes(s, d)),
 add("history_coverage", lambda s, d: Q.history_coverage(demo.positions(s, d), demo.prices(s, d)), f"WITH {POSITIONS}, {PRICES}, p AS (SELECT series_id, min(date) AS a, max(date) AS b FROM positions GROUP BY ALL), q AS (SELECT series_id, min(date) AS first_price, max(date) AS last_price FROM prices GROUP BY ALL) SELECT series_id, first_price, last_price, first_price <= CAST(date_trunc('week', a) AS DATE) + 7 AS starts_in_time, last_price >= b AS reaches_end FROM p LEFT JOIN q USING (series_id)")
 
 
+add("feed_check", lambda s, d: Q.foreign_rows(demo.prices(s, d).withColumn("source", F.when((F.col("series_id") == "ASIA") & (F.dayofmonth("date") == 1), "other feed").otherwise("Yahoo GC=F")), "GC=F"),
+    f"WITH {PRICES} SELECT series_id, count(*) AS n, count(*) FILTER (series_id = 'ASIA' AND day(date) = 1) AS n_foreign, count(*) FILTER (series_id = 'ASIA' AND day(date) = 1) = 0 AS usable FROM prices GROUP BY ALL")
+NOW = "2001-08-12 12:00:00"
+
+
+def _release(s: SparkSession, d: str) -> DataFrame:
+    """Freshness under checks of two sources: in each run one source is in order, the other's check is old in the second run."""
+    last = demo.positions(s, d).agg(F.max("date").alias("observed"))
+    source = lambda name, fetched: last.select(F.lit(name).alias("name"), F.lit(fetched).cast("timestamp").alias("fetched_at"), "observed", F.lit("a").alias("sha256"), F.lit("a").alias("file_sha256"))
+    one = lambda run, fetched: Q.release_status(freshness(s, d), source("reports", "2001-08-12 09:00:00").unionByName(source("prices", fetched)), NOW, "reports", "bars").select(F.lit(run).alias("run"), "status", "n_errors", F.array_join("stale", ",").alias("stale"), "observed", "normal")
+    return one("checked", "2001-08-12 09:00:00").unionByName(one("old", "2001-08-10 09:00:00"))
+
+
+_LATEST = f"WITH {POSITIONS}, {PRICES}, {ALT_PRICES}, l AS ({' UNION ALL '.join(f'SELECT {chr(39)}{n}{chr(39)} AS component, max({c}) AS latest, DATE {chr(39)}{e}{chr(39)} AS expected FROM {t}' for n, (t, c, e) in _FR.items())})"
+add("release_status", _release, f"""{_LATEST}, a AS (SELECT coalesce(string_agg(component, ',' ORDER BY component) FILTER (NOT coalesce(latest >= expected - 3, false)), '') AS stale, count(*) FILTER (latest IS NULL) AS lost, count(*) FILTER (component = 'bars' AND NOT coalesce(latest >= expected - 3, false)) AS hub FROM l),
+b AS (SELECT max(date) AS observed, CAST(date_trunc('week', DATE '2001-08-12') AS DATE) + 1 AS normal FROM positions) SELECT run, CASE WHEN run = 'old' THEN 'SOURCE_UNVERIFIED' WHEN lost > 0 THEN 'ERROR' WHEN hub > 0 THEN 'STALE' WHEN stale <> '' THEN 'PARTIAL_STALE' WHEN observed < normal THEN 'AWAITING_RELEASE' ELSE 'OK' END AS status,
+CAST(CASE WHEN run = 'old' THEN 1 ELSE 0 END AS BIGINT) AS n_errors, stale, observed, normal FROM a, b, (SELECT unnest(['checked', 'old']) AS run)""")
+
+
+def _ruled(s: SparkSession, d: str) -> DataFrame:
+    """Outcomes with two planted faults: revised reports are called eligible, and reports from 2024-01-20 on are unknown."""
+    df = O.availability(J.release_join(week_outcomes(s, d), _evidence(s, d)))
+    df = df.withColumn("eligible", F.when(F.col("revision_risk"), True).otherwise(F.col("eligible")))
+    return Q.outcome_rules(df, reports(s, d).filter("report_date < '2024-01-20'"))
+
+
+add("outcome_rules", _ruled, f"""WITH {_OUTC}{_EVI[len(_EXP):]}, r AS (SELECT *, CASE WHEN k = 3 THEN true WHEN contains(status, '_AFTER_') THEN false WHEN contains(status, '_BEFORE_') THEN true END AS el, count(*) OVER (PARTITION BY series_id, report_date) AS again FROM ow JOIN (SELECT series_id, report_date, k, status FROM st) USING (series_id, report_date))
+SELECT series_id, count(*) AS n, count(*) FILTER (report_date >= DATE '2024-01-20') AS unknown_date, count(*) FILTER (again > 1) AS repeated_date, count(*) FILTER (coverage = 'PENDING' AND close IS NOT NULL) AS pending_with_results, count(*) FILTER (coverage = 'COMPLETE_DAILY' AND NOT coalesce(open > 0 AND high > 0 AND low > 0 AND close > 0, false)) AS complete_without_prices,
+count(*) FILTER (el AND status NOT IN ('ACTUAL_RELEASE_BEFORE_WEEK_START', 'ACTUAL_PUBLICATION_DATE_BEFORE_WEEK_START')) AS eligible_without_evidence, count(*) FILTER (el AND k = 3) AS risky_but_eligible, count(*) FILTER (contains(status, '_AFTER_') AND coalesce(el, true)) AS late_but_not_excluded FROM r GROUP BY ALL""")
+add("outcomes_alignment", lambda s, d: J.alignment(week_outcomes(s, d), reports(s, d).filter("report_date < '2024-01-20'"), ["series_id", "report_date"]),
+    f"WITH {_EXP} SELECT count(*) FILTER (report_date < DATE '2024-01-20') AS both, count(*) FILTER (report_date >= DATE '2024-01-20') AS only_first, CAST(0 AS BIGINT) AS only_second FROM wk")
+
+
 def hub(s: SparkSession, d: str) -> DataFrame:
     """One record for each series: its latest weekly row and states, what followed similar weeks, and its price history."""
     last = demo.lifecycle(s, d).groupBy("series_id").agg(F.max("date").alias("date"), *[F.max_by(c, "date").alias(c) for c in ("close", "mm_pct", "oi_pct", "lifecycle_state", "regime")])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import stats as S
 from ..operators import windows as W
+from ..sources.paths import stored
 from . import demo, sql
 from .sql import DEFS, FULL, LIFE, STRUCT, r6
 
@@ -212,9 +213,10 @@ def spread_sql(source: str, keys: str, name: str = "sp") -> str:
 add("quintile_spread", lambda s, d: tidy(S.quantile_spread(_velocity_pairs(s, d), _K), _K, ["spread"]), f"{_VL}, {spread_sql('l', 'series_id, feature, horizon')} SELECT series_id, feature, horizon, {r6('spread')} AS spread FROM sp")
 
 
-def velocity_splits(s: SparkSession, d: str) -> DataFrame:
+def velocity_splits(pairs: DataFrame) -> DataFrame:
     """Spearman and quintile spread in train and test; consistent where both correlations point the same way (zero counts as either)."""
-    rows, keys = _velocity_pairs(s, d), ["series_id", "split", "feature", "horizon"]
+    keys = ["series_id", "split", "feature", "horizon"]
+    rows = pairs
     both = S.correlations(rows, keys).join(S.quantile_spread(rows, keys), keys)
     out = both.groupBy(*_K).agg(*[F.max(F.when(F.col("split") == k, F.col(c))).alias(f"{k}_{n}") for k in ("train", "test") for c, n in (("spearman", "corr"), ("spread", "spread"))])
     p = F.col("train_corr") * F.col("test_corr")
@@ -224,7 +226,7 @@ def velocity_splits(s: SparkSession, d: str) -> DataFrame:
 _VT = ["train_corr", "test_corr", "train_spread", "test_spread"]
 _VTSQL = f"""{corr_sql('l', 'series_id, split, feature, horizon', 5)}, {spread_sql('l', 'series_id, split, feature, horizon')},
 vt AS MATERIALIZED (SELECT series_id, feature, horizon, {', '.join(f"max(CASE WHEN split = '{k}' THEN {c} END) AS {k}_{n}" for k in ('train', 'test') for c, n in (('s', 'corr'), ('spread', 'spread')))} FROM cr JOIN sp USING (series_id, split, feature, horizon) GROUP BY ALL)"""
-add("velocity_train_test", lambda s, d: tidy(velocity_splits(s, d), [*_K, "consistent"], _VT), f"{_VL}, {_VTSQL} SELECT series_id, feature, horizon, coalesce(train_corr * test_corr >= 0, false) AS consistent, {', '.join(f'{r6(c)} AS {c}' for c in _VT)} FROM vt")
+add("velocity_train_test", lambda s, d: tidy(velocity_splits(_velocity_pairs(s, d)), [*_K, "consistent"], _VT), f"{_VL}, {_VTSQL} SELECT series_id, feature, horizon, coalesce(train_corr * test_corr >= 0, false) AS consistent, {', '.join(f'{r6(c)} AS {c}' for c in _VT)} FROM vt")
 
 
 def percent_score(x: str, part: list[str], higher_is_better: bool, direction: str = "reference") -> F.Column:
@@ -234,9 +236,11 @@ def percent_score(x: str, part: list[str], higher_is_better: bool, direction: st
 
 
 def velocity_scorecard(s: SparkSession, d: str, direction: str = "reference") -> DataFrame:
-    rows = _velocity_pairs(s, d)
-    card = S.correlations(rows, _K).join(S.quantile_spread(rows, _K), _K).join(S.change_stats(demo.structure(s, d), VELOCITY, ["series_id"]).drop("n"), ["series_id", "feature"])
-    card = card.join(velocity_splits(s, d).select(*_K, "consistent"), _K)
+    # written once: correlations, spreads and changes would each build it from the given tables
+    frame = stored(demo.structure(s, d).select("series_id", "date", "split", *dict.fromkeys([*VELOCITY.values(), *TRAIL.values()])), "structure")
+    rows = S.pairs(frame, VELOCITY, TRAIL, ["series_id", "date", "split"])
+    card = S.correlations(rows, _K).join(S.quantile_spread(rows, _K), _K).join(S.change_stats(frame, VELOCITY, ["series_id"]).drop("n"), ["series_id", "feature"])
+    card = card.join(velocity_splits(rows).select(*_K, "consistent"), _K)
     card = card.withColumns({"abs_corr": F.round(F.abs("spearman"), 9), "abs_spread": F.round(F.abs("spread"), 9), "change_avg": F.round("change_avg", 9), "change_sd_pop": F.round("change_sd_pop", 9), "window": F.regexp_extract("feature", "_v(\\d+)$", 1).cast("int"), "grp": F.split("feature", "_")[0]})
     sc = lambda x, better: percent_score(x, ["series_id"], better, direction)
     card = card.withColumns({

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set(key, base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back, so that several uses compute it once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
