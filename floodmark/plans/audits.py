@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import stats as S
 from ..operators import windows as W
+from ..sources.paths import stored
 from . import demo
 from .sql import DEFS, r6
 from .studies import CLOSED, FLOORED, H, _change_sql, corr_sql, spread_sql, tidy, unpivot
@@ -29,9 +30,9 @@ def add(name: str, run: Callable[[SparkSession, str], DataFrame], oracle: str) -
     QUERIES[name], ORACLES[name] = run, oracle
 
 
-def signal_pairs(s: SparkSession, d: str, seg: str | None = None) -> DataFrame:
+def signal_pairs(s: SparkSession, d: str, seg: str | None = None, frame: DataFrame | None = None) -> DataFrame:
     part = ["series_id", *([seg] if seg else [])]
-    return S.factor_study(demo.definitions(s, d), SIGNALS, "close", H, part)
+    return S.factor_study(demo.definitions(s, d) if frame is None else frame, SIGNALS, "close", H, part)
 
 
 def signal_bucket(rows: DataFrame, keys: list[str], rank_shares: bool = False) -> DataFrame:
@@ -101,11 +102,13 @@ _KT = ["series_id", "split", "feature", "horizon"]
 add("signal_train_test", lambda s, d: tidy(information(signal_pairs(s, d, "split"), _KT, True), _KT, _I, ["n_up", "n_down", "n", "missing"]), f"{segment('split')}, {info_sql(', '.join(_KT), 'rbucket')} SELECT {', '.join(_KT)}, {_ISEL}")
 
 
-def _detail(s: SparkSession, d: str) -> DataFrame:
-    rows = S.solid(signal_pairs(s, d).filter(~F.col("feature").contains("__z")))
+def _detail(s: SparkSession, d: str, frame: DataFrame | None = None) -> DataFrame:
+    frame = stored(demo.definitions(s, d), "definitions") if frame is None else frame  # read several times
+    pairs = signal_pairs(s, d, frame=frame).filter(~F.col("feature").contains("__z"))
+    rows = S.solid(pairs)
     t = S.tails(rows, _K, C.decile_closed_right("x"))
     deciles = rows.groupBy(*_K).agg(F.count_distinct(C.decile_closed_right("x")).alias("deciles"))
-    return information(signal_pairs(s, d).filter(~F.col("feature").contains("__z")), _K).drop("spread").join(t, _K, "left").join(deciles, _K, "left")
+    return information(pairs, _K).drop("spread").join(t, _K, "left").join(deciles, _K, "left")
 
 
 _DT = ["spearman", "pearson", "monotonicity", "tail_spread", "tail_t", "avg_low", "avg_high"]
@@ -126,14 +129,15 @@ add("definition_stability", lambda s, d: tidy(S.change_stats(demo.definitions(s,
 
 def definition_summary(s: SparkSession, d: str) -> DataFrame:
     """Percent ranks of the measures within factor and horizon, of stability within factor, and their means."""
-    det = _detail(s, d).withColumn("factor", F.split("feature", "__")[0])
+    frame = stored(demo.definitions(s, d), "definitions")
+    det = _detail(s, d, frame).withColumn("factor", F.split("feature", "__")[0])
     measures = {"spearman": "a1", "monotonicity": "a2", "tail_t": "a3"}
     det = det.withColumns({a: F.round(F.abs(c), 9) for c, a in measures.items()})
     part = ["series_id", "factor", "horizon"]
     mean = lambda cols: F.aggregate(F.filter(F.array(*cols), lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x) / F.size(F.filter(F.array(*cols), lambda x: x.isNotNull()))
     det = det.withColumn("information", mean([W.percent_rank_average(c, part) for c in ("a1", "a2", "a3", "n", "deciles")]))
     info = det.groupBy("series_id", "factor", "feature").agg(F.avg("information").alias("info_all"), F.avg(F.when(F.col("horizon") >= 4, F.col("information"))).alias("info_long"))
-    st = S.change_stats(demo.definitions(s, d), SHARES, ["series_id"]).withColumn("factor", F.split("feature", "__")[0])
+    st = S.change_stats(frame, SHARES, ["series_id"]).withColumn("factor", F.split("feature", "__")[0])
     st = st.withColumns({c: F.round(c, 9) for c in ("coverage", "change_median", "change_p95")})
     own = ["series_id", "factor"]
     st = st.withColumn("stability", mean([W.percent_rank_average("coverage", own), W.percent_rank_average("deciles", own), W.percent_rank_average("change_median", own, True), W.percent_rank_average("change_p95", own, True)]))

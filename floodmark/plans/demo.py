@@ -82,10 +82,10 @@ def master(spark: SparkSession, sf: str) -> DataFrame:
     return J.asof(left, right, ["close"]).filter(F.col("close").isNotNull())
 
 
-def weekly(spark: SparkSession, sf: str) -> DataFrame:
-    """The weekly master with returns, percentiles, z-scores, split and regime."""
+def weekly(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
+    """The weekly master (or base, if it was written before) with returns, percentiles, z-scores, split and regime."""
     w = W.by_series()
-    df = master(spark, sf)
+    df = master(spark, sf) if base is None else base
     df = W.trailing_returns(df)
     df = W.forward_returns(df)
     df = df.withColumns({f"{k}_pct": W.percentile(c, 156, 52, w) for k, c in (("mm", "mm_net"), ("producer", "producer_net"), ("swap", "swap_net"), ("oi", "oi"), ("close", "close"))})
@@ -93,10 +93,10 @@ def weekly(spark: SparkSession, sf: str) -> DataFrame:
     return df.withColumns({"split": C.sample_split("date", TRAIN_END, TEST_START), "regime": W.price_regime("close", w)})
 
 
-def structure(spark: SparkSession, sf: str) -> DataFrame:
+def structure(spark: SparkSession, sf: str, base: DataFrame | None = None) -> DataFrame:
     """Prior percentiles of longs, shorts and nets, their velocities, 8-week changes and states."""
     w = W.by_series()
-    df = W.trailing_returns(master(spark, sf))
+    df = W.trailing_returns(master(spark, sf) if base is None else base)
     sides = ("long", "short", "net")
     df = df.withColumns({f"{s}_pct": W.prior_percentile(f"mm_{s}", 156, 20, w) for s in sides})
     df = W.velocities(df, [f"{s}_pct" for s in sides], (2, 4, 8, 12, 26))
@@ -105,8 +105,8 @@ def structure(spark: SparkSession, sf: str) -> DataFrame:
     return df.withColumns({"contribution_state": C.contribution_state("long_change8", "short_change8"), "split": C.sample_split("date", TRAIN_END, TEST_START)})
 
 
-def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
-    df = W.velocities(weekly(spark, sf), ["mm_pct"], (4, 8, 12, 26))
+def lifecycle(spark: SparkSession, sf: str, frame: DataFrame | None = None) -> DataFrame:
+    df = W.velocities(weekly(spark, sf) if frame is None else frame, ["mm_pct"], (4, 8, 12, 26))
     w = W.by_series()
     df = df.withColumn("mm_accel8", F.col("mm_pct_v8") - F.lag("mm_pct_v8", 8).over(w))
     return df.withColumn("lifecycle_state", C.lifecycle_state("mm_pct", "mm_pct_v8"))

@@ -14,7 +14,7 @@ from ..operators import outcomes as O
 from ..operators import quality as Q
 from ..sources import readers as R
 from ..sources import sinks
-from ..sources.paths import scratch
+from ..sources.paths import scratch, stored
 from ..streaming import bars as B
 from . import demo, sql, weekly
 from .search import TEND, tendencies
@@ -447,10 +447,12 @@ add("outcomes_alignment", lambda s, d: J.alignment(week_outcomes(s, d), reports(
 
 def hub(s: SparkSession, d: str) -> DataFrame:
     """One record for each series: its latest weekly row and states, what followed similar weeks, and its price history."""
-    last = demo.lifecycle(s, d).groupBy("series_id").agg(F.max("date").alias("date"), *[F.max_by(c, "date").alias(c) for c in ("close", "mm_pct", "oi_pct", "lifecycle_state", "regime")])
-    change = weekly.weekly_changes(s, d).groupBy("series_id").agg(F.max_by("state", "date").alias("weekly_state"))
-    read = weekly.velocity_readings(s, d).groupBy("series_id").agg(F.max_by("reading", "date").alias("reading"))
-    out = last.join(change, "series_id", "left").join(read, "series_id", "left").join(tendencies(s, d).select("series_id", "tendency", "confidence"), "series_id", "left").join(Q.history_coverage(demo.positions(s, d), demo.prices(s, d)).select("series_id", "reaches_end"), "series_id", "left")
+    base = stored(demo.master(s, d), "master")
+    frame = stored(demo.weekly(s, d, base), "weekly-frame")
+    last = demo.lifecycle(s, d, frame).groupBy("series_id").agg(F.max("date").alias("date"), *[F.max_by(c, "date").alias(c) for c in ("close", "mm_pct", "oi_pct", "lifecycle_state", "regime")])
+    change = weekly.weekly_changes(s, d, base).groupBy("series_id").agg(F.max_by("state", "date").alias("weekly_state"))
+    read = weekly.velocity_readings(s, d, base).groupBy("series_id").agg(F.max_by("reading", "date").alias("reading"))
+    out = last.join(change, "series_id", "left").join(read, "series_id", "left").join(tendencies(s, d, frame).select("series_id", "tendency", "confidence"), "series_id", "left").join(Q.history_coverage(demo.positions(s, d), demo.prices(s, d)).select("series_id", "reaches_end"), "series_id", "left")
     return tidy(out.withColumn("market_state", C.market_state("mm_pct", "oi_pct")), ["series_id", "date", "lifecycle_state", "regime", "weekly_state", "reading", "tendency", "confidence", "reaches_end", "market_state"], ["close", "mm_pct", "oi_pct"])
 
 

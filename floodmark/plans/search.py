@@ -28,8 +28,8 @@ def add(name: str, run: Callable[[SparkSession, str], DataFrame], oracle: str |
         ORACLES[name] = oracle
 
 
-def cases(s: SparkSession, d: str) -> DataFrame:
-    return M.similar_states(demo.weekly(s, d), FEATURES, keep=list(FWD.values()))
+def cases(s: SparkSession, d: str, frame: DataFrame | None = None) -> DataFrame:
+    return M.similar_states(demo.weekly(s, d) if frame is None else frame, FEATURES, keep=list(FWD.values()))
 
 
 _FULLROW = " AND ".join(f"{f} IS NOT NULL" for f in FEATURES)
@@ -76,8 +76,8 @@ def _similarity_summary(s: SparkSession, d: str) -> DataFrame:
 add("similarity_summary", _similarity_summary, f"{CASES} " + " UNION ALL ".join(f"SELECT series_id, {h} AS horizon, {r6(f'avg(f{h})')} AS mean, {r6(f'quantile_cont(f{h}, 0.25)')} AS q1, {r6(f'median(f{h})')} AS median, {r6(f'quantile_cont(f{h}, 0.75)')} AS q3, {r6(f'avg(CAST(f{h} > 0 AS INTEGER))')} AS win, {r6(f'min(f{h})')} AS low, {r6(f'max(f{h})')} AS high, count(f{h}) AS n FROM cases GROUP BY ALL" for h in demo.HORIZONS))
 
 
-def tendencies(s: SparkSession, d: str) -> DataFrame:
-    c = cases(s, d)
+def tendencies(s: SparkSession, d: str, frame: DataFrame | None = None) -> DataFrame:
+    c = cases(s, d, frame)
     t = M.top_groups(c, FWD).filter("size = 20").join(c.groupBy("series_id").agg(F.avg("score").alias("score")), "series_id")
     return t.select("series_id", C.tendency("avg1", "avg2", "avg4", "avg8", "win8").alias("tendency"), C.sample_tendency("median8", "win8").alias("sample_tendency"), C.confidence("cases", "win8", "median8", "avg8", "score").alias("confidence"), C.r6("score").alias("score"), C.r6("avg8").alias("avg8"), C.r6("win8").alias("win8"))
 

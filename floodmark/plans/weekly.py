@@ -65,10 +65,10 @@ add("normalized_index", lambda s, d: rounded(demo.master(s, d).withColumn("index
     f"{sql.BASE} SELECT series_id, date, {r6('close / first_value(close) OVER (PARTITION BY series_id ORDER BY date) * 100')} AS index FROM master")
 
 
-def weekly_changes(s: SparkSession, d: str) -> DataFrame:
+def weekly_changes(s: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
     """One-week changes of long, short and net, their shares of the week before, and states."""
     w = W.by_series()
-    df = demo.master(s, d)
+    df = demo.master(s, d) if base is None else base
     for c in ("mm_long", "mm_short", "mm_net"):
         before = F.lag(c, 1).over(w)
         df = df.withColumns({f"{c}_change": F.col(c) - before, f"{c}_change_pct": C.ratio(F.col(c) - before, F.abs(before))})
@@ -107,8 +107,8 @@ add("contribution_state", lambda s, d: demo.structure(s, d).select(*KEY, "contri
 add("structure_state", lambda s, d: demo.structure(s, d).select(*KEY, "structure_state"), f"{STRUCT} SELECT series_id, date, structure_state FROM structure")
 
 
-def velocity_readings(s: SparkSession, d: str) -> DataFrame:
-    df = demo.structure(s, d)
+def velocity_readings(s: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
+    df = demo.structure(s, d, base)
     two, four = F.col("short_pct_v2"), F.col("short_pct_v4")
     fast = F.coalesce((two + four) / 2, two, four)
     df = df.withColumn("fast", fast)

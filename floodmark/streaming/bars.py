@@ -35,15 +35,21 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def upsert_into(table: str, rejects: str):
+def upsert_into(table: str, rejects: str, *, keys: tuple[str, ...] = ("series_id", "date"), whole: bool = False):
     """For foreachBatch: writes each batch's good bars as a new version beside the table, rejects aside.
 
+    With whole=True a batch that holds a bad bar or a key twice is rejected as a whole.
+
     Versions are appended with the number of their batch, so a batch that runs
     again after a failure writes the same rows; readers take the latest (current).
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         checked = batch.withColumns({"reason": bar_reason(), "batch": F.lit(number)})
+        if whole:
+            twice = checked.groupBy(*keys).agg(F.count("*").alias("n"), F.count("reason").alias("bad")).filter("n > 1 or bad > 0")
+            if not twice.isEmpty():
+                checked = checked.withColumn("reason", F.coalesce("reason", F.lit("batch_rejected")))
         checked.filter("reason is null").drop("reason").write.mode("overwrite").parquet(f"{table}/batch={number}")
         checked.filter("reason is not null").write.mode("overwrite").parquet(f"{rejects}/batch={number}")
 
@@ -57,6 +63,12 @@ def current(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("r")).select(*keys, "r.*")
 
 
+def compact(spark: SparkSession, table: str, keys: list[str], target: str) -> None:
+    """The latest version of each bar as one version in a new folder, numbered like the last batch; the stream may go on there."""
+    last = spark.read.parquet(table).agg(F.max("batch")).first()[0]
+    current(spark, table, keys).write.parquet(f"{target}/batch={last}")
+
+
 def replay_upserts(spark: SparkSession, path: str) -> DataFrame:
     """A folder of refreshed bars as a stream of upserts; the bars that stand at its end."""
     feed = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(path)
