@@ -11,11 +11,13 @@ from floodmark.functions import columns as C
 from floodmark.operators import clean as K
 from floodmark.operators import joins as J
 from floodmark.operators import outcomes as O
+from floodmark.operators import quality as Q
 from floodmark.operators import similarity as M
 from floodmark.operators import stats as S
 from floodmark.operators import windows as W
 from floodmark.sources import readers as R
 from floodmark.sources import sinks
+from floodmark.streaming import bars as B
 
 D = dt.date
 
@@ -240,3 +242,64 @@ def test_bar_end_looks_at_every_stamp_in_one_pass(spark):
         assert r.bar_end == min([r.ts + dt.timedelta(hours=1), end, *later])
     # a frame that ends without bound is read anew for each row
     assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+BAR = "series_id string, date date, open double, high double, low double, close double"
+
+
+def test_merge_checked_rejects_a_batch_whole(spark):
+    day = lambda k, close=10.0: ("A", D(2024, 1, k), 10.0, 11.0, 9.0, close)
+    old = spark.createDataFrame([day(1), day(2), day(3)], BAR)
+    args = (["series_id", "date"], F.lit(D(2024, 1, 2)), F.lit(D(2024, 1, 3)), F.lit(D(2024, 1, 1)))
+    sound = spark.createDataFrame([day(2, 10.5), day(3), day(4)], BAR)
+    assert column(K.merge_checked(old, sound, *args), "close") == [10.0, 10.5, 10.0, 10.0]
+    for faulty, word in (([day(2), day(4)], "lost 1"), ([day(2), day(3), day(3)], "repeated 1"), ([day(2), day(3), day(4, 0.0)], "invalid_recent 1"), ([day(2), day(3), ("B", *day(4)[1:])], "cold 1")):
+        batch = spark.createDataFrame(faulty, BAR)
+        with pytest.raises(ValueError, match=word):
+            K.merge_checked(old, batch, *args)
+        assert K.merge_checked(old, batch, *args, rejected="keep").collect() == old.collect()
+
+
+def test_stream_batches_are_rejected_whole_and_compacted(spark, tmp_path):
+    day = lambda k, close=10.0: ("A", D(2024, 1, k), 10.0, 11.0, 9.0, close)
+    table, rejects, small = (str(tmp_path / n) for n in ("t", "r", "c"))
+    apply = B.upsert_into(table, rejects, whole=True)
+    for number, rows in enumerate(([day(1), day(2)], [day(2, 10.5), day(3, 0.0)], [day(2, 10.6), day(4)])):
+        apply(spark.createDataFrame(rows, BAR), number)
+    assert sorted(r.reason for r in spark.read.parquet(rejects).collect()) == ["bad_close", "batch_rejected"]
+    want = column(B.current(spark, table, ["series_id", "date"]), "close")
+    assert want == [10.0, 10.6, 10.0]
+    B.compact(spark, table, ["series_id", "date"], small)
+    B.upsert_into(small, rejects)(spark.createDataFrame([day(4, 10.7)], BAR), 3)
+    assert column(B.current(spark, small, ["series_id", "date"]), "close") == [10.0, 10.6, 10.7]
+
+
+def test_release_states(spark):
+    def status(latest, observed="2024-01-09", fetched="2024-01-12 18:00:00", digest="a", now="2024-01-12 20:00:00"):
+        parts = [(n, None if v is None else dt.date.fromisoformat(v)) for n, v in latest.items()]
+        components = spark.createDataFrame(parts, "component string, latest date").withColumn("current", F.coalesce(F.col("latest") >= F.lit(D(2024, 1, 2)), F.lit(False)))
+        sources = spark.createDataFrame([("reports", fetched, observed and dt.date.fromisoformat(observed), "a", digest)], "name string, fetched_at string, observed date, sha256 string, file_sha256 string")
+        r = Q.release_status(components, sources, now, "reports", "hub").first()
+        return r.status, r.stale, r.normal
+
+    good = {"hub": "2024-01-09", "master": "2024-01-09"}
+    # 15:00 on a Friday in New York is before the release, 16:00 after it
+    assert status(good) == ("OK", [], D(2024, 1, 2))
+    assert status(good, observed="2024-01-02", now="2024-01-12 21:00:00")[::2] == ("AWAITING_RELEASE", D(2024, 1, 9))
+    assert status(good, observed="2024-01-09", now="2024-01-14 05:00:00")[::2] == ("OK", D(2024, 1, 9))
+    assert status({"hub": "2024-01-09", "master": "2023-12-01"})[:2] == ("PARTIAL_STALE", ["master"])
+    assert status({"hub": "2023-12-01", "master": "2024-01-09"})[:2] == ("STALE", ["hub"])
+    assert status({"hub": "2024-01-09", "master": None})[0] == "ERROR"
+    for bad in ({"digest": "b"}, {"fetched": None}, {"fetched": "2024-01-10 20:00:00"}, {"fetched": "2024-01-13 20:00:00"}, {"observed": None}):
+        assert status(good, **bad)[0] == "SOURCE_UNVERIFIED"
+
+
+def test_archived_hours_come_with_their_extremes(spark):
+    schema = "series_id string, report_date date, closes timestamp, coverage string, hourly_coverage string, days array<struct<date: date>>, missing array<date>, open double, high double, low double, close double, high_start string"
+    row = lambda coverage, hours, start, missing=(): ("A", D(2024, 1, 2), dt.datetime(2024, 1, 19), coverage, hours, [(D(2024, 1, 8),)], list(missing), 1.0, 2.0, 0.5, 1.5, start)
+    run = lambda a, b: O.archive_merge(spark.createDataFrame([a], schema), spark.createDataFrame([b], schema), "2024-01-13").first()
+    done = run(row("COMPLETE_DAILY", "MISSING", None), row("COMPLETE_DAILY", "PARTIAL", "then"))
+    assert (done.archive_status, done.hourly_coverage, done.high_start) == ("CURRENT_DAILY_WITH_ARCHIVED_HOURLY", "PARTIAL", "then")
+    same = run(row("PARTIAL", "MISSING", None, [D(2024, 1, 9)]), row("PARTIAL", "PARTIAL", "then", [D(2024, 1, 9)]))
+    other = run(row("PARTIAL", "MISSING", None, [D(2024, 1, 9)]), row("PARTIAL", "PARTIAL", "then", [D(2024, 1, 10)]))
+    assert (same.high_start, other.archive_status, other.high_start) == ("then", "CURRENT_QUERY", None)

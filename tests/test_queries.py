@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = Path("/root/testdata/sf0.001")
-SOME = ("rolling_percentile", "factor_bucket_split", "structure_outcomes", "velocity_train_test", "signal_train_test", "similar_states", "dedupe_events", "asof_price_strict", "week_outcome", "extreme_details", "incremental_merge", "stream_bars")
+SOME = ("rolling_percentile", "factor_bucket_split", "structure_outcomes", "velocity_train_test", "signal_train_test", "similar_states", "dedupe_events", "asof_price_strict", "week_outcome", "extreme_details", "incremental_merge", "stream_bars", "incremental_merge_gate", "release_status", "outcome_rules", "archive_merge", "coverage_diagnosis", "hub_summary")
 
 
 def plain(v):
