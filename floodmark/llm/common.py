@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
@@ -42,6 +43,20 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(*frames: DataFrame, keep: Sequence[DataFrame] = ()) -> None:
+    """Removes the tables in the shared folder that frames read and that keep does not. For tables whose results are written already."""
+    kept = {_folder(f) for k in keep for f in k.inputFiles()}
+    for folder in {_folder(f) for df in frames for f in df.inputFiles()} - kept:
+        if re.search(r"-[0-9a-f]{32}$", folder):
+            spark = frames[0].sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folder(file: str) -> str:
+    return file.rpartition("/")[0]
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n. A null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

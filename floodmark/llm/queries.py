@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, forest, langid, neardup, quality, secrets, tokenids, toxicity, warc
+from . import bpe, decontam, forest, langid, manifest, neardup, oracles, quality, secrets, shards, tokenids, toxicity, trie, warc
 from .common import crc_mod, scratch, stored, table
 
 
@@ -95,6 +95,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, lengths = trie.graft_heads(trie.turns_of(table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(turns, lengths).drop("name", "parent")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of ids whose crc32 five divides are lower-cased after the manifest is made; the proofs tell which rows that changed."""
+    low = F.translate("text", oracles.UPPER, oracles.UPPER.lower())
+    root, rows = manifest.manifest(table(spark, sf_dir, "documents"), seen=F.when(crc_mod("doc_id", 5) == 0, low).otherwise(F.col("text")))
+    proof = manifest.digest(manifest.proof_text(F.col("path")))
+    found = rows.select("doc_id", "leaf", "subroot", F.lit(root).cast("string").alias("root"), proof.alias("proof_sha256"), F.col("folded").alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shards.shard_documents(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL_OP10 = rf"""
@@ -157,5 +176,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_shards": op13_shards,
 }
-ORACLES: dict[str, str] = {"op3_warc_fixity": SQL_OP3, "op7_embedding_near_duplicates": SQL_OP7, "op6_near_duplicates": SQL_OP6, "op10_decontamination": SQL_OP10}
+ORACLES: dict[str, str] = {**oracles.ORACLES, "op3_warc_fixity": SQL_OP3, "op7_embedding_near_duplicates": SQL_OP7, "op6_near_duplicates": SQL_OP6, "op10_decontamination": SQL_OP10}
