@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import ChecksFailed, remove, scratch, write_observed
+
 NEW_YORK = "America/New_York"
 TOLERANCE = 0.0005
 PRICES = ("open", "high", "low", "close")
@@ -107,13 +109,30 @@ def merge_bars(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def merge_checked(old: DataFrame, new: DataFrame, keys: Sequence[str], overlap_from: Column, recent_from: Column, start: Column, date: str = "date", *, rejected: str = "raise") -> DataFrame:
-    """merge_bars where merge_problems finds nothing; else the whole batch is rejected: a ValueError with the counts, or old as it is (rejected="keep"). The driver reads one row of counts."""
-    counts = merge_problems(old, new, keys, overlap_from, recent_from, start, date).first().asDict()
-    found = {k: n for k, n in counts.items() if n}
+    """merge_bars where merge_problems finds nothing; else the whole batch is rejected: ChecksFailed with the counts, or old as it is (rejected="keep").
+
+    Both sides are read once: the counts ride on the write of the merged bars, which are
+    published only where all are 0. Series that begin cold are told from what was written.
+    """
+    spark = old.sparkSession
+    values = [c for c in old.columns if c not in keys]
+    series = [k for k in keys if k != date]
+    bad = bar_reason().isNotNull()
+    fresh = new.withColumn("__bad", bad).groupBy(*keys).agg(F.max(F.when(~F.col("__bad"), F.struct(*values))).alias("n"), F.count(F.lit(1)).alias("__k"), F.count_if(F.col("__bad") & (F.col(date) >= recent_from)).alias("__recent"))
+    both = old.select(*keys, F.struct(*values).alias("o")).join(fresh, list(keys), "full_outer")
+    checks = {"repeated": F.col("__k") > 1, "lost": F.col("__k").isNull() & (F.col(date) >= overlap_from), "invalid_recent": F.col("__recent") > 0}
+    path = scratch(spark, "merged-bars")
+    rows = both.select(*keys, F.coalesce("n", "o").alias("r"), F.col("o").isNotNull().alias("__old"), "__k", "__recent")
+    seen = write_observed(rows, path, checks, drop=["__recent"])
+    back = spark.read.schema(rows.drop("__recent").schema).parquet(path)
+    first = F.min(F.when(F.col("__k").isNotNull(), F.col(date)))
+    cold = back.groupBy(*series).agg(first.alias("first"), F.max("__old").alias("known")).filter(~F.col("known") & (F.col("first") > start)).count()
+    found = {n: k for n, k in {**{c: seen[c] for c in checks}, "cold": cold}.items() if k}
     if not found:
-        return merge_bars(old, new, keys)
+        return back.filter("r is not null").select(*keys, "r.*")
+    remove(spark, path)
     if rejected == "raise":
-        raise ValueError("batch rejected: " + ", ".join(f"{k} {n}" for k, n in found.items()))
+        raise ChecksFailed("batch rejected: " + ", ".join(f"{n} {k}" for n, k in found.items()), found)
     return old
 
 

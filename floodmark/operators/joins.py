@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import stored_checked
 from .windows import DATE, SERIES, by_series
 
 
@@ -39,13 +40,20 @@ def asof_by_days(left: DataFrame, right: DataFrame, values: Sequence[str], toler
 
 
 def asof_strict(left: DataFrame, right: DataFrame, values: Sequence[str], tolerance_days: int = 4, **keys) -> DataFrame:
-    """asof that fails, naming dates, if a left row finds nothing within the tolerance."""
+    """asof that fails, naming the first and last, if a left row finds nothing within the tolerance.
+
+    The check rides on the write of the result: the join is planned and run once, and
+    nothing is published where it fails.
+    """
     out = asof(left, right, values, tolerance_days=tolerance_days, **keys)
-    lost = out.filter(F.col("asof_date").isNull()).select(*keys.get("series", SERIES), keys.get("date", DATE))
-    missing = lost.limit(20).collect()
-    if missing:
-        raise ValueError("no price within tolerance for: " + ", ".join(" ".join(map(str, r)) for r in missing))
-    return out
+    told = F.concat_ws(" ", *[F.col(c).cast("string") for c in (*keys.get("series", SERIES), keys.get("date", DATE))])
+    return stored_checked(out, "asof-strict", {"unmatched": F.col("asof_date").isNull()}, told=told, message="no price within tolerance")
+
+
+def asof_refused(left: DataFrame, right: DataFrame, values: Sequence[str], tolerance_days: int = 4, *, series: Sequence[str] = SERIES, date: str = DATE) -> DataFrame:
+    """asof of many series at once, each strict on its own: unmatched counts the rows of the series without a value in time, 0 where the series may be used."""
+    out = asof(left, right, values, tolerance_days=tolerance_days, series=series, date=date)
+    return out.withColumn("unmatched", F.count_if(F.col("asof_date").isNull()).over(Window.partitionBy(*series)))
 
 
 def event_window(df: DataFrame, events: DataFrame, x: str, before: int = 12, after: int = 12, require_full: bool = False, series: Sequence[str] = SERIES, date: str = DATE) -> DataFrame:

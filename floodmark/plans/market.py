@@ -183,22 +183,35 @@ WHEN {_REASON} IS NOT NULL THEN 'bounds_inconsistent' END AS reason FROM hourly"
 add("hourly_bar_end", lambda s, d: demo.table(s, d, "events").select(F.col("event_type").alias("series_id"), F.when(F.col("event_id") % 2 == 0, F.date_trunc("minute", "ts")).otherwise(F.date_trunc("second", "ts")).alias("ts")).distinct().select("series_id", "ts", K.bar_end("ts", _captured()[1], ["series_id"]).alias("bar_end")),
     """WITH e AS (SELECT DISTINCT event_type AS series_id, CASE WHEN event_id % 2 = 0 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS ts FROM events)
 SELECT series_id, ts, least(ts + INTERVAL 1 HOUR, TIMESTAMP '2024-01-28', min(CASE WHEN second(ts) = 0 THEN ts END) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS bar_end FROM e""")
-add("complete_bar_gate", lambda s, d: K.complete_bars(demo.bars(s, d).filter(F.col("bar_start") <= AS_OF), "bar_start", AS_OF, F.lit("2024-01-24 11:00:00").cast("timestamp"), ["series_id"]).select("series_id", "bar_start"),
-    f"WITH {_HOURLY} SELECT series_id, bar_start FROM hourly WHERE bar_start <= TIMESTAMP '{AS_OF}' AND CAST(ny AS DATE) < DATE '2024-01-24'")
+#: In the morning, after the close, and after the last bar: as of when, and the market's current stamp.
+_GATES = {"morning": (AS_OF, "2024-01-24 11:00:00"), "evening": ("2024-01-24 23:00:00", "2024-01-24 22:00:00"), "end": ("2024-01-31 03:00:00", "2024-01-30 23:00:00")}
+
+
+def _gates(s: SparkSession, d: str) -> DataFrame:
+    out = None
+    for name, (at, market) in _GATES.items():
+        one = K.complete_bars(demo.bars(s, d), "bar_start", at, F.lit(market).cast("timestamp"), ["series_id"]).select(F.lit(name).alias("gate"), "series_id", "bar_start")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_GATE = ", ".join(f"('{n}', TIMESTAMP '{a}' - INTERVAL 5 HOUR, TIMESTAMP '{m}')" for n, (a, m) in _GATES.items())
+add("complete_bar_gate", _gates, f"""WITH {_HOURLY}, g(gate, now, market) AS (VALUES {_GATE}), x AS (SELECT *, lead(bar_start) OVER (PARTITION BY series_id ORDER BY bar_start) IS NULL AS last FROM hourly)
+SELECT gate, series_id, bar_start FROM x, g WHERE (CAST(ny AS DATE) < CAST(now AS DATE) OR (CAST(ny AS DATE) = CAST(now AS DATE) AND CAST(now AS TIME) >= TIME '17:15:00'))
+AND NOT (last AND CAST(ny AS TIME) <> TIME '00:00:00' AND (bar_start = market OR CAST(ny AS DATE) = CAST(now AS DATE)))""")
 
 # --- joins ----------------------------------------------------------------------
 
 
-def _tolerant(s: SparkSession, d: str) -> DataFrame:
-    """The strict join over the reports that have a price in time; those without are counted by the quality queries."""
-    left = demo.positions(s, d).select("series_id", "date", "oi")
-    right = demo.prices(s, d).select("series_id", "date", "close")
-    have = J.asof(left, right, ["close"], tolerance_days=4).filter("asof_date is not null").select("series_id", "date")
-    return J.asof_strict(left.join(have, KEY), right, ["close"], 4)
+def _strict(s: SparkSession, d: str) -> DataFrame:
+    """All reports with their price; unmatched: reports of the series without a price in time (the strict join refuses a series that has some)."""
+    return J.asof_refused(demo.positions(s, d).select("series_id", "date", "oi"), demo.prices(s, d).select("series_id", "date", "close"), ["close"], 4)
 
 
 _ASOF = "FROM positions p ASOF LEFT JOIN {r} r ON p.series_id = r.series_id AND p.date >= r.date"
-add("asof_price_strict", lambda s, d: tidy(_tolerant(s, d), [*KEY, "asof_date"], ["oi", "close"]), f"WITH {POSITIONS}, {PRICES} SELECT p.series_id, p.date, r.date AS asof_date, {r6('oi')} AS oi, {r6('close')} AS close {_ASOF.format(r='prices')} WHERE p.date - r.date <= 4")
+_TIMELY = "p.date - r.date <= 4"
+add("asof_price_strict", lambda s, d: tidy(_strict(s, d), [*KEY, "asof_date", "unmatched"], ["oi", "close"]),
+    f"WITH {POSITIONS}, {PRICES} SELECT p.series_id, p.date, CASE WHEN {_TIMELY} THEN r.date END AS asof_date, count(*) FILTER (NOT coalesce({_TIMELY}, false)) OVER (PARTITION BY p.series_id) AS unmatched, {r6('oi')} AS oi, {r6(f'CASE WHEN {_TIMELY} THEN close END')} AS close {_ASOF.format(r='prices')}")
 add("asof_by_days", lambda s, d: tidy(J.asof_by_days(demo.positions(s, d).select("series_id", "date", "oi"), demo.prices(s, d).select("series_id", "date", "close"), ["close"], 4), [*KEY, "asof_date"], ["oi", "close"]),
     f"WITH {POSITIONS}, {PRICES} SELECT p.series_id, p.date, CASE WHEN p.date - r.date <= 4 THEN r.date END AS asof_date, {r6('oi')} AS oi, {r6('CASE WHEN p.date - r.date <= 4 THEN close END')} AS close {_ASOF.format(r='prices')}")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import mixed_date, number
+from .paths import stored_checked
 
 #: Accepted column names of positioning reports, for each of ours.
 ALIASES: Mapping[str, Sequence[str]] = {
@@ -59,28 +60,33 @@ def read_positions(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_headerless(spark: SparkSession, path: str, header: Sequence[str]) -> DataFrame:
-    """A report without header takes that of an archive. Fails if it is a web page or holds other than futures alone."""
-    lines = spark.read.text(path)
-    if not lines.filter(F.lower(F.col("value")).rlike("<(html|!doctype|head|body)")).isEmpty():
-        raise ValueError("the file is a web page")
-    raw = spark.read.csv(path, header=False, encoding="ISO-8859-1", ignoreLeadingWhiteSpace=True)
-    if len(raw.columns) != len(header):
-        raise ValueError(f"{len(raw.columns)} columns, the header has {len(header)}")
-    raw = raw.toDF(*[h.strip() for h in header])
-    kind = next((c for c in raw.columns if _plain(c) == "futonlyorcombined"), None)
-    if kind and not raw.filter(F.coalesce(F.trim(_quoted(kind)), F.lit("")) != "FutOnly").isEmpty():
-        raise ValueError("rows that are not FutOnly")
-    return normalise_positions(raw)
+    """A report without header takes that of an archive. Fails if it is a web page or holds other than futures alone.
+
+    Lines are read once: the checks ride on the write of the landed rows. A line with another
+    number of fields than the header is a fault too.
+    """
+    names = [h.strip() for h in header]
+    lines = spark.read.option("encoding", "ISO-8859-1").text(path).filter(F.trim("value") != "")
+    types = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, "__more"])
+    fields = F.from_csv("value", F.lit(types), {"ignoreLeadingWhiteSpace": "true", "mode": "PERMISSIVE"})
+    rows = lines.select("value", fields.alias("f")).select("value", "f.*")
+    page = F.lower(F.col("value")).rlike("<(html|!doctype|head|body)")
+    kind = next((c for c in names if _plain(c) == "futonlyorcombined"), None)
+    checks = {"web page": page, "fields too many": ~page & F.col("__more").isNotNull(), "fields too few": ~page & F.col(_quoted(names[-1])).isNull() & (F.size(F.split("value", ",")) < len(names))}
+    if kind:
+        checks["not FutOnly"] = ~page & (F.coalesce(F.trim(_quoted(kind)), F.lit("")) != "FutOnly")
+    return normalise_positions(stored_checked(rows, "headerless", checks, message=f"{path} is not a report of futures alone", drop=["value", "__more"]))
 
 
 def read_closes(spark: SparkSession, path: str, feed: str) -> DataFrame:
-    """series_id, date, close of daily closes; '.' is missing. Fails if a row's source does not name the feed."""
+    """series_id, date, close of daily closes; '.' is missing. Fails if a row's source does not name the feed; the file is read once for that and its rows."""
     raw = spark.read.csv(path, header=True, nullValue=".")
     names = resolve(raw.columns, {"series_id": ("series_id",), "date": ("Date", "observation_date"), "close": ("Close", "value"), "source": ("Source",)})
     df = raw.select(*[F.col(_quoted(c)).alias(n) for n, c in names.items()])
-    if not df.filter(~F.coalesce(F.lower("source"), F.lit("")).contains(feed.lower())).isEmpty():
-        raise ValueError(f"rows that do not come from {feed}")
-    return df.select("series_id", mixed_date("date").alias("date"), number("close").alias("close"))
+    other = ~F.coalesce(F.lower("source"), F.lit("")).contains(feed.lower())
+    out = df.select("series_id", mixed_date("date").alias("date"), number("close").alias("close"), other.alias("__other"))
+    told = F.concat_ws(" ", "series_id", F.col("date").cast("string"))
+    return stored_checked(out, "closes", {"rows of another source": F.col("__other")}, told=told, message=f"not all come from {feed}", drop=["__other"])
 
 
 def read_ohlc(spark: SparkSession, path: str, default_source: str = "unknown") -> DataFrame:

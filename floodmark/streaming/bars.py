@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import bar_reason
 from ..sources.paths import scratch
+from ..sources.versions import Versions
 
 
 def tick_bars(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes", *, series: str = "event_type", ts: str = "ts", price: str = "value", order: str = "event_id") -> DataFrame:
@@ -35,44 +38,40 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def upsert_into(table: str, rejects: str, *, keys: tuple[str, ...] = ("series_id", "date"), whole: bool = False):
-    """For foreachBatch: writes each batch's good bars as a new version beside the table, rejects aside.
+def bar_table(spark: SparkSession, root: str, keys: Sequence[str] = ("series_id", "date")) -> Versions:
+    """A table of daily bars in committed versions, a folder for each month; bars without a good price are not accepted."""
+    return Versions(spark, root, keys, reason=bar_reason())
+
 
-    With whole=True a batch that holds a bad bar or a key twice is rejected as a whole.
+def upsert_into(root: str, *, keys: Sequence[str] = ("series_id", "date"), source: str = "stream", whole: bool = False, unit: Sequence[str] = ()):
+    """For foreachBatch: merges each batch's good bars into the table at root and publishes a version; rejects stand aside.
 
-    Versions are appended with the number of their batch, so a batch that runs
-    again after a failure writes the same rows; readers take the latest (current).
+    With whole=True a batch that holds a bad bar or a key twice is rejected as a whole; with
+    unit, what shares these columns with such a bar is (a delivery, whatever batch it comes in).
+    A batch that runs again after a failure is known by its number, also after compaction.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        checked = batch.withColumns({"reason": bar_reason(), "batch": F.lit(number)})
-        if whole:
-            twice = checked.groupBy(*keys).agg(F.count("*").alias("n"), F.count("reason").alias("bad")).filter("n > 1 or bad > 0")
-            if not twice.isEmpty():
-                checked = checked.withColumn("reason", F.coalesce("reason", F.lit("batch_rejected")))
-        checked.filter("reason is null").drop("reason").write.mode("overwrite").parquet(f"{table}/batch={number}")
-        checked.filter("reason is not null").write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        bar_table(batch.sparkSession, root, keys).merge(batch, batch=number, source=source, whole=whole, unit=unit)
 
     return apply
 
 
-def current(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
-    """The latest version of each bar."""
-    df = spark.read.parquet(table)
-    cols = [c for c in df.columns if c not in (*keys, "batch")]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("r")).select(*keys, "r.*")
+def current(spark: SparkSession, root: str, keys: Sequence[str] = ("series_id", "date")) -> DataFrame:
+    """The bars of the latest version."""
+    return bar_table(spark, root, keys).read()
 
 
-def compact(spark: SparkSession, table: str, keys: list[str], target: str) -> None:
-    """The latest version of each bar as one version in a new folder, numbered like the last batch; the stream may go on there."""
-    last = spark.read.parquet(table).agg(F.max("batch")).first()[0]
-    current(spark, table, keys).write.parquet(f"{target}/batch={last}")
+def compact(spark: SparkSession, root: str, keys: Sequence[str] = ("series_id", "date")) -> int:
+    """Fewer and sorted files as a new version, in place; gives its number. The stream may go on, or run its last batch again."""
+    return bar_table(spark, root, keys).compact()["number"]
 
 
-def replay_upserts(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of refreshed bars as a stream of upserts; the bars that stand at its end."""
-    feed = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(path)
-    table, rejects, state = (scratch(spark, n) for n in ("bar-table", "bar-rejects", "stream-state"))
-    run = feed.writeStream.foreachBatch(upsert_into(table, rejects)).option("checkpointLocation", state).trigger(availableNow=True).start()
+def replay_upserts(spark: SparkSession, path: str, *, unit: Sequence[str] = (), files: int = 4) -> DataFrame:
+    """A folder of refreshed bars as a stream of upserts; the bars that stand at its end, after compaction."""
+    feed = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
+    root, state = scratch(spark, "bar-table"), scratch(spark, "stream-state")
+    run = feed.writeStream.foreachBatch(upsert_into(root, unit=unit)).option("checkpointLocation", state).trigger(availableNow=True).start()
     run.awaitTermination()
-    return current(spark, table, ["series_id", "date"])
+    compact(spark, root)
+    return current(spark, root)
