@@ -149,14 +149,20 @@ def diagnosis(quarantined: Column, nulls: Column, confirmed: Column) -> Column:
     )
 
 
+SESSIONS = ("expected", "missing", "unexpected")
+
+
 def archive_merge(current: DataFrame, previous: DataFrame, window_start: str) -> DataFrame:
     """Outcomes with an earlier run: complete weeks that closed before the queried window stay as they were; hours of the earlier run, and the extremes found by them, stay where daily prices and coverage agree; rows of the earlier run alone are kept.
 
-    Both have KEYS, closes, coverage, prices, days and hourly_coverage. Weeks that are
-    PARTIAL must agree in expected, missing and unexpected dates too, as far as both
-    tables have these columns.
+    Both have KEYS, closes, coverage, prices, days, hourly_coverage, and expected, missing and
+    unexpected dates, in which weeks that are PARTIAL must agree too.
     """
     cols = [c for c in current.columns if c not in KEYS]
+    for name, df in (("current", current), ("previous", previous)):
+        absent = [c for c in ("closes", "coverage", "hourly_coverage", "days", *PRICES, *SESSIONS, *cols) if c not in df.columns]
+        if absent:
+            raise ValueError(f"{name} outcomes lack {absent}")
     a, b = current.select(*KEYS, F.struct(*cols).alias("c")), previous.select(*KEYS, F.struct(*cols).alias("p"))
     both = a.join(b, list(KEYS), "full_outer")
     old = (F.col("p.closes") < F.lit(window_start).cast("timestamp")) & (F.col("p.coverage") == "COMPLETE_DAILY")
@@ -165,9 +171,8 @@ def archive_merge(current: DataFrame, previous: DataFrame, window_start: str) ->
         close_to = close_to & (F.abs(F.col(f"c.{c}") - F.col(f"p.{c}")) <= TOLERANCE)
     same_days = F.transform("c.days", lambda d: d["date"]) == F.transform("p.days", lambda d: d["date"])
     sessions = F.lit(True)
-    for c in ("expected", "missing", "unexpected"):
-        if c in cols:
-            sessions = sessions & (F.col(f"c.{c}") == F.col(f"p.{c}"))
+    for c in SESSIONS:
+        sessions = sessions & F.col(f"c.{c}").eqNullSafe(F.col(f"p.{c}"))
     known = (F.col("c.coverage") == "COMPLETE_DAILY") | ((F.col("c.coverage") == "PARTIAL") & sessions)
     agrees = close_to & same_days & known & (F.col("c.coverage") == F.col("p.coverage")) & (F.col("c.hourly_coverage") != "COMPLETE_OBSERVED_HOURLY")
     status = F.when(F.col("c").isNull(), "ARCHIVED_OUT_OF_SCOPE").when(old, "ARCHIVED_COMPLETE").when(agrees & (F.col("p.hourly_coverage") != "MISSING"), "CURRENT_DAILY_WITH_ARCHIVED_HOURLY").otherwise("CURRENT_QUERY")

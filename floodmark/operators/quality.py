@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import source_class
 from .clean import NEW_YORK
+from .similarity import similar_states
 from .windows import by_series, trailing
 
+#: The classes of price sources, in the order of a report.
+SOURCE_CLASSES = ("FRED", "Yahoo", "Stooq", "Other", "Missing")
+
 
 def freshness(parts: Mapping[str, DataFrame], expected: Mapping[str, str], today: str, slack_days: int = 3, date: str = "date") -> DataFrame:
     """component, latest, expected, current, age and the overall state of all components."""
@@ -25,18 +30,107 @@ def freshness(parts: Mapping[str, DataFrame], expected: Mapping[str, str], today
     return out.withColumn("__i", F.lit(1)).join(F.broadcast(state.withColumn("__i", F.lit(1))), "__i").withColumn("overall", overall).drop("__i", "__all", "__any")
 
 
-def validate_weekly(df: DataFrame) -> DataFrame:
-    """For each series the rows, and those that break a rule."""
+def validate_weekly(df: DataFrame, position: str | None = None) -> DataFrame:
+    """For each series the rows, and those that break a rule. position: a column with the place of a row in its file, for rows whose date is not after the one before."""
     w = by_series()
     again = trailing("close", 1, w)
     df = df.withColumns({"__again": again, "__same": F.coalesce(F.lag("date", 1).over(w) == F.col("date"), F.lit(False)) | F.coalesce(F.lead("date", 1).over(w) == F.col("date"), F.lit(False))})
     share = lambda c: (F.col(c) < 0) | (F.col(c) > 1)
+    more = []
+    if position:
+        df = df.withColumn("__late", F.col("date").isNull() | F.coalesce(F.lag("date", 1).over(by_series(date=position)) >= F.col("date"), F.lit(False)))
+        more = [F.count_if("__late").alias("not_increasing")]
     return df.groupBy("series_id").agg(
         F.count("*").alias("n"), F.count_if("__same").alias("repeated"), F.count_if(F.col("close").isNull() | (F.col("close") <= 0)).alias("bad_close"), F.count_if(F.abs(F.col("mm_long") - F.col("mm_short") - F.col("mm_net")) > 0.001).alias("bad_net"),
-        F.count_if(share("mm_pct") | share("oi_pct")).alias("bad_percentile"), F.count_if(F.abs(F.col("__again") - F.col("r1")) > 1e-8).alias("bad_return"),
+        F.count_if(share("mm_pct") | share("oi_pct")).alias("bad_percentile"), F.count_if(F.abs(F.col("__again") - F.col("r1")) > 1e-8).alias("bad_return"), *more,
     )
 
 
+def validate_cases(stored: DataFrame, df: DataFrame, features: Sequence[str], returns: Mapping[int, str], top: int = 20) -> DataFrame:
+    """For each series of df its stored similar cases, and those that differ from cases found anew.
+
+    stored: series_id, date, current_date, score and returns. df: the weekly table with features and
+    returns. Counts: cases; of another current date; at a date that df lacks; with returns
+    that differ by over 1e-8; without their like (date, and score within 1e-7) among the top cases
+    found anew; and of those the ones that are not stored.
+    """
+    anew = similar_states(df, features, top=top).select("series_id", "date", F.col("score").alias("__score"))
+    known = df.select("series_id", "date", F.lit(True).alias("__known"), *[F.col(c).alias(f"__{c}") for c in returns.values()])
+    last = df.groupBy("series_id").agg(F.max("date").alias("__last"))
+    rows = stored.select("*", F.lit(True).alias("__stored")).join(anew, ["series_id", "date"], "full_outer").join(known, ["series_id", "date"], "left").join(last, "series_id", "full_outer")
+    differs = F.lit(False)
+    for c in returns.values():
+        differs = differs | ~F.coalesce(F.abs(F.col(c) - F.col(f"__{c}")) <= 1e-8, F.lit(False))
+    here = F.coalesce("__stored", F.lit(False))
+    like = F.coalesce(F.abs(F.col("score") - F.col("__score")) < 1e-7, F.lit(False))
+    return rows.groupBy("series_id").agg(
+        F.count_if(here).alias("n"), F.count_if(here & ~F.col("current_date").eqNullSafe(F.col("__last"))).alias("other_current"), F.count_if(here & F.col("__known").isNull()).alias("unknown_date"),
+        F.count_if(here & differs).alias("bad_return"), F.count_if(here & ~like).alias("not_expected"), F.count_if(F.col("__score").isNotNull() & ~(here & like)).alias("not_stored"),
+    )
+
+
+def validate_summary(summary: DataFrame, df: DataFrame, shares: Mapping[str, str]) -> DataFrame:
+    """For each series of df: does its summary record have the date, close (within 0.01) and percentiles (points, within 0.001) of its last row?
+
+    shares: columns of the summary, in points, and those of df, as shares.
+    """
+    last = df.groupBy("series_id").agg(F.max("date").alias("__date"), *[F.max_by(c, "date").alias(f"__{c}") for c in ("close", *shares.values())])
+    near = lambda a, b, most: F.coalesce(F.abs(a - b) <= most, F.lit(False))
+    rows = last.join(summary.select("series_id", "date", "close", *shares), "series_id", "left")
+    same = F.lit(True)
+    for mine, theirs in shares.items():
+        same = same & near(F.col(mine), F.col(f"__{theirs}") * 100, 0.001)
+    return rows.select("series_id", F.coalesce(F.col("date") == F.col("__date"), F.lit(False)).alias("same_date"), near(F.col("close"), F.col("__close"), 0.01).alias("same_close"), same.alias("same_shares"))
+
+
+def source_audit(df: DataFrame, source: str = "source", value: str = "close", classes: Sequence[str] = SOURCE_CLASSES) -> DataFrame:
+    """For each series: statistics of value; rows and dates of each class of source, classes without rows too; rows of each label as it is written.
+
+    Rows: series_id, section ('stats', 'class', 'label'), item, label, n, first, last and value.
+    """
+    rows = df.withColumn("__class", source_class(source))
+    there = F.col(value).isNotNull()
+    ends = [F.min("date").alias("first"), F.max("date").alias("last")]
+    stats = df.groupBy("series_id").agg(F.count(value).alias("n"), F.min(F.when(there, F.col("date"))).alias("first"), F.max(F.when(there, F.col("date"))).alias("last"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    stats = stats.select("series_id", "n", "first", "last", F.explode(F.array(*[F.struct(F.lit(k).alias("item"), F.col(k).cast("double").alias("value")) for k in ("n", "min", "max", "mean")])).alias("k"))
+    none = F.lit(None).cast("string")
+    out = stats.select("series_id", F.lit("stats").alias("section"), "k.item", none.alias("label"), "n", "first", "last", "k.value")
+    found = rows.groupBy("series_id", F.col("__class").alias("item")).agg(F.count(F.lit(1)).alias("n"), *ends)
+    every = df.select("series_id").distinct().withColumn("item", F.explode(F.array(*[F.lit(c) for c in classes])))
+    kinds = every.join(found, ["series_id", "item"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = out.unionByName(kinds.select("series_id", F.lit("class").alias("section"), "item", none.alias("label"), "n", "first", "last", F.col("n").cast("double").alias("value")))
+    labels = rows.groupBy("series_id", F.col("__class").alias("item"), F.col(source).alias("label")).agg(F.count(F.lit(1)).alias("n"), *ends)
+    return out.unionByName(labels.select("series_id", F.lit("label").alias("section"), "item", "label", "n", "first", "last", F.col("n").cast("double").alias("value")))
+
+
+def data_health(master: DataFrame, components: Mapping[str, DataFrame], cases: DataFrame, stats: DataFrame, required: Sequence[str] = ()) -> DataFrame:
+    """For each series of master the state of what was made from it: status, warnings, expected (its last date), the date of each component, stale (components of another date, sorted), rows, cases, statistics.
+
+    components: by name, with series_id and date. cases: series_id and current_date; stats: series_id.
+    Missing columns of master make an error everywhere, a series without any date too.
+    """
+    absent = sorted(set(required) - set(master.columns))
+    one = master.groupBy("series_id").agg(F.max("date").alias("expected"), F.count(F.lit(1)).alias("master_rows"))
+    seen = None
+    for name, df in components.items():
+        part = df.select("series_id", F.lit(name).alias("__c"), "date")
+        seen = part if seen is None else seen.unionByName(part)
+    dates = seen.groupBy("series_id", "__c").agg(F.max("date").alias("date")).groupBy("series_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__c", "date")))).alias("__dates"))
+    own = cases.groupBy("series_id").agg(F.count(F.lit(1)).alias("cases"), F.max("current_date").alias("case_date"))
+    rows = one.join(dates, "series_id", "left").join(own, "series_id", "left").join(stats.groupBy("series_id").agg(F.count(F.lit(1)).alias("stats_rows")), "series_id", "left")
+    at = lambda n: F.try_element_at("__dates", F.lit(n))
+    named = {n: at(n) for n in components} | {"cases": F.col("case_date")}
+    stale = F.array_sort(F.array_compact(F.array(*[F.when(~F.coalesce(d == F.col("expected"), F.lit(False)), n) for n, d in named.items()])))
+    rows = rows.withColumns({"stale": stale, "cases": F.coalesce("cases", F.lit(0)), "stats_rows": F.coalesce("stats_rows", F.lit(0)), "component_dates": F.create_map(*[x for n, d in named.items() for x in (F.lit(n), d)])})
+    warnings = [
+        F.when(F.lit(bool(absent)), "missing_master_columns"), F.when(F.col("case_date").isNotNull() & (F.col("case_date") != F.col("expected")), "case_date_mismatch"),
+        F.when(F.size("stale") > 0, "stale_components"), F.when(F.col("cases") == 0, "cases_empty"), F.when(F.col("stats_rows") == 0, "case_stats_empty"),
+    ]
+    broken = F.lit(bool(absent)) | F.col("expected").isNull()
+    status = F.when(broken, "error").when(F.size("stale") > 0, "partial_stale").otherwise("ok")
+    return rows.select("series_id", status.alias("status"), F.upper(status).alias("overall"), F.array_compact(F.array(*warnings)).alias("warnings"), "expected", "component_dates", "stale", "master_rows", "cases", "stats_rows", F.array(*[F.lit(c) for c in absent]).cast("array<string>").alias("missing_columns"))
+
+
 def validate_outcomes(df: DataFrame) -> DataFrame:
     """For each series the outcomes, and those that break a rule."""
     week = F.date_add(F.date_trunc("week", "report_date").cast("date"), 7)
@@ -54,16 +148,17 @@ def history_coverage(reports: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def release_errors(sources: DataFrame, now: str, most_hours: float = 36.0) -> DataFrame:
-    """sources with errors: a check that is missing, older than most_hours or in the future, a file that differs from the verified one, no observation date.
+    """sources with errors: a check older than most_hours or in the future, a file that differs from the verified one, no observation date; or that there is no check or no file.
 
     sources: name, fetched_at, observed, sha256 (of the verified download) and file_sha256.
     """
     age = (F.lit(now).cast("timestamp").cast("double") - F.col("fetched_at").cast("timestamp").cast("double")) / 3600
-    found = [
-        F.when(F.col("fetched_at").isNull(), "check is missing"), F.when((age > most_hours) | (age < -0.1), "check is not recent"),
-        F.when(~F.coalesce(F.col("sha256") == F.col("file_sha256"), F.lit(False)), "file differs"), F.when(F.col("observed").isNull(), "observation date is missing"),
-    ]
-    return sources.withColumn("errors", F.array_compact(F.array(*found)))
+    old = F.when((age > most_hours) | (age < -0.1), "check is not recent")
+    unknown = F.lit("check is missing or invalid")
+    differs = F.when(~F.coalesce(F.col("sha256") == F.col("file_sha256"), F.lit(False)), "file differs")
+    # a check that cannot be read is one error, and nothing after it is looked at
+    found = F.when(age.isNull(), F.array(unknown)).when(F.col("file_sha256").isNull(), F.array(old, unknown)).otherwise(F.array(old, differs, F.when(F.col("observed").isNull(), "observation date is missing")))
+    return sources.withColumn("errors", F.array_compact(found))
 
 
 def normal_observation(now: str) -> Column:
@@ -75,8 +170,8 @@ def normal_observation(now: str) -> Column:
     return F.date_sub(F.when(early, F.date_sub(friday, 7)).otherwise(friday), 3)
 
 
-def release_status(components: DataFrame, sources: DataFrame, now: str, report: str, hub: str) -> DataFrame:
-    """One row with status, n_errors, stale (components, sorted), observed and normal.
+def release_status(components: DataFrame, sources: DataFrame, now: str, report: str, hub: str, master: str = "master") -> DataFrame:
+    """One row with status, n_errors, stale (components but the master, sorted), observed and normal.
 
     SOURCE_UNVERIFIED where a source has errors; else ERROR where a component has no
     date at all, STALE where the hub is not current, PARTIAL_STALE where another one is
@@ -84,11 +179,11 @@ def release_status(components: DataFrame, sources: DataFrame, now: str, report:
     components: component, latest and current; both tables are a few rows.
     """
     named = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("component"))))
-    a = components.agg(F.count_if(F.col("latest").isNull()).alias("lost"), F.count_if((F.col("component") == hub) & ~F.col("current")).alias("hub"), named(~F.col("current")).alias("stale")).withColumn("__i", F.lit(1))
+    a = components.agg(F.count_if(F.col("latest").isNull()).alias("lost"), F.count_if((F.col("component") == hub) & ~F.col("current")).alias("hub"), named(~F.col("current") & (F.col("component") != master)).alias("stale"), F.count_if(~F.col("current")).alias("old")).withColumn("__i", F.lit(1))
     b = release_errors(sources, now).agg(F.sum(F.size("errors")).alias("n_errors"), F.max(F.when(F.col("name") == report, F.col("observed"))).alias("observed")).withColumn("__i", F.lit(1))
     one = a.join(b, "__i").withColumn("normal", normal_observation(now))
     state = (
-        F.when(F.coalesce("n_errors", F.lit(0)) > 0, "SOURCE_UNVERIFIED").when(F.col("lost") > 0, "ERROR").when(F.col("hub") > 0, "STALE").when(F.size("stale") > 0, "PARTIAL_STALE")
+        F.when(F.coalesce("n_errors", F.lit(0)) > 0, "SOURCE_UNVERIFIED").when(F.col("lost") > 0, "ERROR").when(F.col("hub") > 0, "STALE").when(F.col("old") > 0, "PARTIAL_STALE")
         .when(F.col("observed") < F.col("normal"), "AWAITING_RELEASE").otherwise("OK")
     )
     return one.select(state.alias("status"), F.coalesce("n_errors", F.lit(0)).cast("long").alias("n_errors"), "stale", "observed", "normal")

@@ -384,19 +384,29 @@ SELECT series_id, report_date, week_start, CASE WHEN pending THEN 'PENDING' WHEN
 WHEN sure THEN CASE WHEN loose THEN 'CONFIRMED_SOURCE_GAP_AND_UNVERIFIED_GAP' ELSE 'CONFIRMED_SOURCE_GAP' END WHEN empty THEN 'SOURCE_NULL_UNVERIFIED_CALENDAR' ELSE 'UNVERIFIED_CALENDAR_OR_SOURCE_GAP' END AS category FROM m""")
 
 
+_KEPT = ["coverage", "hourly_coverage", "days", "expected", "missing", "unexpected", "open", "high", "low", "close", *[f"{x}_{y}" for x in ("high", "low") for y in ("reason", "start", "end", "hours")]]
+
+
 def _archive(s: SparkSession, d: str) -> DataFrame:
-    """The outcomes of AS_OF over those of a week before."""
-    cols = ["series_id", "report_date", "closes", "coverage", "hourly_coverage", "days", "open", "high", "low", "close"]
-    now, before = week_outcomes(s, d).select(cols).filter("report_date >= '2024-01-01'"), week_outcomes(s, d, BEFORE).select(cols)
-    return O.archive_merge(now, before, "2024-01-13 00:00:00")
+    """All outcomes of AS_OF over those of a week before, which hold the outcomes of a retired series too."""
+    now, before = (week_outcomes(s, d, t).select("series_id", "report_date", "closes", *_KEPT) for t in (AS_OF, BEFORE))
+    retired = before.filter("series_id = 'click'").withColumn("series_id", F.lit("retired"))
+    return O.archive_merge(now, before.unionByName(retired), "2024-01-13 00:00:00")
 
 
-_RUN = "(WITH {o} SELECT series_id, report_date, week_end + INTERVAL 22 HOUR AS closes, coverage, hourly_coverage, CASE WHEN NOT pending THEN dates ELSE [] END AS dates, open, high, low, close FROM ow)"
+_RUN = f"""(WITH {{o}}, y AS (SELECT *, {_reason_sql('hd', 'hs', 'hh', 'high')} AS high_reason, {_reason_sql('ld', 'ls', 'hl', 'low')} AS low_reason FROM x)
+SELECT series_id, report_date, week_end + INTERVAL 22 HOUR AS closes, coverage, hourly_coverage, CASE WHEN NOT pending THEN dates ELSE [] END AS dates, expected, open, high, low, close, high_reason, low_reason,
+CASE WHEN starts_with(high_reason, 'MATCHED') THEN hb END AS high_start, CASE WHEN starts_with(low_reason, 'MATCHED') THEN lb END AS low_start FROM y)"""
 _CLOSE = " AND ".join(f"abs(c.{x} - p.{x}) <= 0.0005" for x in ("open", "high", "low", "close"))
-add("archive_merge", lambda s, d: tidy(_archive(s, d), ["series_id", "report_date", "archive_status", "coverage", "hourly_coverage"], ["close"]),
-    f"""WITH c AS (SELECT * FROM {_RUN.format(o=_OUTC)} WHERE report_date >= DATE '2024-01-01'), p AS (SELECT * FROM {_RUN.format(o=_OUTC.replace(AS_OF, BEFORE))}), j AS (SELECT series_id, report_date, c, p, CASE WHEN c.coverage IS NULL THEN 'ARCHIVED_OUT_OF_SCOPE' WHEN p.closes < TIMESTAMP '2024-01-13' AND p.coverage = 'COMPLETE_DAILY' THEN 'ARCHIVED_COMPLETE'
-WHEN {_CLOSE} AND c.dates = p.dates AND c.coverage = p.coverage AND c.hourly_coverage <> 'COMPLETE_OBSERVED_HOURLY' AND p.hourly_coverage <> 'MISSING' THEN 'CURRENT_DAILY_WITH_ARCHIVED_HOURLY' ELSE 'CURRENT_QUERY' END AS archive_status FROM c FULL JOIN p USING (series_id, report_date))
-SELECT series_id, report_date, archive_status, CASE WHEN starts_with(archive_status, 'ARCHIVED') THEN p.coverage ELSE c.coverage END AS coverage, CASE WHEN contains(archive_status, 'ARCHIVED') THEN p.hourly_coverage ELSE c.hourly_coverage END AS hourly_coverage, {r6("CASE WHEN starts_with(archive_status, 'ARCHIVED') THEN p.close ELSE c.close END")} AS close FROM j""")
+_SAME = "list_filter(c.{a}, lambda q: NOT list_contains(c.{b}, q)) = list_filter(p.{a}, lambda q: NOT list_contains(p.{b}, q))"
+_OLD = lambda c: f"CASE WHEN starts_with(archive_status, 'ARCHIVED') THEN p.{c} ELSE c.{c} END"
+_HOURS = lambda c: f"CASE WHEN contains(archive_status, 'ARCHIVED') THEN p.{c} ELSE c.{c} END AS {c}"
+add("archive_merge", lambda s, d: tidy(_archive(s, d), ["series_id", "report_date", "archive_status", "coverage", "hourly_coverage", "high_reason", "low_reason", "high_start", "low_start"], ["close"]),
+    f"""WITH c AS (SELECT * FROM {_RUN.format(o=_X)}), b AS (SELECT * FROM {_RUN.format(o=_X.replace(AS_OF, BEFORE))}), p AS (SELECT * FROM b UNION ALL SELECT * REPLACE ('retired' AS series_id) FROM b WHERE series_id = 'click'),
+j AS (SELECT series_id, report_date, c, p, CASE WHEN c.coverage IS NULL THEN 'ARCHIVED_OUT_OF_SCOPE' WHEN p.closes < TIMESTAMP '2024-01-13' AND p.coverage = 'COMPLETE_DAILY' THEN 'ARCHIVED_COMPLETE'
+WHEN {_CLOSE} AND c.dates = p.dates AND c.coverage = p.coverage AND c.hourly_coverage <> 'COMPLETE_OBSERVED_HOURLY' AND p.hourly_coverage <> 'MISSING'
+AND (c.coverage = 'COMPLETE_DAILY' OR (c.coverage = 'PARTIAL' AND c.expected = p.expected AND {_SAME.format(a='expected', b='dates')} AND {_SAME.format(a='dates', b='expected')})) THEN 'CURRENT_DAILY_WITH_ARCHIVED_HOURLY' ELSE 'CURRENT_QUERY' END AS archive_status FROM c FULL JOIN p USING (series_id, report_date))
+SELECT series_id, report_date, archive_status, {_OLD('coverage')} AS coverage, {_HOURS('hourly_coverage')}, {_HOURS('high_reason')}, {_HOURS('low_reason')}, {_HOURS('high_start')}, {_HOURS('low_start')}, {r6(_OLD('close'))} AS close FROM j""")
 
 
 def _sink_outcomes(s: SparkSession, d: str) -> DataFrame:
@@ -419,8 +429,15 @@ def freshness(s: SparkSession, d: str) -> DataFrame:
 
 _FR = {"positions": ("positions", "date", "2001-07-31"), "prices": ("prices", "date", "2001-08-05"), "alt_prices": ("alt_prices", "date", "2001-10-01"), "bars": ("events", "CAST(ts AS DATE)", "2024-02-10")}
 add("freshness", freshness, f"WITH {POSITIONS}, {PRICES}, {ALT_PRICES}, l AS ({' UNION ALL '.join(f'SELECT {chr(39)}{n}{chr(39)} AS component, max({c}) AS latest, DATE {chr(39)}{e}{chr(39)} AS expected FROM {t}' for n, (t, c, e) in _FR.items())}) SELECT component, latest, expected, latest >= expected - 3 AS current, CASE WHEN DATE '2001-08-12' - latest <= 10 THEN 'fresh' WHEN DATE '2001-08-12' - latest <= 21 THEN 'ageing' ELSE 'old' END AS age, CASE WHEN bool_and(latest >= expected - 3) OVER () THEN 'OK' WHEN bool_or(latest >= expected - 3) OVER () THEN 'PARTIAL_STALE' ELSE 'STALE' END AS overall FROM l")
-add("validate_weekly", lambda s, d: Q.validate_weekly(demo.weekly(s, d)), f"""{FULL}, x AS (SELECT *, count(*) OVER (PARTITION BY series_id, date) AS k, {sql.trailing('close', 1)} AS again FROM weekly) SELECT series_id, count(*) AS n, count(*) FILTER (k > 1) AS repeated, count(*) FILTER (close IS NULL OR close <= 0) AS bad_close, count(*) FILTER (abs(mm_long - mm_short - mm_net) > 0.001) AS bad_net,
-count(*) FILTER (mm_pct < 0 OR mm_pct > 1 OR oi_pct < 0 OR oi_pct > 1) AS bad_percentile, count(*) FILTER (abs(again - r1) > 1e-8) AS bad_return FROM x GROUP BY ALL""")
+def _validated(s: SparkSession, d: str) -> DataFrame:
+    """The weekly table in the order of a file in which the rows of a 13th stand before their predecessors."""
+    row = F.row_number().over(weekly.W.by_series()) * 2
+    return Q.validate_weekly(demo.weekly(s, d).withColumn("place", row - F.when(F.dayofmonth("date") == 13, 3).otherwise(0)), "place")
+
+
+add("validate_weekly", _validated, f"""{FULL}, o AS (SELECT *, count(*) OVER (PARTITION BY series_id, date) AS k, {sql.trailing('close', 1)} AS again, 2 * row_number() OVER (PARTITION BY series_id ORDER BY date) - CASE WHEN day(date) = 13 THEN 3 ELSE 0 END AS place FROM weekly),
+x AS (SELECT *, coalesce(lag(date) OVER (PARTITION BY series_id ORDER BY place) >= date, false) AS late FROM o) SELECT series_id, count(*) AS n, count(*) FILTER (k > 1) AS repeated, count(*) FILTER (close IS NULL OR close <= 0) AS bad_close, count(*) FILTER (abs(mm_long - mm_short - mm_net) > 0.001) AS bad_net,
+count(*) FILTER (mm_pct < 0 OR mm_pct > 1 OR oi_pct < 0 OR oi_pct > 1) AS bad_percentile, count(*) FILTER (abs(again - r1) > 1e-8) AS bad_return, count(*) FILTER (late) AS not_increasing FROM x GROUP BY ALL""")
 add("validate_outcomes", lambda s, d: Q.validate_outcomes(week_outcomes(s, d)), f"""WITH {_OUTC} SELECT series_id, count(*) AS n, count(*) FILTER (week_start <> CAST(date_trunc('week', report_date) AS DATE) + 7) AS wrong_week, count(*) FILTER (pending AND close IS NOT NULL) AS pending_with_prices, count(*) FILTER (high < greatest(open, close, low) OR low > least(open, close)) AS bad_bounds, CAST(0 AS BIGINT) AS bad_ratio FROM ow GROUP BY ALL""")
 add("history_coverage", lambda s, d: Q.history_coverage(demo.positions(s, d), demo.prices(s, d)), f"WITH {POSITIONS}, {PRICES}, p AS (SELECT series_id, min(date) AS a, max(date) AS b FROM positions GROUP BY ALL), q AS (SELECT series_id, min(date) AS first_price, max(date) AS last_price FROM prices GROUP BY ALL) SELECT series_id, first_price, last_price, first_price <= CAST(date_trunc('week', a) AS DATE) + 7 AS starts_in_time, last_price >= b AS reaches_end FROM p LEFT JOIN q USING (series_id)")
 

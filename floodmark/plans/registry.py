@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audits, market, search, studies, tables, weekly
+from . import audits, checks, market, search, studies, tables, weekly
 
-MODULES = (weekly, studies, audits, search, market, tables)
+MODULES = (weekly, studies, audits, search, market, tables, checks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

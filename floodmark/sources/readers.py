@@ -109,8 +109,10 @@ def parse_chart_json(df: DataFrame, column: str) -> DataFrame:
     return rows.select("symbol", "position", F.timestamp_seconds("bar.t").alias("ts"), *[F.col(f"bar.{c}").alias(c) for c in ("open", "high", "low", "close", "volume")])
 
 
-_CALENDAR = """no_daily_bar_dates array<string>, daily_excluded_dates array<string>, holidays array<struct<date: string, daily_bar_expected: boolean, exclude_daily: boolean, settlement_status: string, normal_trading_confirmed: boolean, source_url: string>>,
-weekly_overrides map<string, struct<expected_daily_dates: array<string>, expected_hourly_bars: int, holiday_affected: boolean, note: string, hourly_coverage_known_partial: boolean>>, trade_date_overrides map<string, string>"""
+_WEEK = "struct<expected_daily_dates: array<string>, expected_hourly_bars: int, holiday_affected: boolean, note: string, hourly_coverage_known_partial: boolean>"
+_CALENDAR = f"""no_daily_bar_dates array<string>, daily_excluded_dates array<string>, holidays array<struct<date: string, daily_bar_expected: boolean, exclude_daily: boolean, settlement_status: string, normal_trading_confirmed: boolean, source_url: string>>,
+weekly_overrides map<string, {_WEEK}>, trade_date_overrides map<string, string>, override_source_url string, normal_session struct<source_url: string>, sources array<string>,
+historical_price_quality_evidence struct<quarantined_ohlc_dates: array<string>, source_null_dates: array<string>>"""
 
 
 def read_calendar(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -119,10 +121,51 @@ def read_calendar(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     skipped = F.filter("holidays", lambda h: (h["daily_bar_expected"] == F.lit(False)) | (h["exclude_daily"] == F.lit(True)))
     dates = F.array_union(F.concat(F.coalesce("no_daily_bar_dates", F.array().cast("array<string>")), F.coalesce("daily_excluded_dates", F.array().cast("array<string>"))), F.coalesce(F.transform(skipped, lambda h: h["date"]), F.array().cast("array<string>")))
     excluded = doc.select(F.explode(dates).alias("d")).select(F.to_date("d").alias("date")).distinct()
-    weeks = doc.select(F.explode(F.coalesce("weekly_overrides", F.create_map().cast("map<string, struct<expected_daily_dates: array<string>, expected_hourly_bars: int, holiday_affected: boolean, note: string, hourly_coverage_known_partial: boolean>>"))).alias("w", "o"))
+    weeks = doc.select(F.explode(F.coalesce("weekly_overrides", F.create_map().cast(f"map<string, {_WEEK}>"))).alias("w", "o"))
     return excluded, weeks.select(F.to_date("w").alias("week_start"), "o.*")
 
 
+def read_calendar_evidence(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a session calendar proves besides.
+
+    dates: date and kind ('quarantined', 'null_at_source', 'confirmed': a normal day of trading with a source).
+    trade_dates: calendar_date and the trade_date that it counts as. notices: position, kind ('general',
+    'normal_session', 'override', 'holiday'), date (of a holiday) and url.
+    """
+    doc = spark.read.schema(_CALENDAR).json(path, multiLine=True)
+    held = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    sure = F.filter("holidays", lambda h: (h["exclude_daily"] == F.lit(False)) & (F.coalesce(h["settlement_status"] == "normal_schedule", F.lit(False)) | F.coalesce(h["normal_trading_confirmed"], F.lit(False))) & (F.coalesce(h["source_url"], F.lit("")) != ""))
+    kinds = {"quarantined": F.col("historical_price_quality_evidence.quarantined_ohlc_dates"), "null_at_source": F.col("historical_price_quality_evidence.source_null_dates"), "confirmed": F.transform(sure, lambda h: h["date"])}
+    kind_of = lambda k: lambda d: F.struct(F.to_date(d).alias("date"), F.lit(k).alias("kind"))
+    dates = doc.select(F.explode(F.flatten(F.array(*[F.transform(held(c), kind_of(k)) for k, c in kinds.items()]))).alias("x")).select("x.*").distinct()
+    trade = doc.select(F.explode(F.coalesce("trade_date_overrides", F.create_map().cast("map<string, string>"))).alias("c", "t")).select(F.to_date("c").alias("calendar_date"), F.to_date("t").alias("trade_date"))
+    note = lambda kind, url, date=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("date") if date is None else F.to_date(date)).alias("date"), url.alias("url"))
+    days = F.transform(F.coalesce("holidays", F.array().cast(doc.schema["holidays"].dataType)), lambda h: note("holiday", h["source_url"], h["date"]))
+    notices = F.concat(F.transform(held(F.col("sources")), lambda u: note("general", u)), F.array(note("normal_session", F.col("normal_session.source_url")), note("override", F.col("override_source_url"))), days)
+    return dates, trade, doc.select(F.posexplode(notices).alias("position", "x")).select("position", "x.*").filter(F.coalesce("url", F.lit("")) != "")
+
+
+def week_sources(weeks: DataFrame, overrides: DataFrame, trade_dates: DataFrame, notices: DataFrame) -> DataFrame:
+    """weeks (week_start, week_end) with sources: the notices that apply to each, in the order of the calendar, each url once.
+
+    General ones and that of the normal session always apply, holidays in their week, the one of
+    overrides where the week has an override or a trade date of its own. A calendar is one document; weeks are distinct here.
+    """
+    spans = weeks.select("week_start", "week_end").distinct()
+    monday = F.date_trunc("week", "date").cast("date")
+    first = notices.groupBy("url").agg(F.min("position").alias("__at"))
+    always = notices.filter(F.col("kind").isin("general", "normal_session")).agg(F.collect_set("url").alias("__u")).withColumn("__i", F.lit(1))
+    changed = overrides.select("week_start").unionByName(trade_dates.select(F.date_trunc("week", "calendar_date").cast("date").alias("week_start"), "calendar_date").filter(F.weekday("calendar_date") < 5).select("week_start")).distinct()
+    by_week = notices.filter("kind = 'holiday' and weekday(date) < 5").select(monday.alias("week_start"), "url")
+    by_week = by_week.unionByName(changed.withColumn("kind", F.lit("override")).join(notices.filter("kind = 'override'").select("kind", "url"), "kind").select("week_start", "url"))
+    own = by_week.groupBy("week_start").agg(F.collect_set("url").alias("__w"))
+    rows = spans.withColumn("__i", F.lit(1)).join(F.broadcast(always), "__i", "left").join(own, "week_start", "left")
+    none = F.array().cast("array<string>")
+    rows = rows.select("week_start", F.explode(F.array_union(F.coalesce("__u", none), F.coalesce("__w", none))).alias("url")).join(first, "url")
+    listed = rows.groupBy("week_start").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "url"))), lambda x: x["url"]).alias("sources"))
+    return spans.join(listed, "week_start", "left").withColumn("sources", F.coalesce("sources", none))
+
+
 def load_weekly(df: DataFrame, required: Sequence[str], drop_null: Sequence[str] = ("date",)) -> DataFrame:
     """A weekly table with the required columns (else it fails), numbers coerced, rows without date dropped."""
     missing = [c for c in required if c not in df.columns]

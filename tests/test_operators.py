@@ -287,19 +287,29 @@ def test_release_states(spark):
     assert status(good) == ("OK", [], D(2024, 1, 2))
     assert status(good, observed="2024-01-02", now="2024-01-12 21:00:00")[::2] == ("AWAITING_RELEASE", D(2024, 1, 9))
     assert status(good, observed="2024-01-09", now="2024-01-14 05:00:00")[::2] == ("OK", D(2024, 1, 9))
-    assert status({"hub": "2024-01-09", "master": "2023-12-01"})[:2] == ("PARTIAL_STALE", ["master"])
+    assert status({"hub": "2024-01-09", "master": "2023-12-01"})[:2] == ("PARTIAL_STALE", [])  # the master is what others are held against
+    assert status({**good, "paths": "2023-12-01"})[:2] == ("PARTIAL_STALE", ["paths"])
     assert status({"hub": "2023-12-01", "master": "2024-01-09"})[:2] == ("STALE", ["hub"])
     assert status({"hub": "2024-01-09", "master": None})[0] == "ERROR"
+    none = spark.createDataFrame([("a", None, None, None, None), ("b", "2024-01-12 18:00:00", None, "x", None), ("c", "2024-01-09 18:00:00", None, "x", "y")], "name string, fetched_at string, observed date, sha256 string, file_sha256 string")
+    assert [r[0] for r in Q.release_errors(none, "2024-01-12 20:00:00").orderBy("name").select(F.size("errors")).collect()] == [1, 1, 3]
     for bad in ({"digest": "b"}, {"fetched": None}, {"fetched": "2024-01-10 20:00:00"}, {"fetched": "2024-01-13 20:00:00"}, {"observed": None}):
         assert status(good, **bad)[0] == "SOURCE_UNVERIFIED"
 
 
 def test_archived_hours_come_with_their_extremes(spark):
-    schema = "series_id string, report_date date, closes timestamp, coverage string, hourly_coverage string, days array<struct<date: date>>, missing array<date>, open double, high double, low double, close double, high_start string"
-    row = lambda coverage, hours, start, missing=(): ("A", D(2024, 1, 2), dt.datetime(2024, 1, 19), coverage, hours, [(D(2024, 1, 8),)], list(missing), 1.0, 2.0, 0.5, 1.5, start)
-    run = lambda a, b: O.archive_merge(spark.createDataFrame([a], schema), spark.createDataFrame([b], schema), "2024-01-13").first()
+    schema = "series_id string, report_date date, closes timestamp, coverage string, hourly_coverage string, days array<struct<date: date>>, expected array<date>, missing array<date>, unexpected array<date>, open double, high double, low double, close double, high_start string"
+    row = lambda coverage, hours, start, missing=(), expected=(), unexpected=(): ("A", D(2024, 1, 2), dt.datetime(2024, 1, 19), coverage, hours, [(D(2024, 1, 8),)], list(expected), list(missing), list(unexpected), 1.0, 2.0, 0.5, 1.5, start)
+    frame = lambda r: spark.createDataFrame([r], schema)
+    run = lambda a, b: O.archive_merge(frame(a), frame(b), "2024-01-13").first()
     done = run(row("COMPLETE_DAILY", "MISSING", None), row("COMPLETE_DAILY", "PARTIAL", "then"))
     assert (done.archive_status, done.hourly_coverage, done.high_start) == ("CURRENT_DAILY_WITH_ARCHIVED_HOURLY", "PARTIAL", "then")
-    same = run(row("PARTIAL", "MISSING", None, [D(2024, 1, 9)]), row("PARTIAL", "PARTIAL", "then", [D(2024, 1, 9)]))
-    other = run(row("PARTIAL", "MISSING", None, [D(2024, 1, 9)]), row("PARTIAL", "PARTIAL", "then", [D(2024, 1, 10)]))
-    assert (same.high_start, other.archive_status, other.high_start) == ("then", "CURRENT_QUERY", None)
+    day = [D(2024, 1, 9)]
+    same = run(row("PARTIAL", "MISSING", None, day), row("PARTIAL", "PARTIAL", "then", day))
+    assert same.high_start == "then"
+    for other in ({"missing": [D(2024, 1, 10)]}, {"missing": day, "expected": day}, {"missing": day, "unexpected": day}):
+        got = run(row("PARTIAL", "MISSING", None, day), row("PARTIAL", "PARTIAL", "then", **other))
+        assert (got.archive_status, got.high_start) == ("CURRENT_QUERY", None)
+    for now, before in ((frame(row("PARTIAL", "MISSING", None)).drop("expected"), frame(row("PARTIAL", "MISSING", None))), (frame(row("PARTIAL", "MISSING", None)), frame(row("PARTIAL", "MISSING", None)).drop("unexpected"))):
+        with pytest.raises(ValueError, match="outcomes lack"):
+            O.archive_merge(now, before, "2024-01-13")
