@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import ratio
+from ..functions.counts import window_shares
 
 SERIES, DATE = ("series_id",), "date"
 
@@ -129,24 +130,14 @@ def paths(df: DataFrame, x: str, length: int, series: Sequence[str] = SERIES, da
 
 
 def long_window_percentile(df: DataFrame, x: str, windows: dict[str, int], least: int, series: Sequence[str] = SERIES, date: str = DATE) -> DataFrame:
-    """prior_percentile for several or long windows at once, a series in a task, vectorised."""
+    """prior_percentile for several or long windows at once, a series in a task; sliding.sliding_percentiles cuts series that are too long for that."""
     fields = [*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in windows]]
 
+    sizes = {c: (n, False) for c, n in windows.items()}
+
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(date, kind="stable")
-        v = part[x].to_numpy(dtype=float)
-        for name, size in windows.items():
-            padded = np.concatenate([np.full(size, np.nan), v])
-            prior = np.lib.stride_tricks.sliding_window_view(padded, size)[: len(v)]
-            out = np.full(len(v), np.nan)
-            for a in range(0, len(v), 4096):
-                p = prior[a : a + 4096]
-                n = (~np.isnan(p)).sum(axis=1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    share = (p <= v[a : a + 4096, None]).sum(axis=1) / n
-                out[a : a + 4096] = np.where((n >= least) & ~np.isnan(v[a : a + 4096]), share, np.nan)
-            part[name] = out
-        return part
+        return part.assign(**window_shares(part[x].to_numpy(dtype=float, na_value=np.nan), sizes, least))
 
     made = df.groupBy(*series).applyInPandas(run, T.StructType(fields))
     return made.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in windows})

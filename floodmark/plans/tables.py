@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ranges as G
-from ..sources.paths import scratch
+from ..operators import selection, sliding
+from ..operators import windows as W
+from ..sources.paths import scratch, stored
+from ..sources.sinks import clustered
 from ..sources.versions import merge_partitions, month_of
 from ..streaming import bars as B
 from . import demo
 from .market import _DIRTY, _NEW, _REASON, KEY, _dirty, _refresh
-from .sql import r6
+from .sql import BASE, percentile, prior_percentile, r6
 from .studies import tidy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +117,43 @@ _AVG = "rank() OVER (PARTITION BY {p} ORDER BY {x}) + (count(*) OVER (PARTITION
 add("ranks_hot_series", _ranks_hot, f"""WITH r AS (SELECT l_orderkey, l_linenumber, {_AVG.format(p='1', x='l_extendedprice')} AS p, count(*) OVER () AS n, {_AVG.format(p='l_linenumber < 7', x='l_quantity')} AS q, count(*) OVER (PARTITION BY l_linenumber < 7) AS m FROM lineitem)
 SELECT l_orderkey, l_linenumber, {r6('p')} AS price_rank, {r6('p / n')} AS price_share, CASE WHEN l_linenumber < 7 THEN {r6('q')} END AS quantity_rank, CASE WHEN l_linenumber < 7 THEN {r6('q / m')} END AS quantity_share FROM r""")
 add("positions_hot_series", lambda s, d: G.positions(demo.table(s, d, "events").select("event_type", "ts", "event_id"), ["ts", "event_id"], "position", series=["event_type"]), "SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS position FROM events")
+
+# --- order statistics ---------------------------------------------------------------
+
+
+def _sliding_hot(s: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each event among the 500 and the 5,000 events before it, all events as one series."""
+    rows = demo.table(s, d, "events").select(F.lit("all").alias("series_id"), "ts", "event_id", F.when(F.col("event_id") % 10 > 0, F.round("value", 0)).alias("value"))
+    found = sliding.sliding_percentiles(rows, "value", {"p500": 500, "p5000": 5000}, 100, order=["ts", "event_id"])
+    return tidy(found, ["event_id"], ["p500", "p5000"])
+
+
+def _slid(n: int) -> str:
+    return f"p{n} AS (SELECT e.event_id, CASE WHEN count(p.v) >= 100 THEN count(*) FILTER (p.v <= e.v) / CAST(count(p.v) AS DOUBLE) END AS p{n} FROM e JOIN e p ON p.pos BETWEEN e.pos - {n} AND e.pos - 1 WHERE e.v IS NOT NULL GROUP BY ALL)"
+
+
+add("sliding_percentile_hot", _sliding_hot, f"""WITH e AS MATERIALIZED (SELECT event_id, CASE WHEN event_id % 10 > 0 THEN round(value, 0) END AS v, row_number() OVER (ORDER BY ts, event_id) AS pos FROM events), {_slid(500)}, {_slid(5000)}
+SELECT event_id, {r6('p500')} AS p500, {r6('p5000')} AS p5000 FROM e LEFT JOIN p500 USING (event_id) LEFT JOIN p5000 USING (event_id)""")
+
+
+def _pooled(s: SparkSession, d: str) -> DataFrame:
+    """Quartiles of prices over all order lines of a flag, and over all of them: groups of any size."""
+    rows = demo.table(s, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    want = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}
+    one, all_rows = selection.quantiles(rows, ["l_returnflag"], "l_extendedprice", want), selection.quantiles(rows, [], "l_extendedprice", want)
+    return tidy(one.unionByName(all_rows.withColumn("l_returnflag", F.lit("all"))), ["l_returnflag"], list(want), ["n"])
+
+
+_QS = ", ".join(f"{r6(f'quantile_cont(l_extendedprice, {q})')} AS {n}" for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("p99", 0.99)))
+add("pooled_quantiles", _pooled, f"SELECT l_returnflag, {_QS}, count(l_extendedprice) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT 'all', {_QS}, count(l_extendedprice) FROM lineitem")
+
+
+def _landed_master(s: SparkSession, d: str) -> DataFrame:
+    """Windows over the master landed in buckets of its series: one table, no exchange."""
+    with clustered(demo.master(s, d), 8) as master:
+        w = W.by_series()
+        out = master.select(*KEY, W.percentile("mm_net", 156, 52, w).alias("p"), W.prior_percentile("oi", 104, 52, w).alias("prior"), W.trailing("close", 4, w).alias("r4"))
+        return stored(tidy(out, KEY, ["p", "prior", "r4"]), "clustered-windows")
+
+
+add("clustered_windows", _landed_master, f"{BASE} SELECT series_id, date, {r6(percentile('mm_net', 156, 52))} AS p, {r6(prior_percentile('oi', 104, 52))} AS prior, {r6('close / nullif(lag(close, 4) OVER (PARTITION BY series_id ORDER BY date), 0) - 1')} AS r4 FROM master")

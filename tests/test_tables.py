@@ -8,10 +8,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from floodmark.functions.counts import RangeCounts, window_shares
 from floodmark.operators import clean as K
 from floodmark.operators import joins as J
 from floodmark.operators import ranges as G
+from floodmark.operators import selection, sliding
 from floodmark.operators import windows as W
+from floodmark.sources import sinks
 from floodmark.sources.paths import ChecksFailed, write_checked
 from floodmark.sources.versions import Conflict, Versions, merge_partitions, month_of
 from floodmark.streaming import bars as B
@@ -243,3 +246,94 @@ def test_asof_by_range(spark, ticks, ranged):
 def test_a_hot_series_is_in_several_ranges(ticks, ranged):
     laid = G._laid(ticks, ["series_id"], ["date"])
     assert laid.filter("series_id = 'hot'").select("__range").distinct().count() > 1
+
+
+# --- order statistics ---------------------------------------------------------------
+
+
+def test_counts_of_stretches():
+    rng = np.random.default_rng(1)
+    for top in (1, 2, 7, 8, 300):
+        codes = rng.integers(0, top, 500)
+        left = rng.integers(0, 501, 400)
+        right = np.maximum(left, rng.integers(0, 501, 400))
+        bound = rng.integers(0, top + 1, 400)
+        want = [(codes[a:b] < k).sum() for a, b, k in zip(left, right, bound, strict=True)]
+        assert RangeCounts(codes).below(left, right, bound).tolist() == want
+    assert RangeCounts(np.zeros(0, np.int64)).below(np.zeros(2, int), np.zeros(2, int), np.array([0, 3])).tolist() == [0, 0]
+
+
+def plain_share(v, i, size, inclusive, least):
+    window = [x for x in v[max(i - size + inclusive, 0) : i + inclusive] if not np.isnan(x)]
+    own = (window[-1] if window else np.nan) if inclusive else v[i]
+    return sum(x <= own for x in window) / len(window) if len(window) >= max(least, 1) and not np.isnan(own) else np.nan
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_window_shares(inclusive):
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=300), 1)
+    v[rng.random(300) < 0.2] = np.nan
+    v[:20] = np.nan
+    for values in (v, np.full(50, np.nan), np.ones(40), np.array([])):
+        got = window_shares(values, {n: (n, inclusive) for n in (1, 7, 90, 1000)}, 3)
+        for n, shares in got.items():
+            assert shares.tolist() == pytest.approx([plain_share(values, i, n, inclusive, 3) for i in range(len(values))], nan_ok=True)
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_sliding_percentiles_over_chunks(spark, ranged, inclusive):
+    rng = np.random.default_rng(3)
+    rows = [(s, i, None if rng.random() < 0.1 else float(rng.integers(0, 30)), f"{s}{i}") for s, n in (("a", 900), ("b", 5), ("c", 130)) for i in range(n)]
+    df = spark.createDataFrame(rows, "series_id string, date int, x double, kept string").repartition(5)
+    w = W.by_series()
+    column = W.percentile if inclusive else W.prior_percentile
+    want = df.select("kept", column("x", 60, 10, w).alias("s60"), column("x", 7, 10, w).alias("s7"), column("x", 100, 10, w).alias("s100")).collect()
+    got = sliding.sliding_percentiles(df, "x", {"s60": 60, "s7": 7, "s100": 100}, 10, inclusive=inclusive, rows=64)
+    assert sorted(map(str, got.select("kept", "s60", "s7", "s100").collect())) == sorted(map(str, want))
+    assert sliding.sliding_percentiles(df.filter("false"), "x", {"s": 5}, 1).count() == 0
+
+
+def test_cost_of_a_window_does_not_grow_with_it():
+    import time
+
+    v = np.random.default_rng(4).normal(size=200_000)
+    took = []
+    for size in (150, 5000, 100_000):
+        began = time.process_time()
+        window_shares(v, {"s": (size, False)}, 10)
+        took.append(time.process_time() - began)
+    assert max(took) < 4 * min(took) + 0.2
+
+
+def test_quantiles_equal_those_of_buffers(spark):
+    rng = np.random.default_rng(6)
+    rows = [("normal", float(x)) for x in rng.normal(size=3000)] + [("few", float(x)) for x in rng.integers(0, 3, 2000)] + [("one", 4.5)] * 900
+    rows += [("steep", float(10.0 ** -(i % 300))) for i in range(1500)] + [("wide", x) for x in (-1.7e308, 1.7e308, 0.0, 1.0, 2.0)] + [("single", -3.0), ("empty", None), ("empty", float("nan")), ("odd", float("inf")), ("odd", 1.0), (None, 2.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(6)
+    want = {"q0": 0.0, "q1": 0.25, "median": 0.5, "q9": 0.97, "top": 1.0}
+    solid = df.withColumn("x", F.when(~F.isnan("x") & (F.abs("x") < float("inf")), F.col("x")))
+    plain = {r.k: r for r in solid.groupBy("k").agg(F.count("x").alias("n"), *[F.percentile("x", q).alias(c) for c, q in want.items()]).collect()}
+    got = {r.k: r for r in selection.quantiles(df, ["k"], "x", want, bins=40, few=100).collect()}
+    assert set(got) == set(plain)
+    for k, r in plain.items():
+        if r.n == 0:
+            assert got[k].n == 0 and got[k].median is None
+        else:
+            assert got[k].n == r.n and [got[k][c] for c in want] == pytest.approx([r[c] for c in want], rel=1e-12, abs=0), k
+    pooled = selection.quantiles(df, [], "x", {"median": 0.5}, bins=40, few=100).first()
+    assert pooled.median == solid.agg(F.median("x")).first()[0]
+    assert selection.quantiles(df.filter("false"), ["k"], "x", want).count() == 0
+
+
+def test_windows_over_a_clustered_table_need_no_exchange(spark):
+    df = spark.createDataFrame([(f"s{i % 9}", D(2024, 1, 1) + dt.timedelta(days=i // 9), float(i * 7 % 31)) for i in range(900)], "series_id string, date date, x double")
+    column = W.percentile("x", 50, 10, W.by_series())
+    want = sorted(map(str, df.select("series_id", "date", column.alias("p")).collect()))
+    with sinks.clustered(df, 4) as table:
+        out = table.select("series_id", "date", column.alias("p"))
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, out.collect())) == want
+        name = table
+    with pytest.raises(Exception, match="NOT_EXIST|not exist|NOT_FOUND|cannot be found"):
+        name.count()
