@@ -17,7 +17,7 @@ from ..sources import sinks
 from ..sources.paths import scratch, stored
 from ..streaming import bars as B
 from . import demo, sql, weekly
-from .search import TEND, tendencies
+from .search import FEATURES, TEND, tendencies
 from .sql import ALT_PRICES, BASE, FULL, POSITIONS, PRICES, r6
 from .studies import tidy
 
@@ -475,22 +475,38 @@ add("outcomes_alignment", lambda s, d: J.alignment(week_outcomes(s, d), reports(
     f"WITH {_EXP} SELECT count(*) FILTER (report_date < DATE '2024-01-20') AS both, count(*) FILTER (report_date >= DATE '2024-01-20') AS only_first, CAST(0 AS BIGINT) AS only_second FROM wk")
 
 
+_HUB = ["close", "mm_pct", "oi_pct", "lifecycle_state", "regime", "weekly_state", "reading"]
+
+
 def hub(s: SparkSession, d: str) -> DataFrame:
-    """One record for each series: its latest weekly row and states, what followed similar weeks, and its price history."""
+    """One record for each series: its latest weekly row and states, what followed similar weeks, its price history, and the health of these.
+
+    The master is written first, so that adaptive execution does not plan the many windows anew after each of
+    its stages; they stand on one partitioning by series, and their frame is written once.
+    """
     base = stored(demo.master(s, d), "master")
-    frame = stored(demo.weekly(s, d, base), "weekly-frame")
-    last = demo.lifecycle(s, d, frame).groupBy("series_id").agg(F.max("date").alias("date"), *[F.max_by(c, "date").alias(c) for c in ("close", "mm_pct", "oi_pct", "lifecycle_state", "regime")])
-    change = weekly.weekly_changes(s, d, base).groupBy("series_id").agg(F.max_by("state", "date").alias("weekly_state"))
-    read = weekly.velocity_readings(s, d, base).groupBy("series_id").agg(F.max_by("reading", "date").alias("reading"))
-    out = last.join(change, "series_id", "left").join(read, "series_id", "left").join(tendencies(s, d, frame).select("series_id", "tendency", "confidence"), "series_id", "left").join(Q.history_coverage(demo.positions(s, d), demo.prices(s, d)).select("series_id", "reaches_end"), "series_id", "left")
-    return tidy(out.withColumn("market_state", C.market_state("mm_pct", "oi_pct")), ["series_id", "date", "lifecycle_state", "regime", "weekly_state", "reading", "tendency", "confidence", "reaches_end", "market_state"], ["close", "mm_pct", "oi_pct"])
+    df = weekly.with_readings(demo.structure(s, d, demo.lifecycle(s, d, demo.weekly(s, d, base))))
+    frame = stored(weekly.weekly_changes(s, d, df).withColumnRenamed("state", "weekly_state"), "hub-frame")
+    complete = F.lit(True)
+    for f in FEATURES:
+        complete = complete & F.col(f).isNotNull()
+    last = frame.groupBy("series_id").agg(F.max("date").alias("date"), F.max_by(F.struct(*_HUB), "date").alias("r"), F.count(F.lit(1)).alias("master_rows"), F.max(F.when(complete, F.col("date"))).alias("case_date"))
+    out = last.select("series_id", "date", "r.*", "master_rows", "case_date")
+    out = out.join(tendencies(s, d, frame).select("series_id", "tendency", "confidence", "cases"), "series_id", "left")
+    out = out.join(Q.history_coverage(frame, demo.prices(s, d)).select("series_id", "reaches_end"), "series_id", "left")
+    current = F.coalesce(F.col("case_date") == F.col("date"), F.lit(False))
+    out = out.withColumns({"market_state": C.market_state("mm_pct", "oi_pct"), "cases": F.coalesce("cases", F.lit(0)), "health": F.when(current, "ok").otherwise("partial_stale"), "stale": F.when(current, "").otherwise("cases")})
+    keep = ["series_id", "date", "lifecycle_state", "regime", "weekly_state", "reading", "tendency", "confidence", "reaches_end", "market_state", "case_date", "health", "stale"]
+    return tidy(out, keep, ["close", "mm_pct", "oi_pct"], ["master_rows", "cases"])
 
 
 #: What follows the structure view in the SQL of readings.
 _READ = weekly.READING_SQL.split(sql.STRUCTURE, 1)[1]
 add("hub_summary", hub, f"""{TEND}, {sql.LIFECYCLE}, {sql.STRUCTURE}{_READ}, {weekly._CH_SQL}, n1 AS (SELECT series_id, max(date) AS date, {', '.join(f'arg_max({c}, date) AS {c}' for c in ('close', 'mm_pct', 'oi_pct', 'lifecycle_state', 'regime'))} FROM life GROUP BY ALL),
-n2 AS (SELECT series_id, arg_max({weekly._STATE_SQL}, date) AS weekly_state FROM ch GROUP BY ALL), n3 AS (SELECT series_id, arg_max(reading, date) AS reading FROM rd GROUP BY ALL), n4 AS (SELECT p.series_id, max(r.d) >= max(p.date) AS reaches_end FROM positions p JOIN (SELECT series_id, max(date) AS d FROM prices GROUP BY ALL) r USING (series_id) GROUP BY ALL)
-SELECT series_id, date, lifecycle_state, regime, weekly_state, reading, tendency, confidence, reaches_end, {weekly._MS.format(m='(mm_pct * 100)', o='(oi_pct * 100)', h='Healthy High Positioning')} AS market_state, {r6('close')} AS close, {r6('mm_pct')} AS mm_pct, {r6('oi_pct')} AS oi_pct FROM n1 LEFT JOIN n2 USING (series_id) LEFT JOIN n3 USING (series_id) LEFT JOIN tend USING (series_id) LEFT JOIN n4 USING (series_id)""")
+n2 AS (SELECT series_id, arg_max({weekly._STATE_SQL}, date) AS weekly_state FROM ch GROUP BY ALL), n3 AS (SELECT series_id, arg_max(reading, date) AS reading FROM rd GROUP BY ALL), n4 AS (SELECT p.series_id, max(r.d) >= max(p.date) AS reaches_end FROM positions p JOIN (SELECT series_id, max(date) AS d FROM prices GROUP BY ALL) r USING (series_id) GROUP BY ALL),
+n5 AS (SELECT series_id, count(*) AS master_rows, max(date) FILTER ({' AND '.join(f'{f} IS NOT NULL' for f in FEATURES)}) AS case_date FROM weekly GROUP BY ALL), n6 AS (SELECT series_id, count(*) AS k FROM cases GROUP BY ALL)
+SELECT series_id, date, lifecycle_state, regime, weekly_state, reading, tendency, confidence, reaches_end, {weekly._MS.format(m='(mm_pct * 100)', o='(oi_pct * 100)', h='Healthy High Positioning')} AS market_state, case_date, CASE WHEN case_date = date THEN 'ok' ELSE 'partial_stale' END AS health, CASE WHEN case_date = date THEN '' ELSE 'cases' END AS stale,
+{r6('close')} AS close, {r6('mm_pct')} AS mm_pct, {r6('oi_pct')} AS oi_pct, master_rows, coalesce(k, 0) AS cases FROM n1 LEFT JOIN n2 USING (series_id) LEFT JOIN n3 USING (series_id) LEFT JOIN tend USING (series_id) LEFT JOIN n4 USING (series_id) LEFT JOIN n5 USING (series_id) LEFT JOIN n6 USING (series_id)""")
 
 # --- streams --------------------------------------------------------------------
 

@@ -79,14 +79,14 @@ add("similarity_summary", _similarity_summary, f"{CASES} " + " UNION ALL ".join(
 def tendencies(s: SparkSession, d: str, frame: DataFrame | None = None) -> DataFrame:
     c = cases(s, d, frame)
     t = M.top_groups(c, FWD).filter("size = 20").join(c.groupBy("series_id").agg(F.avg("score").alias("score")), "series_id")
-    return t.select("series_id", C.tendency("avg1", "avg2", "avg4", "avg8", "win8").alias("tendency"), C.sample_tendency("median8", "win8").alias("sample_tendency"), C.confidence("cases", "win8", "median8", "avg8", "score").alias("confidence"), C.r6("score").alias("score"), C.r6("avg8").alias("avg8"), C.r6("win8").alias("win8"))
+    return t.select("series_id", "cases", C.tendency("avg1", "avg2", "avg4", "avg8", "win8").alias("tendency"), C.sample_tendency("median8", "win8").alias("sample_tendency"), C.confidence("cases", "win8", "median8", "avg8", "score").alias("confidence"), C.r6("score").alias("score"), C.r6("avg8").alias("avg8"), C.r6("win8").alias("win8"))
 
 
 TEND = f"""{TOP}, tend AS MATERIALIZED (SELECT series_id, CASE WHEN avg1 IS NULL OR avg2 IS NULL OR avg4 IS NULL OR avg8 IS NULL THEN 'na' WHEN avg1 < 0 AND avg4 < 0 AND avg8 < 0 AND win8 < 0.45 THEN 'risk_off_caution' WHEN avg1 > 0 AND avg4 > 0 AND avg8 > 0 AND win8 >= 0.55 THEN 'tailwind' ELSE 'mixed' END AS tendency,
 CASE WHEN median8 > 0 AND win8 >= 0.55 THEN 'historical_sample_positive' WHEN median8 < 0 AND win8 <= 0.45 THEN 'historical_sample_negative' ELSE 'historical_sample_mixed' END AS sample_tendency,
 CASE WHEN cases >= 20 AND median8 * avg8 > 0 AND (win8 >= 0.75 OR win8 <= 0.25) AND sc >= 85 THEN 'High' WHEN cases >= 20 AND median8 * avg8 > 0 AND (win8 >= 0.65 OR win8 <= 0.35) THEN 'Medium' ELSE 'Low' END AS confidence, {r6('sc')} AS score, {r6('avg8')} AS avg8, {r6('win8')} AS win8
 FROM topg JOIN (SELECT series_id, avg(score) AS sc FROM cases GROUP BY ALL) USING (series_id) WHERE size = 20)"""
-add("tendency_confidence", tendencies, f"{TEND} SELECT * FROM tend")
+add("tendency_confidence", lambda s, d: tendencies(s, d).drop("cases"), f"{TEND} SELECT * FROM tend")
 
 
 def _best_worst(s: SparkSession, d: str) -> DataFrame:

@@ -107,18 +107,24 @@ add("contribution_state", lambda s, d: demo.structure(s, d).select(*KEY, "contri
 add("structure_state", lambda s, d: demo.structure(s, d).select(*KEY, "structure_state"), f"{STRUCT} SELECT series_id, date, structure_state FROM structure")
 
 
-def velocity_readings(s: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
-    df = demo.structure(s, d, base)
+_READ = ["long_delta", "fast", "long_alignment", "short_alignment", "net_alignment", "reading"]
+
+
+def with_readings(df: DataFrame) -> DataFrame:
+    """df (with the columns of demo.structure) and the readings of its velocities."""
     two, four = F.col("short_pct_v2"), F.col("short_pct_v4")
-    fast = F.coalesce((two + four) / 2, two, four)
-    df = df.withColumn("fast", fast)
-    return df.select(
-        *KEY, "structure_state", C.r6(F.col("long_pct_v8") - F.col("long_pct_v26")).alias("long_delta"), C.r6("fast").alias("fast"), C.alignment("long_pct_v8", "long_pct_v26").alias("long_alignment"),
-        C.alignment("short_pct_v8", "fast").alias("short_alignment"), C.alignment("net_pct_v8", "net_pct_v26").alias("net_alignment"),
-        C.velocity_reading("long_pct_v8", "long_pct_v26", "fast", "net_pct_v8", "net_pct_v26").alias("reading"),
+    df = df.withColumn("fast", F.coalesce((two + four) / 2, two, four))
+    return df.withColumns(
+        {"long_delta": F.col("long_pct_v8") - F.col("long_pct_v26"), "long_alignment": C.alignment("long_pct_v8", "long_pct_v26"), "short_alignment": C.alignment("short_pct_v8", "fast"), "net_alignment": C.alignment("net_pct_v8", "net_pct_v26"),
+         "reading": C.velocity_reading("long_pct_v8", "long_pct_v26", "fast", "net_pct_v8", "net_pct_v26")}
     )
 
 
+def velocity_readings(s: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
+    df = with_readings(demo.structure(s, d, base))
+    return df.select(*KEY, "structure_state", *[C.r6(c).alias(c) if c in ("long_delta", "fast") else c for c in _READ])
+
+
 def _align_sql(a: str, b: str) -> str:
     return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN 'MIXED_OR_UNCLEAR' WHEN abs({a}) < 0.03 AND abs({b}) < 0.03 THEN 'BOTH_NEAR_ZERO' WHEN {a} > 0 AND {b} > 0 THEN 'SAME_DIRECTION_POSITIVE' WHEN {a} < 0 AND {b} < 0 THEN 'SAME_DIRECTION_NEGATIVE' WHEN {a} > 0 AND {b} < 0 THEN 'BASELINE_POSITIVE_CANDIDATE_NEGATIVE' WHEN {a} < 0 AND {b} > 0 THEN 'BASELINE_NEGATIVE_CANDIDATE_POSITIVE' ELSE 'MIXED_OR_UNCLEAR' END"
 
