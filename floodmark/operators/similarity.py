@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import stored
 from .windows import DATE, SERIES, by_series, paths
 
 
@@ -33,37 +35,49 @@ def similar_states(df: DataFrame, features: Sequence[str], *, top: int | None =
     return (rows if top is None else rows.filter(F.col("rank") <= top)).select(*series, "rank", date, "score", "distance", *features, *keep)
 
 
-def similar_states_across(df: DataFrame, features: Sequence[str], *, top: int = 20, series: Sequence[str] = SERIES, date: str = DATE, max_queries: int = 5000) -> DataFrame:
-    """The top rows of all other series for the last complete row of each series.
+def _near_pairs(asked: DataFrame, rows: DataFrame, features: Sequence[str], radius: float) -> DataFrame:
+    """Pairs of asked (query, features) and rows (found, features, ...) of other series in the same cell of a grid, or in one beside it in any direction, with their distance in points.
 
-    The queries are one row a series and are broadcast, as many as max_queries at a
-    time; each task keeps its own best rows of each query, so the shuffle moves
-    top rows for each query and task.
+    Cells are radius wide, so no pair with a sum of differences up to radius is left out.
     """
-    full = df.dropna(subset=list(features)).select(*series, date, *features)
-    last = full.groupBy(*series).agg(F.max_by(F.struct(*features), date).alias("f")).select(*series, "f.*")
-    out = None
-    n = last.count()
-    for a in range(0, max(n, 1), max_queries):
-        part = last.orderBy(*series).offset(a).limit(max_queries).toPandas()
-        q = df.sparkSession.sparkContext.broadcast((part[list(series)].astype(str).agg("|".join, axis=1).to_numpy(), part[list(features)].to_numpy(float)))
-
-        def near(batches, q=q):
-            names, queries = q.value
-            best: dict[str, list] = {}
-            for b in batches:
-                own = b[list(series)].astype(str).agg("|".join, axis=1).to_numpy()
-                d = np.abs(b[list(features)].to_numpy(float)[None, :, :] - queries[:, None, :]).sum(axis=2) * 100
-                for i, name in enumerate(names):
-                    rows = [(-np.floor((100 - min(x / 3, 100)) * 1e10 + 0.5), t, o, x) for x, t, o in zip(d[i], b[date], own, strict=True) if o != name]
-                    best[name] = sorted([*best.get(name, []), *rows])[:top]
-            yield pd.DataFrame([(k, o, t, float(x)) for k, v in best.items() for _, t, o, x in v], columns=["query", "found", date, "distance"])
-
-        found = full.mapInPandas(near, f"query string, found string, {date} date, distance double")
-        out = found if out is None else out.unionByName(found)
+    cell = lambda c: F.floor(F.col(c) / radius)
+    steps = F.array(*[F.array(*[F.lit(k) for k in step]) for step in itertools.product((-1, 0, 1), repeat=len(features))])
+    beside = F.transform(steps, lambda k: F.array(*[cell(f) + k[i] for i, f in enumerate(features)]))
+    asks = asked.select("query", F.struct(*features).alias("__q"), F.explode(beside).alias("__cell"))
+    pairs = asks.join(rows.withColumn("__cell", F.array(*[cell(f) for f in features])), "__cell").filter("query <> found")
+    distance = sum((F.abs(F.col(f) - F.col(f"__q.{f}")) for f in features), F.lit(0.0)) * 100
+    return pairs.withColumn("distance", distance).drop("__cell", "__q")
+
+
+def similar_states_across(df: DataFrame, features: Sequence[str], *, top: int = 20, series: Sequence[str] = SERIES, date: str = DATE) -> DataFrame:
+    """The top rows of all other series for the last complete row of each series, exact.
+
+    The queries, one a series, meet only rows of nearby cells of a grid. A query is settled once top rows
+    lie within the width of a cell, as every row that near was met; the others go on with
+    cells twice as wide, until cells are as wide as the data. The first width expects about twice top rows. Of what a
+    task finds for a query only the best rows are shuffled. The driver sees three numbers of the table and one a round.
+    """
+    name = F.concat_ws("|", *series)
+    rows = stored(df.dropna(subset=list(features)).select(name.alias("found"), date, *features), "states")
+    asked = stored(rows.groupBy(F.col("found").alias("query")).agg(F.max_by(F.struct(*features), date).alias("f")).select("query", "f.*"), "queries")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.greatest(*[F.max(f) - F.min(f) for f in features], F.lit(0.0)).alias("span")).first()
+    span = max(size.span or 0.0, 1e-9)
+    radius = span * min(1.0, max(2.0 * top / max(size.n, 1), 1e-9) ** (1 / len(features)))
     key = F.floor((100 - F.least(F.col("distance") / 3, F.lit(100.0))) * 1e10 + 0.5)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(key.desc(), date, "found"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= top)
+    out = None
+    while True:
+        best = stored(_near_pairs(asked, rows, features, radius).withColumn("rank", rank).filter(F.col("rank") <= top), "nearest")
+        last = radius >= span
+        settled = best.groupBy("query").agg(F.count_if(F.col("distance") <= 100 * radius - 1e-8).alias("k")).filter(F.col("k") >= top).select("query")
+        found = best if last else best.join(settled, "query", "left_semi")
+        out = found if out is None else out.unionByName(found)
+        if last:
+            return out.select("query", "found", date, "distance", "rank")
+        asked = stored(asked.join(settled, "query", "left_anti"), "queries")
+        if asked.isEmpty():
+            return out.select("query", "found", date, "distance", "rank")
+        radius = min(2 * radius, span)
 
 
 def nearest_values(df: DataFrame, x: str, *, top: int = 10, skip: int = 8, series: Sequence[str] = SERIES, date: str = DATE) -> DataFrame:

@@ -13,6 +13,7 @@ from floodmark.operators import clean as K
 from floodmark.operators import joins as J
 from floodmark.operators import ranges as G
 from floodmark.operators import selection, sliding
+from floodmark.operators import similarity as M
 from floodmark.operators import windows as W
 from floodmark.sources import sinks
 from floodmark.sources.paths import ChecksFailed, write_checked
@@ -337,3 +338,38 @@ def test_windows_over_a_clustered_table_need_no_exchange(spark):
         name = table
     with pytest.raises(Exception, match="NOT_EXIST|not exist|NOT_FOUND|cannot be found"):
         name.count()
+
+
+# --- nearest states across series ------------------------------------------------------
+
+
+def test_nearest_states_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(25):
+        base = rng.random(3) if k else np.array([5.0, 5.0, 5.0])  # one series is far from all others
+        rows += [(f"s{k}", D(2020, 1, 1) + dt.timedelta(days=i), *[float(round(x, 2)) for x in base + rng.normal(scale=0.1, size=3)]) for i in range(60)]
+    rows += [("s3", D(2021, 1, 1), None, 0.1, 0.2)]  # no complete row: not a state
+    df = spark.createDataFrame(rows, "series_id string, date date, a double, b double, c double")
+    full = [r for r in rows if r[2] is not None]
+    want = set()
+    for q in {r[0] for r in full}:
+        now = max((r for r in full if r[0] == q), key=lambda r: r[1])
+        far = lambda r: (abs(r[2] - now[2]) + abs(r[3] - now[3]) + abs(r[4] - now[4])) * 100  # noqa: B023, E731
+        best = sorted((-np.floor((100 - min(far(r) / 3, 100)) * 1e10 + 0.5), r[1], r[0], far(r)) for r in full if r[0] != q)[:7]
+        want |= {(q, f, t, i + 1) for i, (_, t, f, _) in enumerate(best)}
+    got = M.similar_states_across(df, ["a", "b", "c"], top=7)
+    assert {(r.query, r.found, r.date, r.rank) for r in got.collect()} == want
+    assert M.similar_states_across(df.filter("false"), ["a", "b", "c"]).count() == 0
+    two = df.filter("series_id in ('s1', 's2') and date < '2020-01-04'")  # fewer rows than asked for
+    assert M.similar_states_across(two, ["a", "b", "c"], top=7).count() == 6
+
+
+def test_pairs_looked_at_stay_far_below_all(spark):
+    n, m = 200, 300
+    df = spark.range(n * m).select((F.col("id") % n).cast("string").alias("found"), *[F.rand(k).alias(c) for k, c in enumerate("abc")])
+    asked = df.dropDuplicates(["found"]).withColumnRenamed("found", "query")
+    radius = (2 * 20 / (n * m)) ** (1 / 3)
+    pairs = M._near_pairs(asked, df, ["a", "b", "c"], radius)
+    assert pairs.count() < 0.05 * n * n * m
+    assert pairs.filter(F.col("distance") <= 100 * radius).count() == asked.crossJoin(df.withColumnsRenamed({c: c * 2 for c in "abc"})).filter(f"query <> found and (abs(a - aa) + abs(b - bb) + abs(c - cc)) * 100 <= {100 * radius!r}").count()
