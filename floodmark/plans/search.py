@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..operators import joins as J
 from ..operators import similarity as M
 from ..operators import windows as W
+from ..sources.paths import stored
 from . import demo
 from .sql import FULL, LIFE, frame, r6
 from .studies import tidy
@@ -100,7 +101,7 @@ add("best_worst_cases", _best_worst, f"{CASES} SELECT series_id, size, arg_min(d
 
 
 def similar_paths(s: SparkSession, d: str, vectorised: bool = False) -> DataFrame:
-    w = demo.weekly(s, d)
+    w = stored(demo.weekly(s, d).select("series_id", "date", "mm_pct", "r8"), "weekly-frame")  # four path lengths and the returns read it
     return M.similar_paths(w, "mm_pct", vectorised=vectorised).join(w.select("series_id", "date", "r8"), ["series_id", "date"])
 
 

@@ -85,6 +85,20 @@ def _deliveries(s: SparkSession, d: str) -> DataFrame:
 add("stream_upsert_deliveries", _deliveries, f"""{_DIRTY}, w AS (SELECT *, CAST(date_trunc('week', date) AS DATE) AS week, {_REASON} IS NOT NULL AS bad FROM dirty), u AS (SELECT *, bool_or(bad) OVER (PARTITION BY series_id, week) AS refused FROM w)
 SELECT series_id, date, week, {', '.join(f'{r6(c)} AS {c}' for c in _PX)} FROM u WHERE NOT refused""")
 
+
+
+def _stream_ends(s: SparkSession, d: str) -> DataFrame:
+    """The stamps of hourly_bar_end as a stream: ends come out as the watermark passes them."""
+    path = scratch(s, "stamps")
+    stamp = F.when(F.col("event_id") % 2 == 0, F.date_trunc("minute", "ts")).otherwise(F.date_trunc("second", "ts"))
+    demo.table(s, d, "events").select(F.col("event_type").alias("series_id"), stamp.cast("timestamp").alias("ts")).write.parquet(path)
+    return B.replay_bar_ends(s, path, "2024-01-28 00:00:00")
+
+
+add("stream_bar_ends", _stream_ends, """WITH e AS (SELECT DISTINCT event_type AS series_id, CASE WHEN event_id % 2 = 0 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS ts FROM events),
+b AS (SELECT series_id, ts, least(ts + INTERVAL 1 HOUR, TIMESTAMP '2024-01-28', min(CASE WHEN second(ts) = 0 THEN ts END) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS bar_end, max(ts) OVER () - INTERVAL 10 MINUTE AS past FROM e)
+SELECT series_id, ts, bar_end FROM b WHERE bar_end <= past AND ts < past""")
+
 # --- one series over many tasks ---------------------------------------------------
 
 

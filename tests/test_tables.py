@@ -373,3 +373,25 @@ def test_pairs_looked_at_stay_far_below_all(spark):
     pairs = M._near_pairs(asked, df, ["a", "b", "c"], radius)
     assert pairs.count() < 0.05 * n * n * m
     assert pairs.filter(F.col("distance") <= 100 * radius).count() == asked.crossJoin(df.withColumnsRenamed({c: c * 2 for c in "abc"})).filter(f"query <> found and (abs(a - aa) + abs(b - bb) + abs(c - cc)) * 100 <= {100 * radius!r}").count()
+
+
+# --- bar ends on a stream ----------------------------------------------------------------
+
+
+def test_bar_ends_of_a_stream_in_batches(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    base, schema = dt.datetime(2024, 1, 2), "series_id string, ts timestamp"
+    stamps = sorted({(base + dt.timedelta(seconds=int(x) * (60 if i % 3 else 1)), f"s{i % 2}") for i, x in enumerate(rng.integers(0, 900, 500))} | {(base + dt.timedelta(hours=k), "lone") for k in (1, 5)})
+    for k in range(4):  # in time order, a file a batch; some stamps come twice
+        part = [(s, t) for t, s in stamps[max(0, k * 130 - 5) : (k + 1) * 130]]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "stamps"))
+    got = B.replay_bar_ends(spark, str(tmp_path / "stamps"), "2024-01-02 04:30:00", files=1).collect()
+    seen = stamps[:520]
+    past = max(t for t, _ in seen) - dt.timedelta(minutes=10)
+    want = set()
+    for t, s in seen:
+        later = [u for u, o in seen if o == s and u > t and u.second == 0]
+        end = min([t + dt.timedelta(hours=1), dt.datetime(2024, 1, 2, 4, 30), *later])
+        if end <= past and t < past:
+            want.add((s, t, end))
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 100
