@@ -190,9 +190,11 @@ def release_status(components: DataFrame, sources: DataFrame, now: str, report:
 
 
 def outcome_rules(df: DataFrame, reports: DataFrame) -> DataFrame:
-    """For each series its outcomes, and those whose date is unknown or repeated, whose week has no result yet but prices, that are complete without prices, or whose eligibility lacks evidence.
+    """For each series its outcomes, and those whose date is unknown or repeated, whose week has no result yet but prices, that are complete without prices, whose eligibility lacks evidence, or that have an hour where only the day of an extreme is known.
 
-    df: outcomes with status and eligible (availability), revision_risk and has_source; reports: series_id and report_date.
+    Evidence is a source, and a release time that is not after the week's opening or a publication date before it; the
+    status alone proves nothing. df: outcomes with status and eligible (availability), opens, actual_ts, actual_date,
+    revision_risk and has_source; reports: series_id and report_date.
     """
     known = reports.select("series_id", "report_date").distinct().withColumn("__known", F.lit(True))
     w = Window.partitionBy("series_id", "report_date")
@@ -202,11 +204,16 @@ def outcome_rules(df: DataFrame, reports: DataFrame) -> DataFrame:
     sound = F.lit(True)
     for c in prices:
         sound = sound & F.coalesce(F.col(c) > 0, F.lit(False))
-    proven = F.col("status").isin("ACTUAL_RELEASE_BEFORE_WEEK_START", "ACTUAL_PUBLICATION_DATE_BEFORE_WEEK_START") & F.coalesce("has_source", F.lit(False))
+    by_date = (F.col("status") == "ACTUAL_PUBLICATION_DATE_BEFORE_WEEK_START") & F.col("actual_date").isNotNull()
+    proven = F.coalesce("has_source", F.lit(False)) & (F.coalesce(F.col("actual_ts") <= F.col("opens"), F.lit(False)) | F.coalesce(by_date, F.lit(False)))
+    loose = F.lit(False)
+    for side in ("high", "low"):
+        loose = loose | (F.col(f"{side}_start").isNotNull() & ~F.coalesce(F.col(f"{side}_reason").startswith("MATCHED"), F.lit(False)))
     return rows.groupBy("series_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("__known").isNull()).alias("unknown_date"), F.count_if(F.col("__n") > 1).alias("repeated_date"), F.count_if((F.col("coverage") == "PENDING") & some).alias("pending_with_results"),
         F.count_if((F.col("coverage") == "COMPLETE_DAILY") & ~sound).alias("complete_without_prices"), F.count_if(F.col("eligible") & ~proven).alias("eligible_without_evidence"),
         F.count_if(F.col("eligible") & F.coalesce("revision_risk", F.lit(False))).alias("risky_but_eligible"), F.count_if(F.col("status").contains("_AFTER_") & F.coalesce("eligible", F.lit(True))).alias("late_but_not_excluded"),
+        F.count_if(loose).alias("hour_without_match"),
     )
 
 

@@ -462,15 +462,20 @@ CAST(CASE WHEN run = 'old' THEN 1 ELSE 0 END AS BIGINT) AS n_errors, stale, obse
 
 
 def _ruled(s: SparkSession, d: str) -> DataFrame:
-    """Outcomes with two planted faults: revised reports are called eligible, and reports from 2024-01-20 on are unknown."""
+    """Outcomes with planted faults: revised reports are called eligible, reports from 2024-01-20 on are unknown, release times of one series are later than their status says, highs of another have hours that nothing matched."""
     df = O.availability(J.release_join(week_outcomes(s, d), _evidence(s, d)))
-    df = df.withColumn("eligible", F.when(F.col("revision_risk"), True).otherwise(F.col("eligible")))
+    late = F.when(F.col("series_id") == "view", F.col("actual_ts") + F.expr("interval 10 days")).otherwise(F.col("actual_ts"))
+    hour = F.when(F.col("series_id") == "click", F.coalesce("high_start", "opens")).otherwise(F.col("high_start"))
+    df = df.withColumns({"eligible": F.when(F.col("revision_risk"), True).otherwise(F.col("eligible")), "actual_ts": late, "high_start": hour})
     return Q.outcome_rules(df, reports(s, d).filter("report_date < '2024-01-20'"))
 
 
-add("outcome_rules", _ruled, f"""WITH {_OUTC}{_EVI[len(_EXP):]}, r AS (SELECT *, CASE WHEN k = 3 THEN true WHEN contains(status, '_AFTER_') THEN false WHEN contains(status, '_BEFORE_') THEN true END AS el, count(*) OVER (PARTITION BY series_id, report_date) AS again FROM ow JOIN (SELECT series_id, report_date, k, status FROM st) USING (series_id, report_date))
-SELECT series_id, count(*) AS n, count(*) FILTER (report_date >= DATE '2024-01-20') AS unknown_date, count(*) FILTER (again > 1) AS repeated_date, count(*) FILTER (coverage = 'PENDING' AND close IS NOT NULL) AS pending_with_results, count(*) FILTER (coverage = 'COMPLETE_DAILY' AND NOT coalesce(open > 0 AND high > 0 AND low > 0 AND close > 0, false)) AS complete_without_prices,
-count(*) FILTER (el AND status NOT IN ('ACTUAL_RELEASE_BEFORE_WEEK_START', 'ACTUAL_PUBLICATION_DATE_BEFORE_WEEK_START')) AS eligible_without_evidence, count(*) FILTER (el AND k = 3) AS risky_but_eligible, count(*) FILTER (contains(status, '_AFTER_') AND coalesce(el, true)) AS late_but_not_excluded FROM r GROUP BY ALL""")
+_PROVEN = "coalesce(actual_ts + CASE WHEN series_id = 'view' THEN INTERVAL 10 DAY ELSE INTERVAL 0 DAY END <= opens OR status = 'ACTUAL_PUBLICATION_DATE_BEFORE_WEEK_START', false)"
+add("outcome_rules", _ruled, f"""WITH {_X}{_EVI[len(_EXP):]}, y AS (SELECT *, {_reason_sql('hd', 'hs', 'hh', 'high')} AS high_reason FROM x),
+r AS (SELECT *, CASE WHEN k = 3 THEN true WHEN contains(status, '_AFTER_') THEN false WHEN contains(status, '_BEFORE_') THEN true END AS el, count(*) OVER (PARTITION BY series_id, report_date) AS again FROM y JOIN (SELECT series_id, report_date, k, status, actual_ts, opens FROM st) USING (series_id, report_date))
+SELECT series_id, count(*) AS n, count(*) FILTER (report_date >= DATE '2024-01-20') AS unknown_date, count(*) FILTER (again > 1) AS repeated_date, count(*) FILTER (coverage = 'PENDING' AND (close IS NOT NULL)) AS pending_with_results, count(*) FILTER (coverage = 'COMPLETE_DAILY' AND NOT coalesce(open > 0 AND high > 0 AND low > 0 AND close > 0, false)) AS complete_without_prices,
+count(*) FILTER (el AND NOT {_PROVEN}) AS eligible_without_evidence, count(*) FILTER (el AND k = 3) AS risky_but_eligible, count(*) FILTER (contains(status, '_AFTER_') AND coalesce(el, true)) AS late_but_not_excluded,
+count(*) FILTER (series_id = 'click' AND NOT starts_with(high_reason, 'MATCHED')) AS hour_without_match FROM r GROUP BY ALL""")
 add("outcomes_alignment", lambda s, d: J.alignment(week_outcomes(s, d), reports(s, d).filter("report_date < '2024-01-20'"), ["series_id", "report_date"]),
     f"WITH {_EXP} SELECT count(*) FILTER (report_date < DATE '2024-01-20') AS both, count(*) FILTER (report_date >= DATE '2024-01-20') AS only_first, CAST(0 AS BIGINT) AS only_second FROM wk")
 
