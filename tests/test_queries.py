@@ -9,7 +9,9 @@ import pytest
 import __spark_entry__ as entry
 
 SF = Path("/root/testdata/sf0.001")
-SOME = ("rolling_percentile", "factor_bucket_split", "structure_outcomes", "velocity_train_test", "signal_train_test", "similar_states", "dedupe_events", "asof_price_strict", "week_outcome", "extreme_details", "incremental_merge", "stream_bars", "incremental_merge_gate", "release_status", "outcome_rules", "archive_merge", "coverage_diagnosis", "hub_summary")
+SOME = ("rolling_percentile", "factor_bucket_split", "structure_outcomes", "velocity_train_test", "signal_train_test", "similar_states", "dedupe_events", "asof_price_strict", "week_outcome", "extreme_details", "incremental_merge", "stream_bars", "incremental_merge_gate", "release_status", "outcome_rules", "archive_merge", "coverage_diagnosis", "hub_summary",
+        "versioned_bars", "partition_merge", "stream_upsert_deliveries", "stream_bar_ends", "asof_hot_series", "ranks_hot_series", "sliding_percentile_hot", "pooled_quantiles", "clustered_windows", "complete_bar_gate",
+        "validate_cases", "validate_summary", "hub_health", "source_audit_classes", "calendar_evidence", "calendar_week_sources", "interpretation_text", "similar_states_across")
 
 
 def plain(v):
