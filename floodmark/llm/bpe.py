@@ -7,7 +7,8 @@ place in the trie of tokens and the token before it. A set of open beginnings is
 one state; it is made when a text first needs it, and its steps are kept in a
 table. A step names the token that would end here. Tokens leave when no older
 beginning is open: after a lookahead of a few tokens at most. All new pieces of a
-chunk of texts go through the transducer side by side, one byte at a time.
+chunk of texts go through the transducer side by side, one byte at a time; where few
+pieces are left, as with one very long word, each goes on alone.
 
 Decoding is streamed: bytes of tokens leave as text as soon as the state machine
 of UTF-8 has seen whole characters.
@@ -33,7 +34,9 @@ from .pieces import TextCoder, chunks, gather
 
 CHUNK_BYTES = 2_000_000
 #: Ids that are decoded at once.
-PART = 16384
+PART = 512
+#: Where fewer pieces than this are left, each is walked alone.
+LANES = 256
 #: States that are kept; beyond it the table is begun anew, which changes no result.
 STATES = 60_000
 
@@ -73,7 +76,9 @@ class Transducer:
         self.number = {start: 0}
         #: Steps by state and byte: the next state, the token that ends here, whether all before is settled.
         self.steps = Numbers()
-        self.to, self.ends, self.settles = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.to, self.ends, self.settles = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(1024, bool)
+        #: The same for pieces that are walked alone.
+        self.alone: dict[int, tuple[int, int, bool]] = {}
 
     def merge(self, text: bytes, until: int = 1) -> list[bytes]:
         """Merges alone, lowest rank first, down to until parts."""
@@ -157,13 +162,38 @@ class Transducer:
         if (out < 0).any():
             new = np.unique(key[out < 0])
             made = [self._step(k >> 8, k & 255) for k in new.tolist()]
-            self.steps.add(new)
-            self.to = np.concatenate([self.to, np.array([m[0] for m in made], np.int32)])
-            self.ends = np.concatenate([self.ends, np.array([m[1] for m in made], np.int32)])
-            self.settles = np.concatenate([self.settles, np.array([m[2] for m in made])])
+            at = self.steps.add(new)
+            if len(self.steps) > len(self.to):
+                size = max(len(self.steps), 2 * len(self.to))
+                self.to, self.ends, self.settles = (np.resize(x, size) for x in (self.to, self.ends, self.settles))
+            self.to[at], self.ends[at], self.settles[at] = zip(*made, strict=True)
             out = self.steps.find(key)
         return out
 
+    def _go_alone(self, state: tuple, data: bytes) -> tuple[list[int], list[bool]]:
+        """The tokens that end at each byte of one piece from a state on, and where all before is settled."""
+        number, ended, settled = self._known(state), [], []
+        for c in data:
+            key = number << 8 | c
+            step = self.alone.get(key)
+            if step is None:
+                if len(self.states) > 2 * STATES or len(self.alone) > 3 * STATES:
+                    state = self.states[number]
+                    self._forget()
+                    number = self._known(state)
+                    key = number << 8 | c
+                step = self.alone[key] = self._step(number, c)
+            number, end, over = step
+            ended.append(end)
+            settled.append(over)
+        return ended, settled
+
+    def _known(self, state: tuple) -> int:
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+        return self.number[state]
+
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces, one piece after the other, and how many each has. All pieces are walked side by side."""
         whole = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
@@ -185,11 +215,16 @@ class Transducer:
         first, by_size = begin[order], -long[order]
         state = np.zeros(len(pieces), np.int32)
         ended, border = np.full(len(data), -1, np.int32), np.zeros(len(data), bool)
-        for t in range(int(long.max(initial=0))):
-            m = int(np.searchsorted(by_size, -t))  # pieces of more than t bytes
+        t, m = 0, int(np.searchsorted(by_size, 0))
+        while m > LANES:
             at = first[:m] + t
             step = self._walk(state[:m], data[at])
             ended[at], border[at], state[:m] = self.ends[step], self.settles[step], self.to[step]
+            t += 1
+            m = int(np.searchsorted(by_size, -t))  # pieces of more than t bytes
+        states = [self.states[k] for k in state[:m].tolist()]
+        for open_, a, b in zip(states, (first[:m] + t).tolist(), (first - by_size)[:m].tolist(), strict=True):
+            ended[a:b], border[a:b] = self._go_alone(open_, data[a:b].tobytes())
         # tokens leave where no older beginning is open, and at the end of a piece: back from there to the place that was settled before
         border[(begin + long - 1)[long > 0]] = True
         at = np.flatnonzero(border)
@@ -259,41 +294,75 @@ class Decoder:
         return "".join(self.stream(ids[i : i + part] for i in range(0, len(ids), part)))
 
 
+#: Added to a state that is entered over a character that was cut short.
+WRONG = 16
+
+
+def _utf8_table() -> np.ndarray:
+    """The next state by state and byte.
+
+    State 0 is between characters, 1 to 3 wait for so many bytes of any kind of
+    continuation; 4 to 7 follow the first bytes E0, ED, F0 and F4, which narrow the
+    second byte; 8 is a wrong byte. A first byte that comes too early begins anew:
+    WRONG is added to its state.
+    """
+    first = np.full(256, 8, np.uint8)
+    first[:0x80] = 0
+    first[0xC2:0xE0], first[0xE0:0xF0], first[0xF0:0xF5] = 1, 2, 3
+    first[[0xE0, 0xED, 0xF0, 0xF4]] = 4, 5, 6, 7
+    out = np.tile(first, (9, 1))
+    out[1:8] += WRONG  # the character before it is cut short
+    for state, low, high, to in ((1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2)):
+        out[state, low : high + 1] = to
+    return out
+
+
 class Utf8Machine:
-    """Incremental UTF-8: splits bytes after the last whole character.
+    """Incremental UTF-8 by a table of states and bytes; it carries its state and the bytes of an open character from part to part.
 
-    States: bytes that are still to come (0 to 3). Wrong bytes become U+FFFD.
+    States hang on the three bytes before at most, so those of all bytes of a part
+    are found at once: first bytes fix theirs, then bytes of continuation take one
+    step of the table at a time from the byte before. Wrong bytes become U+FFFD, one
+    for each longest beginning of a character.
     """
 
+    TABLE = _utf8_table()
+
     def __init__(self) -> None:
-        self.rest = b""
-
-    @staticmethod
-    def _unfinished(data: bytes) -> int:
-        """How many bytes at the end begin a character that is not over."""
-        for back in range(1, min(3, len(data)) + 1):
-            c = data[-back]
-            if c < 0x80:
-                return 0
-            if c >= 0xC2:
-                need = 2 if c < 0xE0 else 3 if c < 0xF0 else 4 if c < 0xF5 else 1
-                if need <= back:
-                    return 0
-                if back >= 2:  # the second byte has narrower bounds after some first ones
-                    low, high = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(c, (0x80, 0xBF))
-                    if not low <= data[-back + 1] <= high:
-                        return 0
-                return back
-        return 0
+        self.state, self.rest = 0, b""
+
+    def states(self, data: np.ndarray) -> np.ndarray:
+        """The state after each byte (WRONG added where a character is cut short)."""
+        tail = (data & 0xC0) == 0x80
+        before = np.zeros(len(data), np.uint8)
+        before[0] = self.state
+        out = self.TABLE[0][data]
+        at = np.flatnonzero(tail)
+        for _ in range(3):
+            before[1:] = out[:-1] & (WRONG - 1)
+            out[at] = self.TABLE[before[at], data[at]]
+        before[1:] = out[:-1] & (WRONG - 1)
+        return self.TABLE[before, data]
 
     def feed(self, data: bytes) -> str:
+        if not data:
+            return ""
+        if self.state == 0 and data.isascii():
+            return data.decode("ascii")
+        states = self.states(np.frombuffer(data, np.uint8))
+        last = int(states[-1]) & (WRONG - 1)
+        self.state = 0 if last == 8 else last
         data = self.rest + data
-        n = len(data) - self._unfinished(data)
+        states = np.append(np.full(len(self.rest), 1, np.uint8), states)
+        wrong = bool((states >= 8).any())
+        n = len(data)
+        if self.state:  # the open character began at its last first byte
+            n = max(i for i in range(max(0, n - 3), n) if data[i] >= 0xC0)
         self.rest = data[n:]
-        return data[:n].decode("utf-8", "replace")
+        return data[:n].decode("utf-8", "replace" if wrong else "strict")
 
     def finish(self) -> str:
-        out, self.rest = self.rest.decode("utf-8", "replace"), b""
+        out, self.state, self.rest = "\ufffd" if self.rest else "", 0, b""
         return out
 
 

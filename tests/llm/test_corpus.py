@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -478,6 +479,49 @@ def test_transducer_equals_library_and_decodes(spark):
     assert digest.decoded_sha256 == hashlib.sha256("é漢".encode()).hexdigest() and digest.n_tokens == len(lib.encode_ordinary("é漢"))
 
 
+def test_utf8_machine_equals_the_decoder_in_parts_of_any_size():
+    rng = random.Random(8)
+    for _ in range(3000):
+        data = bytes(rng.choice([0x41, 0x80, 0xBF, 0xA0, 0x9F, 0x90, 0x8F, 0xC1, 0xC2, 0xE0, 0xE1, 0xED, 0xF0, 0xF1, 0xF4, 0xF5, 0xFF]) for _ in range(rng.randrange(12)))
+        machine, out, at = bpe.Utf8Machine(), "", 0
+        while at < len(data):
+            n = rng.randrange(1, 5)
+            out, at = out + machine.feed(data[at : at + n]), at + n
+        assert out + machine.finish() == data.decode("utf-8", "replace"), data
+
+
+@pytest.mark.parametrize(("lanes", "states"), [(0, 60_000), (3, 60), (256, 60_000)])
+def test_pieces_side_by_side_and_alone_are_the_same(monkeypatch, lanes, states):
+    monkeypatch.setattr(bpe, "LANES", lanes)
+    monkeypatch.setattr(bpe, "STATES", states)
+    rng, lib = random.Random(6), tiktoken_library()
+    texts = ["".join(rng.choice("abcdefgh éß漢") for _ in range(rng.randrange(300))) for _ in range(400)]
+    encoder = bpe.Encoder(P.path("byte_bpe_multi_50k.tiktoken"))
+    assert [i for ids, _ in encoder.encode(pa.array(texts)) for i in ids.tolist()] == [i for t in texts for i in lib.encode_ordinary(t)]
+
+
+def test_very_long_pieces():
+    rng, lib = random.Random(7), tiktoken_library()
+    encoder = bpe.Encoder(P.path("byte_bpe_multi_50k.tiktoken"))
+    code = lambda t: [i for ids, _ in encoder.encode(pa.array([t])) for i in ids.tolist()]
+    for text in ("".join(rng.choice("etaoinshrd") for _ in range(3000)), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000)), "ab" * 1500):
+        assert code(text) == lib.encode_ordinary(text)
+    word = "".join(rng.choice("etaoinshrd") for _ in range(200_000))
+    began = time.time()
+    ids = code(word)
+    assert time.time() - began < 20 and b"".join(encoder.transducer.bytes_of[i] for i in ids) == word.encode()
+
+
+@given
+def test_digests_of_documents_equal_the_library(spark):
+    lib = tiktoken_library()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    for r in queries.QUERIES["op9_byte_bpe"](spark, str(SF)).collect():
+        ids = lib.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_text_coder_forgets_without_harm():
     def own(ps):
         return np.frombuffer("".join(ps).encode("utf-32-le"), np.uint32), np.array([len(p) for p in ps])
