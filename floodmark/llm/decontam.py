@@ -17,21 +17,27 @@ document column has already replaces that column.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column_of, slices, small_batches
 
-#: Words of test items in one automaton; a larger benchmark takes several passes.
+#: Words of test items in one automaton; a larger benchmark has several, and a task holds one at a time.
 SHARD_WORDS = 100_000
 #: An item with more words than this is cut into pieces that overlap by window - 1 words.
 PIECE_WORDS = 20_000
 #: Characters of documents that are held as arrays at a time.
 CHUNK_CHARS = 2_000_000
+#: Bytes of texts, about, that all automata walk over in turn where there are several.
+GROUP_BYTES = 16_000_000
+#: A word of an item, in any case.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(97, 123), *range(65, 91), *range(128, 256)]] = True
@@ -256,46 +262,79 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 _OUT = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", _SPAN), T.StructField("hit_chars", _SPAN), T.StructField("hit_items", T.ArrayType(T.StringType()))]
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_words: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in groups of about shard_words words; a group is what one automaton holds."""
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = int(-(-chars // (shard_words * 4))) or 1
-    for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()  # bounded by shard_words
-        yield sorted((r["i"], r["t"]) for r in rows)
+def _pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int, words: int) -> DataFrame:
+    """i, at, t and n: the words of items, long ones cut into pieces that overlap by window - 1 words."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0)).alias("w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - window), F.lit(words))
+    cut = items.filter(F.size("w") > 0).select("i", "w", F.explode(starts).alias("at"))
+    part = F.slice("w", F.col("at") + 1, F.lit(words + window - 1))
+    return cut.select("i", "at", F.array_join(part, " ").alias("t"), F.size(part).alias("n"))
+
+
+def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, shard_words: int) -> Iterator[list[tuple[str, str]]]:
+    """Items in groups of about shard_words words; a group is what one automaton holds. One sorted stream through the driver, which holds a group at a time."""
+    pieces = _pieces(benchmark, item_col, text_col, window, max(window, min(PIECE_WORDS, shard_words)))
+    n = -(-(pieces.agg(F.sum("n")).first()[0] or 0) // shard_words) or 1
+    rows = pieces.select(F.pmod(F.xxhash64("i", "at"), F.lit(n)).alias("k"), "i", "t").sort("k", "i", "t").toLocalIterator()
+    return ([(r["i"], r["t"]) for r in group] for _, group in groupby(rows, key=lambda r: r["k"]))
+
+
+def _opened(shared: Broadcast) -> ItemAutomaton:
+    """The value of a broadcast, read from its file for this use only, so that a task that walks many holds one."""
+    path = getattr(shared, "_path", None)
+    return shared.load_from_path(path) if path is not None else shared.value
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], text_col: str, limit: int) -> Iterator[list[pa.RecordBatch]]:
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += column_of(batch, text_col).nbytes
+        if size >= limit:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs with n_words, hit_words and hit_chars (ranges, end exclusive) and hit_items (sorted).
 
-    One pass over docs for each shard_words words of test items; no shuffle. An
-    automaton is broadcast, of at most about 2 * shard_words states.
+    One pass over docs in one Python stage, whatever the size of the benchmark; no
+    shuffle. Each group of about GROUP_BYTES of texts meets one automaton after the
+    other. Automata of shard_words words (at most about twice as many states) are
+    broadcast one by one; with several, a task reads each from its file when its turn comes.
     """
     spark = docs.sparkSession
     names = {f.name for f in _OUT}
-    df = docs.drop(*[c for c in docs.columns if c in names])
-    for first, items in enumerate(_shards(benchmark, item_col, item_text_col, shard_words)):
-        auto = spark.sparkContext.broadcast(ItemAutomaton(items, window))
-        kept = [f for f in df.schema.fields if f.name not in names]
-
-        def scan(batches: Iterator[pa.RecordBatch], auto=auto, first=first, kept=kept) -> Iterator[pa.RecordBatch]:
-            for batch in small_batches(batches):
-                cols = {f.name: batch.column(batch.schema.get_field_index(f.name)) for f in kept}
-                rows = list(auto.value.scan(column_of(batch, text_col).to_pylist()))
-                words, chars, items_ = [r[1] for r in rows], [r[3] for r in rows], [r[2] for r in rows]
-                if first:
-                    old = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("hit_words", "hit_chars", "hit_items")]
-                    words = [merged([(s["start"], s["end"]) for s in o] + list(w)) for o, w in zip(old[0], words, strict=True)]
-                    chars = [merged([(s["start"], s["end"]) for s in o] + list(w)) for o, w in zip(old[1], chars, strict=True)]
-                    items_ = [sorted({*o, *w}) for o, w in zip(old[2], items_, strict=True)]
+    kept = [f for f in docs.schema.fields if f.name not in names]
+    shards = [spark.sparkContext.broadcast(ItemAutomaton(items, window)) for items in _shards(benchmark, item_col, item_text_col, window, shard_words)]
+    shards = shards or [spark.sparkContext.broadcast(ItemAutomaton([], window))]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        several = len(shards) > 1
+        for group in _grouped(small_batches(batches), text_col, GROUP_BYTES if several else 0):
+            texts = [t for batch in group for t in column_of(batch, text_col).to_pylist()]
+            rows = None
+            for shared in shards:
+                found = (_opened(shared) if several else shared.value).scan(texts)
+                if rows is None:
+                    rows = list(found)
+                else:
+                    rows = [(n, [*w, *w2], [*i, *i2], [*c, *c2]) if w2 else (n, w, i, c) for (n, w, i, c), (_, w2, i2, c2) in zip(rows, found, strict=True)]
+            if several:
+                rows = [(n, merged(w), sorted(set(i)), merged(c)) for n, w, i, c in rows]
+            at = 0
+            for batch in group:
+                part, at = rows[at : at + batch.num_rows], at + batch.num_rows
                 as_dicts = lambda xs: [[{"start": a, "end": b} for a, b in x] for x in xs]
                 span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                cols |= {"n_words": pa.array([r[0] for r in rows], pa.int64()), "hit_words": pa.array(as_dicts(words), span), "hit_chars": pa.array(as_dicts(chars), span), "hit_items": pa.array(items_, pa.list_(pa.string()))}
+                cols = {f.name: batch.column(batch.schema.get_field_index(f.name)) for f in kept}
+                cols |= {"n_words": pa.array([r[0] for r in part], pa.int64()), "hit_words": pa.array(as_dicts(r[1] for r in part), span)}
+                cols |= {"hit_chars": pa.array(as_dicts(r[3] for r in part), span), "hit_items": pa.array([r[2] for r in part], pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-        df = df.mapInArrow(scan, T.StructType([*kept, *_OUT]))
-    return df
+    return docs.drop(*(c for c in docs.columns if c in names)).mapInArrow(scan, T.StructType([*kept, *_OUT]))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -582,6 +582,20 @@ def test_decontamination_equals_brute_force(spark, shard):
     assert decontam.find_contamination(table(spark, texts), bench.filter("false")).filter("size(hit_items) > 0").count() == 0
 
 
+def test_decontamination_is_one_stage_for_any_benchmark(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "GROUP_BYTES", 500)
+    rng = random.Random(12)
+    items = [(0, prose(rng, 900)), (1, prose(rng, 900)), (1, "short one"), *[(i, prose(rng, 25)) for i in range(2, 60)]]
+    texts = [" ".join([prose(rng, 4), *items[k % 62 - 1][1].split()[a : a + 15], "short", prose(rng, 4)]) for k, a in ((k, rng.randrange(80)) for k in range(70))]
+    texts += [items[0][1], "a short one b", None]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.find_contamination(table(spark, texts), bench, shard_words=50)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    for r, t in zip(got.withColumn("n", decontam.n_hit()).orderBy("doc_id").collect(), texts, strict=True):
+        assert (r.n_words, r.n, r.hit_items) == hits(t, items, 10)
+        assert [[w for w in re.split(r"[^0-9a-z]+", t[s["start"] : s["end"]]) if w] for s in r.hit_chars] == [(t or "").split()[s["start"] : s["end"]] for s in r.hit_words]
+
+
 def test_decontamination_cuts_spans(spark):
     item = " ".join(f"q{i}" for i in range(12))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
