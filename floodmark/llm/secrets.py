@@ -15,6 +15,7 @@ pass through; outputs replace columns of their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,26 +36,45 @@ SYMBOLS = len(ALPHABET) + 1
 RANDOM_ROWS, ORDINARY_ROWS = 20_000, 1_500
 #: Pairs that the frequency of a single symbol counts for.
 WEIGHT = 8.0
+_SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string,first:bigint,last:bigint>>"
 #: Log-likelihood ratio of a whole run, and for each character of it, at least.
 TOTAL, MEAN = 12.0, 0.6
 
 
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x evaluated once for each row."""
+    return F.transform(F.array(x), use)[0]
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """op over each value and all before it, by doubling: about n log n steps for n values, none of which copies an array that grows."""
+    powers = F.array(*[F.lit(1 << k) for k in range(31)])
+    double = lambda s, p: F.transform(s, lambda x, i: F.when(i >= p, op(x, F.get(s, i - p))).otherwise(x))
+    return _let(values, lambda v: F.aggregate(F.filter(powers, lambda p: p < F.size(v)), v, double))
+
+
 def _matches(text: Column, pattern: str, kind: str, least: int = 0) -> Column:
-    """start, rank, end, kind and value of each match, by the lengths of what is between matches."""
-    rank = KINDS.index(kind)
-    hits = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("value"))
-    gaps = F.split(text, pattern, -1)
-    both = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h["hit"]).alias("n"), h["value"].alias("v")))
-    span = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("got"))
+    """start, rank, end, kind, value, first and last (start and end in bytes) of each match, by the lengths of what is between matches."""
+    # the second group is the end of each pattern, and alone a match is matched as in its text
+    value = lambda h: F.regexp_extract(h, pattern, 2)
+    both = lambda f, g, h: (f(g) + f(h)).cast("long")
+    add = lambda x, y: x + y
 
-    def step(s: Column, x: Column) -> Column:
-        start, end = s["at"] + x["g"], s["at"] + x["g"] + x["n"]
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.array_append(s["got"], one)).otherwise(s["got"]).alias("got"))
+    def span(x: Column) -> Column:
+        start, first = x["end"] - F.length(x["hit"]), x["last"] - F.octet_length(x["hit"])
+        place = [start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")]
+        return F.struct(*place, value(x["hit"]).alias("value"), first.alias("first"), x["last"].alias("last"))
 
-    found = F.aggregate(both, zero, step)["got"]
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(span))
+    def spans(gaps: Column, hits: Column) -> Column:
+        ends, lasts = (_running(F.zip_with(gaps, hits, lambda g, h: both(f, g, h)), add) for f in (F.length, F.octet_length))
+        return F.transform(F.arrays_zip(hits.alias("hit"), ends.alias("end"), lasts.alias("last")), span)
+
+    def found(gaps: Column) -> Column:
+        before = F.slice(gaps, 1, F.size(gaps) - 1)
+        out = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: spans(before, hits))
+        return F.when(F.size(gaps) > 1, F.filter(out, lambda x: F.length(x["value"]) >= least)).otherwise(F.array().cast(_SPANS))
+
+    return _let(F.split(text, pattern, -1), found)
 
 
 def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -107,7 +127,7 @@ def fit_markov(docs: DataFrame, *, key: str = "doc_id", text_col: str = "text",
 
 
 def find_secrets(docs: DataFrame, model: MarkovPair, *, text_col: str = "text", total: float = TOTAL, mean: float = MEAN) -> DataFrame:
-    """docs with base_spans and spans: arrays of start, rank, end, kind and value in the order of start and kind."""
+    """docs with base_spans and spans: arrays of start, rank, end, kind, value and the same ends in bytes, in the order of start and kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     ratio = F.array(*[F.lit(x) for x in model.ratio])
 
@@ -118,10 +138,16 @@ def find_secrets(docs: DataFrame, model: MarkovPair, *, text_col: str = "text",
         return F.aggregate(F.filter(chars, lambda c: c != ""), zero, nxt)["s"]
 
     spanned = base_spans(docs, text_col).withColumn("__ratio", ratio)
-    free = lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    runs = F.filter(_matches(text, RUN, "markov"), lambda x: free(x))
+    # in the order of the ends of runs and the starts of base spans, a run touches a base span where one before it ends behind its start
+    events = F.array_sort(F.concat(
+        F.transform(_matches(text, RUN, "markov"), lambda x: F.struct(x["end"].alias("at"), F.lit(0).alias("base"), F.lit(-1).cast("long").alias("end"), x.alias("x"))),
+        F.transform("base_spans", lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("base"), b["end"].alias("end"), b.alias("x")))))
+    spanned = spanned.withColumn("__events", events)
+    reached = F.arrays_zip(F.col("__events"), _running(F.col("__events.end"), F.greatest).alias("reached"))
+    free = F.filter(reached, lambda r: (r["__events"]["base"] == 0) & (r["reached"] <= r["__events"]["x"]["start"]))
+    runs = F.transform(free, lambda r: r["__events"]["x"])
     likely = F.filter(runs, lambda x: (score(x["value"]) >= total) & (score(x["value"]) >= mean * F.length(x["value"])))
-    return spanned.withColumn("spans", F.array_sort(F.concat("base_spans", likely))).drop("__ratio")
+    return spanned.withColumn("spans", F.array_sort(F.concat("base_spans", likely))).drop("__ratio", "__events")
 
 
 def joined(spans: str) -> Column:
@@ -137,14 +163,11 @@ def redact(docs: DataFrame, model: MarkovPair, *, text_col: str = "text", mark:
     """docs with every span of the text replaced by mark; spans that overlap become one. Null texts stay null."""
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text"))
     found = find_secrets(rows, model, text_col="__text", **options)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(F.col("__text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
-        new = F.when(x["start"] >= s["at"], F.concat(s["out"], gap, F.lit(mark))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), new.alias("out"))
-
-    done = F.aggregate("spans", zero, step)
-    rest = F.concat(done["out"], F.substring(F.col("__text"), (done["at"] + 1).cast("int"), F.length("__text")))
+    found = found.withColumns({"__bytes": F.col("__text").cast("binary"), "__over": _running(F.col("spans.last"), F.greatest)})
+    cut = lambda a, n: F.substring("__bytes", (a + 1).cast("int"), n.cast("int")).cast("string")
+    begun = F.concat(F.array(F.lit(0).cast("long")), "__over")  # where the span before each one ends; a span that begins before is part of it
+    parts = F.zip_with("spans", begun, lambda x, at: F.when(x["first"] >= at, F.concat(cut(at, x["first"] - at), F.lit(mark))).otherwise(F.lit("")))
+    over = F.try_element_at("__over", F.lit(-1))
+    rest = F.concat(F.array_join(parts, ""), cut(over, F.octet_length("__text") - over))
     new = F.when(F.size("spans") > 0, rest).otherwise(F.col("__text"))
     return found.withColumn("__new", new).select(*[F.col("__new").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in docs.columns])

@@ -265,6 +265,26 @@ def test_secrets_patterns_models_and_redaction(spark):
 
 
 @given
+def test_many_secrets_in_one_text(spark):
+    rng = random.Random(14)
+    model = secrets.fit_markov(table(spark, [f"the_{w} token = {rng.getrandbits(90):x}" for w in WORDS]))
+    lines = [f"é{i} secret='{rng.getrandbits(60):x}' {'AKIA' + 'B7' * 9} 漢{rng.getrandbits(120):024x}😀 over_the_{WORDS[i % 400]}_and_on token=AKIA{'C3' * 10}" for i in range(1500)]
+    text = "\n".join(lines)
+    row = secrets.find_secrets(table(spark, [text]), model).first()
+    assert row.base_spans == [s for s in row.spans if s.kind != "markov"] and len(row.base_spans) == 1500 * 5
+    assert all(text[s.start : s.end].encode() == text.encode()[s.first : s.last] and text[s.start : s.end].endswith(s.value) for s in row.spans[::97])
+    edges = sorted((s.start, s.end) for s in row.base_spans)
+    assert not any(a < s.end and s.start < b for s in row.spans if s.kind == "markov" for a, b in edges[::50])
+    plain, at = [], 0
+    for s in row.spans:
+        if s.start >= at:
+            plain += [text[at : s.start], "[SECRET]"]
+        at = max(at, s.end)
+    began = time.time()
+    assert secrets.redact(table(spark, [text, None, ""]), model).orderBy("doc_id").first().text == "".join(plain) + text[at:]
+    assert time.time() - began < 20
+
+
 def test_secrets_equal_plain_patterns_and_models(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     model = secrets.fit_markov(docs)
